@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demesne.operators import measures
+from demesne.operators import geo, measures
 from demesne.runtime import table
 
 
+NEAR_KM = 0.1
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = geo.neighbours(table(spark, sf_dir, "townland"), NEAR_KM)
+    return pairs.select(F.col("id_a").alias("townland_id_a"), F.col("id_b").alias("townland_id_b"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measures.misstated_holdings(table(spark, sf_dir, "unified_record")).select("id")
 
@@ -19,7 +27,7 @@ def p6_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.where("statute_acres is not null").select("id", "area_source", (F.floor(F.col("statute_acres") * 1000 + 0.5) / 1000).alias("statute_acres"))
 
 
-QUERIES = {"p6_found": p6_found, "p6_areas": p6_areas}
+QUERIES = {"p4_found": p4_found, "p6_found": p6_found, "p6_areas": p6_areas}
 
 _UNIT_SQL = """CASE
   WHEN regexp_matches({t}, '\\b(irish plantation|old irish|irish|ir|plantation|plantn)\\.? *(acres?|measure|meas)\\b|\\bi\\. ?m\\b') THEN 196.0 / 121
