@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from demesne.llm.text import DIGITS, deletes, letters, osa, plain
+from demesne.llm.text import deletes, letters, osa, plain, unlettered
 from demesne.runtime import lookup_join, spread, table, ws_trim
 
 EDITS = 2
@@ -58,13 +58,6 @@ def _expansions(stub: str) -> list[str]:
     return [w for w in FIRST if within(w)]
 
 
-def unlettered(token: str) -> str:
-    """Digits read as letters inside a word; a number by itself stays."""
-    if not re.search(r"[a-z]", token) and not re.fullmatch(r"[01345678]{3,}", token):
-        return token
-    return token.translate(DIGITS)
-
-
 @lru_cache(maxsize=65536)
 def forms(text: str | None) -> tuple[tuple[str, str], ...]:
     """Readings of a written place: (letters of the name, qualifier or '').
