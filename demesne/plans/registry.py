@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules with ``QUERIES`` (name -> callable) and ``SQL`` (name -> text).
-MODULES = ["q_metrics", "q_problems"]
+MODULES = ["q_metrics", "q_relational", "q_problems"]
 
 
 def _gather(what: str) -> dict:
