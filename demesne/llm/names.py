@@ -36,6 +36,7 @@ BIRTH_GAP = 4
 ANCHOR_RATIO = 3
 ANCHOR_LEAST = 3
 THRESHOLD = 0.8
+MOST_PLAIN_EDITS = 4
 
 
 def grams(word: Column, q: int = Q) -> Column:
@@ -92,25 +93,38 @@ def verified(pairs: DataFrame) -> DataFrame:
                     rows.append((a, b, d))
             yield pd.DataFrame(rows, columns=["word", "anchor", "d"])
 
-    return spread(pairs, "word", "anchor").mapInPandas(run, _SCORED)
+    # a weighted distance of 2 is at most 4 plain edits (two swaps, or four doubled letters)
+    close = pairs.where(F.levenshtein("word", "anchor", MOST_PLAIN_EDITS) >= 0)
+    return spread(close, "word", "anchor").mapInPandas(run, _SCORED)
+
+
+def _stand_ins(words: DataFrame, anchors: DataFrame, df_of: DataFrame) -> DataFrame:
+    """(word, rep): the nearest anchor at least ``ANCHOR_RATIO`` times as frequent, for the words that have one."""
+    near = verified(prefix_join(words, anchors))
+    near = near.join(df_of, "word").join(df_of.select(F.col("word").alias("anchor"), F.col("df").alias("df2")), "anchor")
+    best = F.min(F.struct("d", (-F.col("df2")).alias("n"), F.col("anchor").alias("rep")))
+    return near.where(F.col("df2") >= ANCHOR_RATIO * F.col("df")).groupBy("word").agg(best.alias("m")).select("word", F.col("m.rep").alias("rep"))
 
 
 def spellings(surnames: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From (surname): (word, df, rep) and (word, anchor, d).
+    """From (surname): (word, df, rep, rep_df) and (word, anchor, d).
 
     ``rep`` is the spelling a word most likely stands for: the nearest one at
     least ``ANCHOR_RATIO`` times as frequent (ties: the more frequent, then by
     alphabet), followed once more from there; else the word itself.  The second
-    table has the near spellings of words without such a stand-in.
+    table has the near spellings of rare words without such a stand-in; frequent
+    spellings of like frequency are taken for different names.
     """
     df_of = cut(surnames.where("surname <> ''").groupBy(F.col("surname").alias("word")).agg(F.count(F.lit(1)).alias("df")))
-    anchors = df_of.where(F.col("df") >= ANCHOR_LEAST)
-    near = verified(prefix_join(df_of, anchors))
-    near = near.join(df_of, "word").join(df_of.select(F.col("word").alias("anchor"), F.col("df").alias("df2")), "anchor")
-    to = near.where(F.col("df2") >= ANCHOR_RATIO * F.col("df")).groupBy("word").agg(F.min(F.struct("d", (-F.col("df2")).alias("n"), F.col("anchor").alias("rep"))).alias("m")).select("word", F.col("m.rep").alias("rep"))
-    to = cut(to)
+    frequent = df_of.where(F.col("df") >= ANCHOR_LEAST)
+    # frequent misspellings find their stand-in first, so that rare ones need only be held against what is left
+    to = cut(_stand_ins(frequent, frequent, df_of))
+    roots = cut(frequent.join(to, "word", "left_anti"))
+    to = cut(to.unionByName(_stand_ins(df_of.where(F.col("df") < ANCHOR_LEAST), roots, df_of)))
     twice = to.join(to.select(F.col("word").alias("rep"), F.col("rep").alias("rep2")), "rep", "left").select("word", F.coalesce("rep2", "rep").alias("rep"))
-    words = cut(df_of.join(twice, "word", "left").withColumn("rep", F.coalesce("rep", "word")))
+    words = df_of.join(twice, "word", "left").withColumn("rep", F.coalesce("rep", "word"))
+    # a token's rarity is that of the name it stands for, not of the slip
+    words = cut(lookup_join(words, words.groupBy("rep").agg(F.sum("df").alias("rep_df")), ["rep"]))
     alone = words.where(F.col("rep") == F.col("word")).select("word")
     rare = alone.join(df_of.where(F.col("df") < ANCHOR_LEAST), "word", "left_semi")
     direct = verified(prefix_join(rare, alone))
@@ -133,7 +147,7 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def idf(df: Column, total: int) -> Column:
-    return F.log(F.lit(float(total + 1)) / (df + F.lit(0.0)))
+    return F.log(1 + F.lit(float(total)) / df)
 
 
 def agreement(fa: Column, ia: Column, fb: Column, ib: Column) -> Column:
@@ -154,13 +168,14 @@ def linked_mentions(m: DataFrame, place: str | None = None) -> DataFrame:
     given, that column.  A mention without surname, forename, register or birth
     links to none.  Each pair comes once; an empty table gives none.
     """
-    # bounded: the forenames and initials of all mentions, at most a few hundred rows each, stay on the executors
+    keep = ["id", "register", "surname", "forenames", "initial", "birth"]
+    m = m.select(*keep, (F.col(f"`{place}`") if place else F.lit(None).cast("string")).alias("place")).distinct()
     m = cut(m.where("surname <> '' and register is not null and birth is not null and (size(forenames) > 0 or initial <> '')"))
     words, direct = spellings(m.select("surname"))
     total = m.count()
     given = m.select(F.explode("forenames").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n"))
     forename_idf = math.log((total + 1) / max(1.0, given.agg(F.avg("n")).first()[0] or 1.0))
-    m = lookup_join(m, words.select(F.col("word").alias("surname"), "df", "rep"), ["surname"])
+    m = lookup_join(m, words.select(F.col("word").alias("surname"), F.col("rep_df").alias("df"), "rep"), ["surname"])
     # spellings that stand for one another
     links = direct.select(F.col("word").alias("rep"), F.col("anchor").alias("key")).unionByName(direct.select(F.col("anchor").alias("rep"), F.col("word").alias("key"))).distinct()
     near = m.join(links, "rep").unionByName(m.withColumn("key", F.col("rep")))
@@ -184,8 +199,7 @@ def linked_mentions(m: DataFrame, place: str | None = None) -> DataFrame:
     rivals = doubtful.where("initial_a = '' or initial_b = ''").select(one.alias("id"), F.explode(other).alias("f")).groupBy("id").agg(F.countDistinct("f").alias("names"))
     doubtful = lookup_join(lookup_join(doubtful, rivals.select(F.col("id").alias("id_a"), F.col("names").alias("names_a")), ["id_a"], "left"), rivals.select(F.col("id").alias("id_b"), F.col("names").alias("names_b")), ["id_b"], "left")
     alone = (F.coalesce("names_a", F.lit(1)) <= 1) & (F.coalesce("names_b", F.lit(1)) <= 1)
-    if place:
-        alone = alone | (F.col(f"{place}_a") == F.col(f"{place}_b"))
+    alone = alone | F.coalesce(F.col("place_a") == F.col("place_b"), F.lit(False))
     return full.unionByName(doubtful.where(alone).select("id_a", "id_b", "score")).groupBy(F.col("id_a").alias("a"), F.col("id_b").alias("b")).agg(F.max("score").alias("score"))
 
 
