@@ -77,10 +77,8 @@ class LabelModel:
             self.tables = [np.full((2, 3 ** len(g)), 1 / 3 ** len(g)) for g in self.groups]
             return self
         n = n.astype(float)
-        # start from the majority of votes cast
-        lean = (votes - 1).sum(1) / np.maximum((votes != 1).sum(1), 1)
-        p = np.clip(0.5 + 0.49 * lean, 0.01, 0.99) ** 2
-        p = self._em(votes, n, p, rounds)
+        # which functions move together is read off a first opinion, before fitting can mistake an echo for the class
+        p = self._opinion(votes)
         found = sorted(((self._dependence(votes, n, p, i, j), i, j) for i, j in combinations(range(self.k), 2)), reverse=True)
         member = {i: {i} for i in range(self.k)}
         for strength, i, j in found:
@@ -91,9 +89,19 @@ class LabelModel:
                 for x in both:
                     member[x] = both
         self.groups = sorted({tuple(sorted(m)) for m in member.values()})
-        self._em(votes, n, p, rounds)
+        self._em(votes, n, self._opinion(votes), rounds)
         return self
 
+    def _opinion(self, votes: np.ndarray) -> np.ndarray:
+        """Probability of a match by the balance of votes, functions of one group counting once together."""
+        lean, cast = np.zeros(len(votes)), np.zeros(len(votes))
+        for g in self.groups:
+            v = votes[:, list(g)] - 1.0
+            spoke = (v != 0).any(1)
+            lean += np.where(spoke, np.sign(v.sum(1)), 0.0)
+            cast += spoke
+        return 1 / (1 + np.exp(-1.5 * lean))
+
     def _em(self, votes: np.ndarray, n: np.ndarray, p: np.ndarray, rounds: int) -> np.ndarray:
         for _ in range(rounds):
             self._maximise(votes, n, p)

@@ -105,10 +105,10 @@ class Bayes:
     """Log odds of a feature bucket; ``base`` is the prior's."""
 
     def __init__(self, weight: np.ndarray, total: np.ndarray, positive: float, passages_: float) -> None:
-        self.base = float(np.log((positive + 1) / (passages_ - positive + 1)))
-        share = (weight + 0.5 * positive / max(passages_, 1)) / (total + 0.5)
-        prior = positive / max(passages_, 1)
-        odds = np.log(np.clip(share, 1e-6, 1 - 1e-6) / np.clip(1 - share, 1e-6, 1)) - np.log(max(prior, 1e-9) / max(1 - prior, 1e-9))
+        prior = (positive + 0.5) / (passages_ + 1)
+        self.base = float(np.log(prior / (1 - prior)))
+        share = np.clip((weight + 0.5 * prior) / (total + 0.5), prior * 1e-3, 1 - 1e-6)
+        odds = np.log(share / (1 - share)) - self.base
         keep = (total >= MIN_COUNT) & ((share >= PURE) | (share <= prior))
         self.odds = np.where(keep, np.clip(odds, -6, 12), 0.0).astype(np.float32)
 
