@@ -60,7 +60,8 @@ def prefix_join(words: DataFrame, anchors: DataFrame, jaccard: float = JACCARD)
     df_of = everything.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
 
     def prefixes(df: DataFrame) -> DataFrame:
-        ranked = lookup_join(posted(df), df_of, ["g"]).groupBy("word").agg(F.array_sort(F.collect_list(F.struct("df", "g", "at"))).alias("gs"))
+        # bounded: q-grams over 26 letters and two marks, at most 28 ** Q rows
+        ranked = posted(df).join(F.broadcast(df_of), "g").groupBy("word").agg(F.array_sort(F.collect_list(F.struct("df", "g", "at"))).alias("gs"))
         n = F.size("gs")
         keep = n - F.ceil(n * jaccard).cast("int") + 1
         return ranked.select("word", n.alias("n"), F.explode(F.slice("gs", F.lit(1), keep)).alias("p")).select("word", "n", F.col("p.g").alias("g"), F.col("p.at").alias("at"))
@@ -124,7 +125,7 @@ def spellings(surnames: DataFrame) -> tuple[DataFrame, DataFrame]:
     twice = to.join(to.select(F.col("word").alias("rep"), F.col("rep").alias("rep2")), "rep", "left").select("word", F.coalesce("rep2", "rep").alias("rep"))
     words = df_of.join(twice, "word", "left").withColumn("rep", F.coalesce("rep", "word"))
     # a token's rarity is that of the name it stands for, not of the slip
-    words = cut(lookup_join(words, words.groupBy("rep").agg(F.sum("df").alias("rep_df")), ["rep"]))
+    words = cut(words.join(words.groupBy("rep").agg(F.sum("df").alias("rep_df")), "rep"))
     alone = words.where(F.col("rep") == F.col("word")).select("word")
     rare = alone.join(df_of.where(F.col("df") < ANCHOR_LEAST), "word", "left_semi")
     direct = verified(prefix_join(rare, alone))
@@ -172,9 +173,9 @@ def linked_mentions(m: DataFrame, place: str | None = None) -> DataFrame:
     m = m.select(*keep, (F.col(f"`{place}`") if place else F.lit(None).cast("string")).alias("place")).distinct()
     m = cut(m.where("surname <> '' and register is not null and birth is not null and (size(forenames) > 0 or initial <> '')"))
     words, direct = spellings(m.select("surname"))
-    total = m.count()
-    given = m.select(F.explode("forenames").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n"))
-    forename_idf = math.log((total + 1) / max(1.0, given.agg(F.avg("n")).first()[0] or 1.0))
+    given = m.select(F.posexplode_outer("forenames").alias("i", "f")).groupBy("f").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.coalesce("i", F.lit(0)) == 0, 1)).alias("rows"))
+    total, mean = given.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.avg(F.when(F.col("f").isNotNull(), F.col("n")))).first()
+    forename_idf = math.log((total + 1) / max(1.0, mean or 1.0))
     m = lookup_join(m, words.select(F.col("word").alias("surname"), F.col("rep_df").alias("df"), "rep"), ["surname"])
     # spellings that stand for one another
     links = direct.select(F.col("word").alias("rep"), F.col("anchor").alias("key")).unionByName(direct.select(F.col("anchor").alias("rep"), F.col("word").alias("key"))).distinct()
@@ -197,7 +198,8 @@ def linked_mentions(m: DataFrame, place: str | None = None) -> DataFrame:
     one = F.when(F.col("initial_a") != "", F.col("id_a")).otherwise(F.col("id_b"))
     other = F.when(F.col("initial_a") != "", F.col("forenames_b")).otherwise(F.col("forenames_a"))
     rivals = doubtful.where("initial_a = '' or initial_b = ''").select(one.alias("id"), F.explode(other).alias("f")).groupBy("id").agg(F.countDistinct("f").alias("names"))
-    doubtful = lookup_join(lookup_join(doubtful, rivals.select(F.col("id").alias("id_a"), F.col("names").alias("names_a")), ["id_a"], "left"), rivals.select(F.col("id").alias("id_b"), F.col("names").alias("names_b")), ["id_b"], "left")
+    for s in ("a", "b"):
+        doubtful = doubtful.join(rivals.select(F.col("id").alias(f"id_{s}"), F.col("names").alias(f"names_{s}")), f"id_{s}", "left")
     alone = (F.coalesce("names_a", F.lit(1)) <= 1) & (F.coalesce("names_b", F.lit(1)) <= 1)
     alone = alone | F.coalesce(F.col("place_a") == F.col("place_b"), F.lit(False))
     return full.unionByName(doubtful.where(alone).select("id_a", "id_b", "score")).groupBy(F.col("id_a").alias("a"), F.col("id_b").alias("b")).agg(F.max("score").alias("score"))
