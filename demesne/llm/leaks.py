@@ -6,9 +6,10 @@ breaks don't matter.  At every word start of every document a window of the
 stream is mapped by CGK random walks, which turn edit distance into Hamming
 distance, and a few sampled positions of the walk are hashed; items are indexed
 by the same hashes at every word start.  ``WALKS * TABLES`` repetitions reach
-the recall stated in ``expected_recall``.  Each hit is verified exactly: the run
-of item words is followed in both directions, word by word within its slips, and
-counts from ``MIN_WORDS`` words on.
+the recall stated in ``expected_recall``.  Hits with fewer than ``EQUAL`` equal words
+of the ``2 * AROUND + 1`` around them are dropped as like wording.  Each hit left
+is verified exactly: the run of item words is followed in both directions, word
+by word within its slips, and counts from ``MIN_WORDS`` words on.
 
 One pass over the documents, without a shuffle.  The items are the stated query
 set: they are counted, and worked off in blocks of ``ITEM_BLOCK``.
@@ -36,6 +37,9 @@ TABLES = 4
 SAMPLED = 10
 ITEM_BLOCK = 20_000
 CHUNK = 400_000
+#: words around a hit held against the item's, and how many of them must be equal outright before the run is followed
+AROUND = 12
+EQUAL = 6
 SEED = 20240
 
 _BLOCK_TAG = re.compile(r"</?(?:p|br|div|h\d|li|ul|ol|tr|td|th|table|body|html|head|hr|section|article|blockquote|pre|title)\b[^<>]*>", re.I)
@@ -170,20 +174,31 @@ class ItemIndex:
             if len(at):
                 win = np.repeat(at, n)
                 off = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                got.append(np.stack([win, order[np.repeat(lo, n) + off]], axis=1))
+                got.append(win << 32 | order[np.repeat(lo, n) + off])
         if not got:
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        both = np.unique(np.concatenate(got), axis=0)
-        return both[:, 0], both[:, 1]
+        both = np.unique(np.concatenate(got))
+        return both >> 32, both & 0xFFFFFFFF
 
     def leaks(self, texts: list[str | None], least: int) -> list[tuple[int, int, int]]:
         """(text number, item id, longest run) of all runs of at least ``least`` words."""
         doc_words = [words(t) for t in texts]
         codes, starts, owner, number = stream(doc_words)
+        # numbers for words, with a rim so that windows may look past either end
+        flat = pd.factorize(np.array([w for ws in (*doc_words, *self.words) for w in ws], dtype=object))[0]
+        rim = np.full(AROUND, -1)
+        mine = np.concatenate([rim, flat[: len(starts)], rim])
+        theirs = np.concatenate([rim, flat[len(starts) :], rim]) + (np.concatenate([rim, flat[len(starts) :], rim]) < 0) * -1
+        offsets = np.arange(2 * AROUND + 1)
         out: dict[tuple[int, int], int] = {}
         covered: dict[tuple[int, int, int], int] = {}  # by text, item and offset: end of the run followed last
         for a in range(0, len(starts), CHUNK):
             win, it = self.hits(codes, starts[a : a + CHUNK])
+            keep = np.zeros(len(win), dtype=bool)
+            for b in range(0, len(win), CHUNK):
+                x, y = win[b : b + CHUNK] + a, it[b : b + CHUNK]
+                keep[b : b + CHUNK] = (mine[x[:, None] + offsets] == theirs[y[:, None] + offsets]).sum(1) >= EQUAL
+            win, it = win[keep], it[keep]
             for w, i in zip((win + a).tolist(), it.tolist()):
                 k, item, p, q = int(owner[w]), int(self.owner[i]), int(number[w]), int(self.number[i])
                 if p < covered.get((k, item, p - q), -1):
