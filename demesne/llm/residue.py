@@ -27,7 +27,9 @@ from pyspark.sql import types as T
 from demesne.runtime import cut, table
 
 HASH_BITS = 20
-ROUNDS = 4
+ROUNDS = 6
+#: the learning ends early once the residue's weight changes by no more than this share
+SETTLED = 0.002
 MIN_COUNT = 3
 #: a feature counts as sign of residue from this share of its weight on
 PURE = 0.5
@@ -50,7 +52,10 @@ TRUSTED = [
     rf"\b(?:enable|allow|turn on|switch on|activate|needs?|requires?|without|support) (?:the use of )?{_SCRIPT}\b", rf"\b{_SCRIPT} (?:is|are|to be|must be|and cookies)\b.{{0,40}}\b(?:disabled|enabled|off|on|required|allowed|continue)\b", r"\byour browser\b", r"\bmaking sure you are human\b", r"\bsettings and reload\b", r"\bjavascript a bheith\b", r"\bactive content is\b",
     r"\bfatal error\b", r"\buncaught exception\b", r"\bdown for maintenance\b", r"\bbe back shortly\b", r"\bwe can't \w+ that\b.{0,30}\bright now\b", r"\bplease (?:sign|log) in again\b", r"«\s*\w+\s*»",
 ]
+#: Text of which every pattern needs some; a passage without any is not held against the patterns.
+HINTS = ("{", "<%", "%", "@@", "__", "[", "<<", " here>", "«", " undefined", " null", " nan", "lorem", "test", "blah", "x x", "....", "asdf", "fpo", "your ", "goes here", "to be supplied", "coming soon", "placeholder", "dummy", "sample", "insert", "qwerty", "to follow", "not found", "too many", "forbidden", "gateway", "unavailable", "unauthori", "server error", "bad request", "timeout", "time-out", "noscript", "error", "timed out", "connection", "exception", "traceback", "no such table", "failed to", "could not be", "status", "access denied", "permission", "no longer exists", "not available", "unexpected", 'file "', "(", "warning:", "invalid request", "went wrong", "core dumped", "please", "reload", "administrator", "session has", "session expired", "tharla", "aimsíodh", "bain triail", "script", "cookies", " js", "making sure you", "active content", "maintenance", "be back", "right now", "returned")
 _TRUSTED = [re.compile(p) for p in TRUSTED if r"\1" in p] + [re.compile("|".join(f"(?:{p})" for p in TRUSTED if r"\1" not in p))]
+_REPEATED = re.compile(r"([a-z])\1{2}")
 _SPLIT = re.compile(r"(?<=[.?!])[\s ]+|[\r\n]+|</?(?:p|br|div|h\d|li|tr|td|body|html|title|pre)\b[^<>]*>", re.I)
 _TAG = re.compile(r"</?(?:i|b|em|strong|span|a|u|sup|sub|font)\b[^<>]*>", re.I)
 _TOKEN = re.compile(r"[\w]+(?:['’][\w]+)?|\{\{|\}\}|\$\{|#\{|<%=?|%>|@@|\[\[|\]\]|<<|>>|%\(|\)s|_{2,}|\.{3}|[{}\[\]<>«»%@#$=|()\"*]")
@@ -68,7 +73,7 @@ def passages(text: str | None) -> list[str]:
 
 def trusted(passage: str) -> bool:
     low = passage.lower()
-    if any(p.search(low) for p in _TRUSTED):
+    if (_REPEATED.match(low) or any(h in low for h in HINTS)) and any(p.search(low) for p in _TRUSTED):
         return True
     ws = re.findall(r"[a-z]+", low)
     return len(ws) >= 6 and sum(w in LOREM for w in ws) >= 0.7 * len(ws)
@@ -143,10 +148,11 @@ def split_documents(documents: DataFrame) -> DataFrame:
 
 
 def learned(split: DataFrame, rounds: int = ROUNDS) -> Bayes:
-    """The model after ``rounds`` of expectation-maximization over all passages."""
+    """The model after at most ``rounds`` of expectation-maximization over all passages."""
     sc = split.sparkSession.sparkContext
     size = 2**HASH_BITS
     model: Bayes | None = None
+    before = -1.0
     for _ in range(rounds + 1):
         shared = sc.broadcast(model)
 
@@ -173,7 +179,11 @@ def learned(split: DataFrame, rounds: int = ROUNDS) -> Bayes:
         rest = got[got["bucket"] >= 0]
         w, n = np.zeros(size), np.zeros(size)
         w[rest["bucket"]], n[rest["bucket"]] = rest["w"], rest["n"]
-        model = Bayes(w, n, float(whole["w"].sum()), float(whole["n"].sum()))
+        positive = float(whole["w"].sum())
+        model = Bayes(w, n, positive, float(whole["n"].sum()))
+        if abs(positive - before) <= SETTLED * positive:
+            break
+        before = positive
     return model
 
 
