@@ -22,7 +22,7 @@ def _questions(spark, d):
     return spark.createDataFrame([(1, "arrears left standing when the agent closed the book"), (2, "widow of the carpenter without goats"), (3, "persons put down for the ship to quebec"), (4, "lease fell in and no renewal")], "query_id long, ask string")
 
 
-_Q_SQL = "q AS (SELECT * FROM (VALUES (1, 'arrears left standing when the agent closed the book'), (2, 'widow of the carpenter without goats'), (3, 'persons put down for the ship to quebec'), (4, 'lease fell in and no renewal')) AS t(query_id, ask))"
+_Q_SQL = "q AS (SELECT CAST(query_id AS BIGINT) AS query_id, ask FROM (VALUES (1, 'arrears left standing when the agent closed the book'), (2, 'widow of the carpenter without goats'), (3, 'persons put down for the ship to quebec'), (4, 'lease fell in and no renewal')) AS t(query_id, ask))"
 
 
 def _dense(spark, d):
