@@ -156,9 +156,13 @@ class Dictionary:
             k = len(self.entries)
             self.entries.append((body, qualifier, name, known[name]))
             self.exact[body].append(k)
-            for d in deletes(skeleton(body), edits) | deletes("*" + sound(body), edits):
+            for d in self._stubs(body):
                 self.near[d].append(k)
 
+    def _stubs(self, body: str) -> set[str]:
+        """Deletions of the letters, of the skeleton and of the sound of a name."""
+        return deletes("+" + body, self.edits) | deletes(skeleton(body), self.edits) | deletes("*" + sound(body), self.edits)
+
     def best(self, text: str | None) -> tuple[str | None, float]:
         """(canonical name, weighted distance) or (None, inf)."""
         found: list[tuple[float, int, str]] = []
@@ -166,7 +170,7 @@ class Dictionary:
             met = self.exact.get(body)
             exact = bool(met)
             if not met:
-                met = {k for d in deletes(skeleton(body), self.edits) | deletes("*" + sound(body), self.edits) for k in self.near.get(d, ())}
+                met = {k for d in self._stubs(body) for k in self.near.get(d, ())}
             for k in met:
                 name_body, name_qualifier, name, freq = self.entries[k]
                 most = limit(min(len(body), len(name_body)))
