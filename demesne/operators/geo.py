@@ -2,8 +2,8 @@
 
 Regions are split by trapezoidal decomposition into slabs, and the slabs, not
 the regions, are distributed: a slab and the points meet in a grid whose cells
-are as wide and as high as the slab (powers of two degrees, each axis its own),
-so no slab covers more than four cells whatever its size.  A point is located by
+are at least as wide and as high as the slab (powers of two degrees, each axis its
+own), so no slab covers more than four cells whatever its size.  A point is located by
 binary search among the edges of a slab, as a Catalyst expression.
 
 Near pairs meet in a grid of the search radius; a crowded cell is cut into
@@ -24,8 +24,9 @@ from demesne.functions.geometry import EARTH_KM, IRELAND, Box, haversine_km, pol
 from demesne.runtime import cut, lookup_join, spread
 
 BLOCK = 512
-#: finest and coarsest grid cells, as powers of two degrees
-FINEST, COARSEST = -20, 8
+#: finest and coarsest grid cells, as powers of two degrees, and the step between levels; every point
+#: is looked up once a pair of levels in use, so levels are few
+FINEST, COARSEST, STEP = -12, 8, 2
 
 
 def true_locations(places: DataFrame, id_col: str = "id", lat: str = "centroid_lat", lon: str = "centroid_lon", wkt: str = "wkt_geometry", box: Box = IRELAND) -> DataFrame:
@@ -64,7 +65,7 @@ def region_slabs(regions: DataFrame, id_col: str = "id", wkt: str = "wkt_geometr
 
 
 def _level(extent: Column) -> Column:
-    up = F.ceil(F.log2(F.greatest(extent, F.lit(2.0**FINEST)))).cast("int")
+    up = (F.ceil(F.log2(F.greatest(extent, F.lit(2.0**FINEST))) / STEP) * STEP).cast("int")
     return F.least(F.greatest(up, F.lit(FINEST)), F.lit(COARSEST))
 
 
@@ -94,7 +95,7 @@ def points_in_regions(points: DataFrame, region_slab: DataFrame) -> DataFrame:
     s = cut(s.withColumn("lx", _level(F.col("x1") - F.col("x0"))).withColumn("ly", _level(F.col("y1") - F.col("y0"))))
     span = lambda a, b, lv: F.explode(F.sequence(_cell(F.col(a), F.col(lv)), _cell(F.col(b), F.col(lv))))
     s = s.withColumn("cx", span("x0", "x1", "lx")).withColumn("cy", span("y0", "y1", "ly"))
-    # at most (COARSEST - FINEST + 1) squared level pairs exist
+    # at most ((COARSEST - FINEST) / STEP + 1) squared level pairs exist
     levels = [F.struct(F.lit(r["lx"]).alias("lx"), F.lit(r["ly"]).alias("ly")) for r in s.select("lx", "ly").distinct().collect()]
     if not levels:
         return points.join(region_slab.select("region"), F.lit(False)).select("id", "region")
