@@ -56,7 +56,31 @@ u AS (SELECT *, {_UNIT_SQL.format(t="c")} AS uc, {_UNIT_SQL.format(t="h")} AS uh
 w AS (SELECT *, coalesce(acres_english, acres_irish * 196.0 / 121, acres * coalesce(uc, uh, 1.0), vc * uc, vh * uh) AS statute,
   CASE WHEN acres_english IS NOT NULL THEN 'acres_english' WHEN acres_irish IS NOT NULL THEN 'acres_irish' WHEN acres IS NOT NULL THEN 'acres' ELSE 'text' END AS area_source FROM u)
 """
+_FIX = """CASE WHEN {a} BETWEEN 51 AND 56 AND {o} BETWEEN -11 AND -4 THEN [{a}, {o}] WHEN {o} BETWEEN 51 AND 56 AND {a} BETWEEN -11 AND -4 THEN [{o}, {a}]
+  WHEN {a} BETWEEN 51 AND 56 AND -{o} BETWEEN -11 AND -4 THEN [{a}, -{o}] WHEN {o} BETWEEN 51 AND 56 AND -{a} BETWEEN -11 AND -4 THEN [{o}, -{a}] END"""
+_POINT = r"(?is)^\s*(?:srid\s*=\s*\d+\s*;)?\s*point\s*z?\s*\(\s*([-+0-9.]+)\s+([-+0-9.]+)(?:\s+[-+0-9.]+)?\s*\)\s*$"
+_P4_SQL = rf"""
+WITH g AS (SELECT *, regexp_extract(wkt_geometry, '{_POINT}', ['x', 'y']) AS m FROM townland),
+h AS (SELECT *, try_cast(m.x AS DOUBLE) AS px, try_cast(m.y AS DOUBLE) AS py FROM g),
+l AS (SELECT id, coalesce({_FIX.format(a="centroid_lat", o="centroid_lon")}, {_FIX.format(a="py", o="px")}) AS pos FROM h),
+p AS (SELECT id, pos[1] AS lat, pos[2] AS lon FROM l WHERE pos IS NOT NULL),
+w AS (SELECT id, string_split_regex(wkt_geometry, '\)\s*\)\s*,\s*\(') AS parts FROM townland
+  WHERE regexp_matches(wkt_geometry, '(?i)polygon\s*z?\s*\(') AND regexp_matches(wkt_geometry, '\)\s*$') AND length(replace(wkt_geometry, '(', '')) = length(replace(wkt_geometry, ')', ''))),
+o AS (SELECT id, unnest(range(1, len(parts) + 1)) AS part, unnest(parts) || ')' AS t FROM w),
+r AS (SELECT id, part, unnest(regexp_extract_all('(' || t, '\(([^()]+)\)', 1)) AS ring FROM o),
+c AS (SELECT id, part, list_transform(string_split(ring, ','), lambda t: string_split(trim(regexp_replace(t, '\s+', ' ', 'g')), ' ')) AS q FROM r),
+d AS (SELECT id, part, CASE WHEN q[1][1]::DOUBLE > 50 THEN list_transform(q, lambda t: [t[2]::DOUBLE, t[1]::DOUBLE]) ELSE list_transform(q, lambda t: [t[1]::DOUBLE, t[2]::DOUBLE]) END AS q FROM c),
+e AS (SELECT id, part, unnest(list_zip(q[:len(q) - 1], q[2:])) AS s FROM d),
+k AS (SELECT id, part, s[1][1] AS x0, s[1][2] AS y0, s[2][1] AS x1, s[2][2] AS y1 FROM e),
+b AS (SELECT id, part, min(x0) AS xa, max(x0) AS xb, min(y0) AS ya, max(y0) AS yb FROM k GROUP BY 1, 2),
+i AS (SELECT p.id AS a, k.id AS b, k.part FROM p JOIN b ON p.id <> b.id AND p.lon BETWEEN xa AND xb AND p.lat BETWEEN ya AND yb
+  JOIN k ON k.id = b.id AND k.part = b.part WHERE (k.x0 > p.lon) <> (k.x1 > p.lon) AND k.y0 + (p.lon - k.x0) * (k.y1 - k.y0) / (k.x1 - k.x0) <= p.lat GROUP BY 1, 2, 3 HAVING count(*) % 2 = 1),
+n AS (SELECT u.id AS a, v.id AS b FROM p u JOIN p v ON u.id < v.id AND abs(u.lat - v.lat) < 0.001
+  WHERE 2 * 6371.0::DOUBLE * asin(least(1.0, sqrt(pow(sin(radians(v.lat - u.lat) / 2), 2) + cos(radians(u.lat)) * cos(radians(v.lat)) * pow(sin(radians(v.lon - u.lon) / 2), 2)))) <= {NEAR_KM})
+SELECT a AS townland_id_a, b AS townland_id_b FROM n UNION SELECT least(a, b), greatest(a, b) FROM i
+"""
 SQL = {
+    "p4_found": _P4_SQL,
     "p6_found": _AREAS_SQL + "SELECT id FROM w WHERE abs(holding_acres - statute) > 0.02 * abs(statute)",
     "p6_areas": _AREAS_SQL + "SELECT id, area_source, floor(statute * 1000 + 0.5) / 1000 AS statute_acres FROM w WHERE statute IS NOT NULL",
 }
