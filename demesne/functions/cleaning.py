@@ -14,7 +14,7 @@ from demesne.runtime import ws_trim
 #: Given-name abbreviations of the registers.
 ABBREVIATIONS = {"JNO": "JOHN", "WM": "WILLIAM", "JAS": "JAMES", "THOS": "THOMAS", "MARGT": "MARGARET", "MICHL": "MICHAEL", "PATK": "PATRICK", "PAT": "PATRICK", "MATTW": "MATTHEW", "EDWD": "EDWARD"}
 #: Words that point to Canada in a destination.
-CANADA = ["canada", "quebec", "montreal", "grosse isle", "st. andrews", "st. john", "new brunswick", "nova scotia", "ontario", "toronto", "halifax"]
+CANADA = ["canada", "quebec", "st andrews", "st. andrews", "st andrew", "grosse isle", "new brunswick", "nova scotia", "ontario", "montreal", "toronto"]
 #: Latin letters with accents and their plain forms, for JVM-side folding.
 ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"

@@ -38,7 +38,7 @@ def c_decade_bucket(spark, d):
 
 def c_derived_household(spark, d):
     parts = [F.col(c) for c in ("sons", "daughters", "servants_male", "servants_female", "other_males_in_household", "other_famales_in_household")]
-    return views.records(spark, d).select("id", C.children_count(F.col("sons"), F.col("daughters")).alias("children"), C.family_size(*parts).alias("size"), C.is_widow(F.col("forename"), F.col("role"), F.col("comments")).alias("widow"), C.is_canada(F.col("arrival"), F.col("departure")).alias("canada"))
+    return views.records(spark, d).select("id", C.children_count(F.col("sons"), F.col("daughters")).alias("children"), C.family_size(*parts).alias("size"), C.is_widow(F.col("forename"), F.col("role"), F.col("comments")).alias("widow"), C.is_canada(F.col("arrival")).alias("canada"))
 
 
 def c_unpivot_wide_years(spark, d):
@@ -164,7 +164,7 @@ SQL = {
     "c_extract_year_regex": "SELECT doc_id, try_cast(regexp_extract(text, '\\b(18\\d{2}|19[0-2]\\d)\\b', 1) AS INTEGER) AS year FROM documents",
     "c_person_name_split": _split_sql(),
     "c_decade_bucket": "SELECT CAST(floor(year / 10) * 10 AS INTEGER) AS decade, count(*) AS n FROM unified_record GROUP BY 1",
-    "c_derived_household": f"SELECT id, CASE WHEN sons IS NOT NULL OR daughters IS NOT NULL THEN coalesce(sons, 0) + coalesce(daughters, 0) END AS children, CASE WHEN {_SUM} > 0 THEN {_SUM} + 1 END AS size, CAST(contains(' ' || lower(concat_ws(' ', forename, role, comments)), ' widow') AS INTEGER) AS widow, CAST(regexp_matches(lower(concat_ws(' ', arrival, departure)), '" + "|".join(w.replace(".", "\\.") for w in C.CANADA) + "') AS INTEGER) AS canada FROM unified_record",
+    "c_derived_household": f"SELECT id, CASE WHEN sons IS NOT NULL OR daughters IS NOT NULL THEN coalesce(sons, 0) + coalesce(daughters, 0) END AS children, CASE WHEN {_SUM} > 0 THEN {_SUM} + 1 END AS size, CAST(contains(' ' || lower(concat_ws(' ', forename, role, comments)), ' widow') AS INTEGER) AS widow, CAST(regexp_matches(lower(concat_ws(' ', arrival)), '" + "|".join(w.replace(".", "\\.") for w in C.CANADA) + "') AS INTEGER) AS canada FROM unified_record",
     "c_unpivot_wide_years": f"WITH {views.CENSUS}, p AS (SELECT DISTINCT townland_norm FROM census WHERE year IN (1841, 1851)), y AS (SELECT unnest([1841, 1851]) AS year), k AS (SELECT unnest(['male', 'female']) AS kind) SELECT p.townland_norm, CAST(y.year AS INTEGER) AS year, kind, CASE kind WHEN 'male' THEN male ELSE female END AS value FROM p CROSS JOIN y CROSS JOIN k LEFT JOIN census c ON c.townland_norm = p.townland_norm AND c.year = y.year",
     "c_json_props_map": "WITH k AS (SELECT event_type, props, unnest(json_keys(props)) AS key FROM events) SELECT event_type, key, count(*) AS n, max(json_extract_string(props, '$.' || key)) AS greatest FROM k GROUP BY 1, 2",
     "c_payload_details": "SELECT DISTINCT id, json_extract_string(source_payload_json, '$.register') AS register, json_extract_string(source_payload_json, '$.folio') AS folio FROM source_mentions WHERE source_payload_json IS NOT NULL",

@@ -16,6 +16,9 @@ from demesne.operators.upsert import unpivot_years
 #: Cleaning of a typed delimited file: column -> kind.
 KINDS = {"text": C.clean_text, "int": C.to_int, "float": C.to_float, "gender": C.clean_gender, "flag": C.to_flag, "place": C.norm_place}
 
+#: Class words of the feature groups.
+FEATURE_WORDS = {"ring_fort": ["ringfort", "ring-ditch", "ringwork", "ring-barrow", "hillfort"], "holy_well": ["holy well"]}
+
 
 def find_file(name: str, folders: Iterable[str]) -> str | None:
     """The first of the folders that holds the file."""
@@ -56,7 +59,7 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.explode(features).alias("f")).select("f.properties", "f.geometry")
 
 
-def point_features(features: DataFrame, classes: dict[str, list[str]], class_key: str = "monument_class") -> DataFrame:
+def point_features(features: DataFrame, classes: dict[str, list[str]] = FEATURE_WORDS, class_key: str = "monument_class") -> DataFrame:
     """(feature_group, name, lon, lat) of point features whose class holds one of a group's words, with coordinates in Ireland."""
     kind = F.lower(F.col("properties")[class_key])
     group = F.when(F.lit(False), "")
