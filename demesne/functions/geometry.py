@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 EARTH_KM = 6371.0
 #: south, north, west, east of all places
@@ -133,3 +135,93 @@ def slabs(rings: list[np.ndarray]) -> list[tuple[float, float, list[float], list
         order = np.argsort(lo + hi, kind="stable")
         out.append((float(x0), float(x1), lo[order].tolist(), hi[order].tolist()))
     return out
+
+
+def _crossings(rings: list[np.ndarray], x: float) -> np.ndarray:
+    """Sorted heights at which the edges of one polygon part cross the vertical at ``x``."""
+    a = np.concatenate([r[:-1] for r in rings])
+    b = np.concatenate([r[1:] for r in rings])
+    on = (a[:, 0] > x) != (b[:, 0] > x)
+    a, b = a[on], b[on]
+    return np.sort(a[:, 1] + (x - a[:, 0]) * (b[:, 1] - a[:, 1]) / (b[:, 0] - a[:, 0]))
+
+
+def _cuts(parts: list[list[np.ndarray]]) -> np.ndarray:
+    """Abscissae between which no edges start, end or cross."""
+    a = np.concatenate([r[:-1] for p in parts for r in p])
+    b = np.concatenate([r[1:] for p in parts for r in p])
+    d = b - a
+    xs = [a[:, 0]]
+    for i in range(len(a)):
+        den = d[i, 0] * d[:, 1] - d[i, 1] * d[:, 0]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t = ((a[:, 0] - a[i, 0]) * d[:, 1] - (a[:, 1] - a[i, 1]) * d[:, 0]) / den
+            u = ((a[:, 0] - a[i, 0]) * d[i, 1] - (a[:, 1] - a[i, 1]) * d[i, 0]) / den
+        hit = (den != 0) & (t > 0) & (t < 1) & (u > 0) & (u < 1)
+        xs.append(a[i, 0] + t[hit] * d[i, 0])
+    return np.unique(np.concatenate(xs))
+
+
+def _spans(parts: list[list[np.ndarray]], x: float) -> list[tuple[float, float]]:
+    """Disjoint intervals of the vertical at ``x`` inside any part."""
+    pairs = sorted((float(lo), float(hi)) for p in parts for c in [_crossings(p, x)] for lo, hi in zip(c[::2], c[1::2]))
+    out: list[tuple[float, float]] = []
+    for lo, hi in pairs:
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], hi))
+        else:
+            out.append((lo, hi))
+    return out
+
+
+def overlap(a: list[list[np.ndarray]], b: list[list[np.ndarray]]) -> tuple[float, float, float]:
+    """(area of a, of b, of both) in square degrees: exact slab by slab, as edges are straight between cuts."""
+    if not a or not b:
+        return 0.0, 0.0, 0.0
+    xs = _cuts([*a, *b])
+    total = [0.0, 0.0, 0.0]
+    for x0, x1 in zip(xs[:-1], xs[1:]):
+        mid, width = (x0 + x1) / 2, x1 - x0
+        p, q = _spans(a, mid), _spans(b, mid)
+        total[0] += width * sum(hi - lo for lo, hi in p)
+        total[1] += width * sum(hi - lo for lo, hi in q)
+        total[2] += width * sum(max(0.0, min(h1, h2) - max(l1, l2)) for l1, h1 in p for l2, h2 in q)
+    return total[0], total[1], total[2]
+
+
+def iou(a: str | None, b: str | None, box: Box | None = IRELAND) -> float | None:
+    """Intersection over union of two polygon texts; null unless both can be read."""
+    p, q = polygon_parts(a, box), polygon_parts(b, box)
+    if not p or not q:
+        return None
+    area_a, area_b, both = overlap(p, q)
+    union = area_a + area_b - both
+    return both / union if union > 0 else 0.0
+
+
+@F.pandas_udf(T.DoubleType())
+def iou_col(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([iou(x, y) for x, y in zip(a, b)], dtype="float64")
+
+
+def shape_flag(wkt: str | None, box: Box = IRELAND) -> str:
+    """``missing``, ``point``, ``empty``, ``broken``, ``outside``, ``repaired`` (axes or sign) or ``valid``."""
+    text = (wkt or "").strip()
+    if not text or text.lower() in ("n/a", "null", "none"):
+        return "missing"
+    if re.search(r"(?i)\bempty\b", text):
+        return "empty"
+    if re.match(r"(?i)\s*(?:srid\s*=\s*\d+\s*;)?\s*point", text):
+        return "point"
+    raw = polygon_parts(text, None)
+    if not raw:
+        return "broken"
+    fixed = polygon_parts(text, box)
+    if not fixed:
+        return "outside"
+    return "valid" if all((r == f).all() for a, b in zip(raw, fixed) for r, f in zip(a, b)) else "repaired"
+
+
+@F.pandas_udf(T.StringType())
+def shape_flag_col(wkt: pd.Series) -> pd.Series:
+    return wkt.map(shape_flag)

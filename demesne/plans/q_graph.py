@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from demesne.functions.geometry import haversine_km, wkt_point
+from demesne.functions.geometry import haversine_km, iou_col, shape_flag_col, wkt_point
 from demesne.operators import geo, graph
 from demesne.plans import views
 from demesne.runtime import cut, lookup_join, table
@@ -72,6 +72,27 @@ def g_pip_any_ring(spark, d):
     return geo.points_in_regions(points, geo.region_slabs(views.places(spark, d))).groupBy("region").agg(F.count(F.lit(1)).alias("inside"))
 
 
+def g_polygon_iou(spark, d):
+    """Overlap of the outlines that different sources give for one name; met by name, the dictionary's against the others."""
+    p = views.places(spark, d).where(F.col("wkt_geometry").ilike("%polygon%") & F.col("name").isNotNull()).select("id", F.upper("name").alias("name"), "source", "wkt_geometry")
+    a = p.where("source = 'json'").select("name", F.col("id").alias("id_a"), F.col("wkt_geometry").alias("wa"))
+    b = p.where("source <> 'json'").select("name", F.col("id").alias("id_b"), F.col("wkt_geometry").alias("wb"))
+    return a.join(b, "name").select("id_a", "id_b", F.round(iou_col("wa", "wb"), 6).alias("iou"))
+
+
+def g_shape_flags(spark, d):
+    return views.places(spark, d).groupBy(shape_flag_col("wkt_geometry").alias("flag")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def g_mean_centroid(spark, d):
+    """Mean of the corners of single-ring outlines, the closing corner left out."""
+    p = views.places(spark, d).where(F.col("wkt_geometry").rlike(r"^POLYGON \(\(-1?\d\.[^()]*\)\)$"))
+    pts = F.split(F.regexp_extract("wkt_geometry", r"\(\(([^()]*)\)\)", 1), r"\s*,\s*")
+    open_ = F.slice(pts, F.lit(1), F.size(pts) - 1)
+    mean = lambda k: F.aggregate(open_, F.lit(0.0), lambda s, t: s + F.split(F.trim(t), r"\s+")[k].cast("double")) / F.size(open_)
+    return p.select("id", (F.floor(mean(0) * 1e6 + 0.5) / 1e6).alias("x"), (F.floor(mean(1) * 1e6 + 0.5) / 1e6).alias("y"))
+
+
 def g_choropleth_bins(spark, d):
     c = views.census(spark, d).where("year = 1841")
     bins = F.when(F.col("total") < 5, 0).when(F.col("total") < 10, 1).when(F.col("total") < 20, 2).when(F.col("total") < 40, 3).when(F.col("total") < 80, 4).when(F.col("total") < 160, 5).otherwise(6)
@@ -224,6 +245,7 @@ SQL = {
     "g_nearby_topk": f"WITH {_FB} SELECT id, name, floor(km * 1000 + 0.5) / 1000 AS km FROM f ORDER BY km, id LIMIT 30",
     "g_radius_pairs": f"WITH {_C}, p AS (SELECT a.id AS x, b.id AS y FROM c a JOIN c b ON a.id <> b.id AND abs(a.lat - b.lat) < 0.003 WHERE {_KM('a', 'b')} <= 0.3) SELECT x AS id, count(*) AS near FROM p GROUP BY 1",
     "g_bbox_center": "WITH p AS (SELECT id, list_transform(string_split(regexp_extract(wkt_geometry, '\\(\\(([^()]*)\\)\\)', 1), ','), lambda t: string_split_regex(trim(regexp_replace(t, '\\s+', ' ', 'g')), ' ')) AS pts FROM townland WHERE regexp_matches(wkt_geometry, '^POLYGON \\(\\(-1?\\d\\.[^()]*\\)\\)$')) SELECT id, (list_min(list_transform(pts, lambda t: t[1]::DOUBLE)) + list_max(list_transform(pts, lambda t: t[1]::DOUBLE))) / 2 AS x, (list_min(list_transform(pts, lambda t: t[2]::DOUBLE)) + list_max(list_transform(pts, lambda t: t[2]::DOUBLE))) / 2 AS y FROM p",
+    "g_mean_centroid": "WITH p AS (SELECT id, string_split(regexp_extract(wkt_geometry, '\\(\\(([^()]*)\\)\\)', 1), ',') AS pts FROM townland WHERE regexp_matches(wkt_geometry, '^POLYGON \\(\\(-1?\\d\\.[^()]*\\)\\)$')), q AS (SELECT id, list_transform(pts[:len(pts) - 1], lambda t: string_split(trim(regexp_replace(t, '\\s+', ' ', 'g')), ' ')) AS o FROM p) SELECT id, floor(list_sum(list_transform(o, lambda t: t[1]::DOUBLE)) / len(o) * 1e6 + 0.5) / 1e6 AS x, floor(list_sum(list_transform(o, lambda t: t[2]::DOUBLE)) / len(o) * 1e6 + 0.5) / 1e6 AS y FROM q",
     "g_point_parse": "WITH p AS (SELECT id, regexp_extract(wkt_geometry, '(?is)^\\s*(?:srid\\s*=\\s*\\d+\\s*;)?\\s*point\\s*z?\\s*\\(\\s*([-+0-9.]+)\\s+([-+0-9.]+)(?:\\s+[-+0-9.]+)?\\s*\\)\\s*$', ['x', 'y']) AS m FROM townland) SELECT id, m.y::DOUBLE AS lat, m.x::DOUBLE AS lon FROM p WHERE m.x <> ''",
     "g_valid_coordinates": "SELECT CASE WHEN centroid_lat IS NULL OR centroid_lon IS NULL THEN 'missing' WHEN centroid_lat = 0 AND centroid_lon = 0 THEN 'void' WHEN centroid_lat BETWEEN 51 AND 56 AND centroid_lon BETWEEN -11 AND -4 THEN 'valid' ELSE 'outside' END AS kind, count(*) AS n FROM townland GROUP BY 1",
     "g_choropleth_bins": f"WITH {views.CENSUS} SELECT CASE WHEN total < 5 THEN 0 WHEN total < 10 THEN 1 WHEN total < 20 THEN 2 WHEN total < 40 THEN 3 WHEN total < 80 THEN 4 WHEN total < 160 THEN 5 ELSE 6 END AS bin, count(*) AS places, CAST(sum(total) AS BIGINT) AS people FROM census WHERE year = 1841 GROUP BY 1",

@@ -101,3 +101,17 @@ def test_evaluation():
     assert E.same_row_value([{"y": 1847, "n": 2211}], 1847, 2211) and not E.same_row_value([{"y": 1848, "n": 2211}], 1847, 2211)
     assert E.same_total([{"a": "x", "n": 2}, {"a": "y", "n": 3}], 5) and E.nearest_rank([3, 1, 2], 0.5) == 2 and E.nearest_rank([], 0.5) is None and E.recall_of([1], [1, 2]) == 0.5
     assert math.isclose(E.recall_of([], []), 1.0)
+
+
+def test_overlap_of_outlines():
+    from demesne.functions.geometry import iou, shape_flag
+
+    box = lambda x, y, w: f"POLYGON (({x} {y}, {x + w} {y}, {x + w} {y + w}, {x} {y + w}, {x} {y}))"
+    assert iou(box(-7, 52, 1), box(-7, 52, 1)) == pytest.approx(1.0) and iou(box(-7, 52, 1), box(-5.5, 52, 1)) == 0.0
+    assert iou(box(-7, 52, 1), box(-6.5, 52.5, 1)) == pytest.approx(0.25 / 1.75)
+    holed = "POLYGON ((-7 52, -6 52, -6 53, -7 53, -7 52), (-6.75 52.25, -6.25 52.25, -6.25 52.75, -6.75 52.75, -6.75 52.25))"
+    assert iou(box(-7, 52, 1), holed) == pytest.approx(0.75) and iou(None, holed) is None and iou("n/a", "x") is None
+    diamond = "POLYGON ((-6.5 52, -6 52.5, -6.5 53, -7 52.5, -6.5 52))"
+    assert iou(box(-7, 52, 1), diamond) == pytest.approx(0.5)
+    flags = [shape_flag(t) for t in (None, "POINT (1 2)", "POLYGON EMPTY", "POLYGON ((1 2", box(-7, 52, 1), box(20, 20, 1), "POLYGON ((52 -7, 53 -7, 53 -6, 52 -6, 52 -7))")]
+    assert flags == ["missing", "point", "empty", "broken", "valid", "outside", "repaired"]
