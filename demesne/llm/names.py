@@ -120,7 +120,7 @@ def spellings(surnames: DataFrame) -> tuple[DataFrame, DataFrame]:
     frequent = df_of.where(F.col("df") >= ANCHOR_LEAST)
     # frequent misspellings find their stand-in first, so that rare ones need only be held against what is left
     to = cut(_stand_ins(frequent, frequent, df_of))
-    roots = cut(frequent.join(to, "word", "left_anti"))
+    roots = frequent.join(to, "word", "left_anti")
     to = cut(to.unionByName(_stand_ins(df_of.where(F.col("df") < ANCHOR_LEAST), roots, df_of)))
     twice = to.join(to.select(F.col("word").alias("rep"), F.col("rep").alias("rep2")), "rep", "left").select("word", F.coalesce("rep2", "rep").alias("rep"))
     words = df_of.join(twice, "word", "left").withColumn("rep", F.coalesce("rep", "word"))
