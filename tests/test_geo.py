@@ -53,7 +53,7 @@ def brute(rows, reach):
 
 
 def test_neighbours_match_brute_force(spark):
-    rows = duckdb.sql("select id, centroid_lat, centroid_lon, wkt_geometry, name from '/root/testdata/sf0.01/townland.parquet'").fetchall()
+    rows = duckdb.connect().sql("select id, centroid_lat, centroid_lon, wkt_geometry, name from '/root/testdata/sf0.01/townland.parquet'").fetchall()
     got = {tuple(r) for r in geo.neighbours(spark.createDataFrame(rows, COLUMNS), 0.1).select("id_a", "id_b").collect()}
     want = brute(rows, 0.1)
     assert got == want and len(want) > 100
