@@ -42,18 +42,18 @@ _SCRIPT = r"(?:java ?scripts?|js|scripts?|scripting|cookies)"
 TRUSTED = [
     # placeholders left unfilled
     r"\{\{\s*[\w. ]+\s*\}\}", r"[$#]\{\s*[\w. ]+\s*\}", r"<%=?\s*[\w. ]+\s*%>", r"%\([a-z_]+\)s", r"%[a-z]+_?[a-z]*%", r"@@\w+@@", r"__[a-z]+(?:_[a-z]+)*__", r"\[\[\s*\w+\s*\]\]", r"<<\s*\w+\s*>>",
-    r"\[(?:insert|enter|your|add|type)\b[^\]]*\]", r"<[a-z_ ]+ here>", r"\{(?!sic\b|see\b)[a-z_]+\}", r"\[object object\]", r"\b(?:of|in|on|for|population|family|at|record|name:|place:|year:|age:|id:|records:) (?:undefined|null|nan)\b(?! on| by| and)",
+    r"\[(?:insert|enter|your|add|type)\b[^\]]*\]", r"<[a-z_ ]+ here>", r"\{(?!sic\b|see\b)[a-z_]+\}", r"\[object object\]", r"\b(?:of|in|on|for|year|population|family|at|record|name:|place:|year:|age:|id:|records:) (?:undefined|null|nan)\b(?! on| by| and)",
     # filler
     r"\blorem ipsum\b", r"\b(?:test[ ,]+){2,}", r"\b(?:blah[ ,]+){2,}", r"^(?:x ){4,}", r"^([a-z])\1{2,}(?:[ .,]+\1{2,})*[ .]*$", r"^\.{4,}$", r"^_{10,}$", r"\basdf", r"\bfpo\b", r"\b(?:type|enter|add) your \w+ here\b", r"\b(?:placeholder|dummy|sample) (?:\w+ )?(?:text|content|copy)\b", r"\binsert (?:\w+ )?(?:body )?(?:copy|text|content)\b", r"^(?:content|text|copy|details) to follow\b", r"\b(?:text|content|description|title|wording) (?:goes here|to be supplied|coming soon)\b", r"\bqwerty",
     # errors
-    r"\b[45]\d\d\b.{0,20}\b(?:not found|too many requests|forbidden|gateway|unavailable|unauthori[sz]ed|server error|bad request|request time-?out)\b", r"\bnoscript\b", r"\bnot found on this server\b", r"\berror (?:code|establishing|id|ref)", r"\binternal server error\b", r"\bbad gateway\b", r"\btemporarily unavailable\b", r"\btimed out while\b", r"\btimeout of \d+ ?ms\b", r"\bconnection (?:reset by peer|refused|timed out)\b", r"\b\w+(?:error|exception):", r"\btraceback \(most recent", r"\bsql error\b", r"\bno such table\b", r"\bfailed to (?:load|fetch|read|parse)\b", r"\bcould not be loaded\b", r"\bstatus(?: code)?\"?:? \d{3}\b", r"^too many requests\b", r"^access denied\b", r"\byou do not have permission\b", r"\bno longer exists\b", r"\bnot available in your region\b", r"\bunexpected condition\b", r"\bapplication error\b", r"\breturned an error\b", r"\bfile \"[\w.]+\", line \d+", r"\bat \w+ \([\w.]+:\d+\)", r"^warning: \w+\(\)", r"\binvalid request: parameter\b", r"\bsomething went wrong\b", r"\bcore dumped\b", r"\bplease (?:reload|try again|slow down|pause and try)", r"\bthen reload the page\b", r"\bcontact your administrator\b", r"\bsession (?:has )?(?:expired|timed out)\b.{0,30}\b(?:sign|log) in\b",
+    r"\b[45]\d\d\b.{0,20}\b(?:not found|too many requests|forbidden|gateway|unavailable|unauthori[sz]ed|server error|bad request|request time-?out|gone)\b", r"\bnoscript\b", r"\bnot found on this server\b", r"\berror (?:code|establishing|id|ref)", r"\binternal server error\b", r"\bbad gateway\b", r"\btemporarily unavailable\b", r"\btimed out while\b", r"\btimeout of \d+ ?ms\b", r"\bconnection (?:reset by peer|refused|timed out)\b", r"\b\w+(?:error|exception):", r"\btraceback \(most recent", r"\bsql error\b", r"\bno such table\b", r"\bfailed to (?:load|fetch|read|parse)\b", r"\bcould not be loaded\b", r"\bstatus(?: code)?\"?:? \d{3}\b", r"^too many requests\b", r"^access denied\b", r"\byou do not have permission\b", r"\bno longer exists\b", r"\bnot available in your region\b", r"\bunexpected condition\b", r"\bapplication error\b", r"\breturned an error\b", r"\bfile \"[\w.]+\", line \d+", r"\bat \w+ \([\w.]+:\d+\)", r"^warning: \w+\(\)", r"\binvalid request: parameter\b", r"\bsomething went wrong\b", r"\bcore dumped\b", r"\bplease (?:reload|try again|slow down|pause and try)", r"\bthen reload the page\b", r"\bcontact your administrator\b", r"\bsession (?:has )?(?:expired|timed out)\b.{0,30}\b(?:sign|log) in\b",
     r"\btharla earráid\b", r"\bníor aimsíodh\b", r"\bbain triail eile as\b",
     # scripts required
     rf"\b(?:enable|allow|turn on|switch on|activate|needs?|requires?|without|support) (?:the use of )?{_SCRIPT}\b", rf"\b{_SCRIPT} (?:is|are|to be|must be|and cookies)\b.{{0,40}}\b(?:disabled|enabled|off|on|required|allowed|continue)\b", r"\byour browser\b", r"\bmaking sure you are human\b", r"\bsettings and reload\b", r"\bjavascript a bheith\b", r"\bactive content is\b",
     r"\bfatal error\b", r"\buncaught exception\b", r"\bdown for maintenance\b", r"\bbe back shortly\b", r"\bwe can't \w+ that\b.{0,30}\bright now\b", r"\bplease (?:sign|log) in again\b", r"«\s*\w+\s*»",
 ]
 #: Text of which every pattern needs some; a passage without any is not held against the patterns.
-HINTS = ("{", "<%", "%", "@@", "__", "[", "<<", " here>", "«", " undefined", " null", " nan", "lorem", "test", "blah", "x x", "....", "asdf", "fpo", "your ", "goes here", "to be supplied", "coming soon", "placeholder", "dummy", "sample", "insert", "qwerty", "to follow", "not found", "too many", "forbidden", "gateway", "unavailable", "unauthori", "server error", "bad request", "timeout", "time-out", "noscript", "error", "timed out", "connection", "exception", "traceback", "no such table", "failed to", "could not be", "status", "access denied", "permission", "no longer exists", "not available", "unexpected", 'file "', "(", "warning:", "invalid request", "went wrong", "core dumped", "please", "reload", "administrator", "session has", "session expired", "tharla", "aimsíodh", "bain triail", "script", "cookies", " js", "making sure you", "active content", "maintenance", "be back", "right now", "returned")
+HINTS = ("{", "<%", "%", "@@", "__", "[", "<<", " here>", "«", " undefined", " null", " nan", "lorem", "test", "blah", "x x", "....", "asdf", "fpo", "your ", "goes here", "to be supplied", "coming soon", "placeholder", "dummy", "sample", "insert", "qwerty", "to follow", "not found", "too many", "forbidden", "gateway", "unavailable", "unauthori", "server error", "bad request", "gone", "timeout", "time-out", "noscript", "error", "timed out", "connection", "exception", "traceback", "no such table", "failed to", "could not be", "status", "access denied", "permission", "no longer exists", "not available", "unexpected", 'file "', "(", "warning:", "invalid request", "went wrong", "core dumped", "please", "reload", "administrator", "session has", "session expired", "tharla", "aimsíodh", "bain triail", "script", "cookies", " js", "making sure you", "active content", "maintenance", "be back", "right now", "returned")
 _TRUSTED = [re.compile(p) for p in TRUSTED if r"\1" in p] + [re.compile("|".join(f"(?:{p})" for p in TRUSTED if r"\1" not in p))]
 _REPEATED = re.compile(r"([a-z])\1{2}")
 _SPLIT = re.compile(r"(?<=[.?!])[\s ]+|[\r\n]+|</?(?:p|br|div|h\d|li|tr|td|body|html|title|pre)\b[^<>]*>", re.I)
