@@ -97,7 +97,7 @@ def features(passage: str) -> list[int]:
         else:
             words.append(w.lower())
     ends = ["<s>", *words, "</s>"]
-    out = [f"1 {w}" for w in words] + [f"2 {a} {b}" for a, b in zip(ends, ends[1:])] + [f"3 {a} {b} {c}" for a, b, c in zip(ends, ends[1:], ends[2:])]
+    out = [f"1 {w}" for w in words] + [f"2 {a} {b}" for a, b in zip(ends, ends[1:])]
     names = [f"n {m[0].lower()}" for m in _TOKEN.finditer(passage) if m[0][0].isupper() and m[0].isalpha()]
     return sorted({_hash(f) for f in out + names})
 
