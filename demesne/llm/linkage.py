@@ -135,17 +135,20 @@ def sides(er: DataFrame, townland: DataFrame, aliases: DataFrame) -> tuple[DataF
 
 
 def candidates(w: DataFrame, u: DataFrame) -> DataFrame:
-    """Pairs that share a surname and a place, a place and a forename at that age, or a surname and a forename at that age."""
+    """Pairs that share a surname and a place, a place and a forename at that age, or a surname and a forename at that age.
+
+    A missing birth fits any age: ``?`` holds the estate records without one, ``*`` those with one, and only
+    workhouse entries without a birth look under ``*``.
+    """
     slot = F.floor(F.col("birth") / (BIRTH_GAP + 1)).cast("string")
-    slots = F.when(F.col("birth").isNull(), F.array(F.lit("?"))).otherwise(F.array((slot.cast("int") - 1).cast("string"), slot, (slot.cast("int") + 1).cast("string"), F.lit("?")))
+    wide_slots = F.when(F.col("birth").isNull(), F.array(F.lit("?"), F.lit("*"))).otherwise(F.array((slot.cast("int") - 1).cast("string"), slot, (slot.cast("int") + 1).cast("string"), F.lit("?")))
+    own_slots = F.when(F.col("birth").isNull(), F.array(F.lit("?"))).otherwise(F.array(slot, F.lit("*")))
     first = F.when(F.col("initial") != "", F.array("initial")).otherwise(F.transform("forenames", lambda f: F.substring(f, 1, 1)))
     join = lambda *parts: F.concat_ws("|", *parts)
 
     def blocks(df: DataFrame, wide: bool) -> DataFrame:
         surnames = F.array_union(F.array("rep"), "nears") if wide else F.array("rep")
-        ages = slots if wide else F.array(F.coalesce(slot, F.lit("?")))
-        if not wide:
-            ages = F.when(F.col("birth").isNull(), F.array(F.lit("?"))).otherwise(F.array(slot))
+        ages = wide_slots if wide else own_slots
         a = F.when(F.col("place").isNotNull(), F.transform(surnames, lambda s: join(F.lit("a"), s, F.col("place"))))
         b = F.when(F.col("place").isNotNull(), F.flatten(F.transform("forenames", lambda f: F.transform(ages, lambda t: join(F.lit("b"), F.col("place"), f, t)))))
         c = F.flatten(F.transform(surnames, lambda s: F.flatten(F.transform(first, lambda f: F.transform(ages, lambda t: join(F.lit("c"), s, f, t))))))

@@ -56,3 +56,15 @@ def test_links(spark):
 def test_empty(spark):
     assert run(spark, []).count() == 0
     assert run(spark, [wh(1, "Talteavard Mary", "Ballyglass", 1800)]).count() == 0
+
+
+def test_missing_births_of_either_side_meet_by_place_and_forename_or_surname_and_forename(spark):
+    # surnames of the first place are three letters apart and not tied; those of the second are equal, the places not
+    side = "id string, surname string, rep string, nears array<string>, forenames array<string>, initial string, place string, birth int"
+    births = (None, 1800)
+    w = [(f"b{x}", "quostuverty", "quostuverty", [], ["mary"], "", "ballyglass", x) for x in births] + [(f"c{x}", "talteavard", "talteavard", [], ["john"], "", "knockvea", x) for x in births]
+    e = [(f"b{x}", "quoktuvelgy", "quoktuvelgy", [], ["mary"], "", "ballyglass", x) for x in births] + [(f"c{x}", "talteavard", "talteavard", [], ["john"], "", "derrysorur", x) for x in births]
+    e += [("b1850", "quoktuvelgy", "quoktuvelgy", [], ["mary"], "", "ballyglass", 1850)]
+    got = {(r["wid"], r["uid"]) for r in L.candidates(spark.createDataFrame(w, side), spark.createDataFrame(e, side)).collect()}
+    # two known births far apart still don't meet
+    assert got == {(f"{k}{x}", f"{k}{y}") for k in "bc" for x in births for y in births} | {("bNone", "b1850")}
