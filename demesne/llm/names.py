@@ -34,7 +34,6 @@ JACCARD = 0.22
 BIRTH_GAP = 4
 #: a spelling this many times as frequent may be what another stands for
 ANCHOR_RATIO = 3
-ANCHOR_LEAST = 3
 THRESHOLD = 0.8
 MOST_PLAIN_EDITS = 4
 
@@ -99,12 +98,14 @@ def verified(pairs: DataFrame) -> DataFrame:
     return spread(close, "word", "anchor").mapInPandas(run, _SCORED)
 
 
-def _stand_ins(words: DataFrame, anchors: DataFrame, df_of: DataFrame) -> DataFrame:
-    """(word, rep): the nearest anchor at least ``ANCHOR_RATIO`` times as frequent, for the words that have one."""
-    near = verified(prefix_join(words, anchors))
-    near = near.join(df_of, "word").join(df_of.select(F.col("word").alias("anchor"), F.col("df").alias("df2")), "anchor")
+def _stand_ins(df_of: DataFrame) -> DataFrame:
+    """(word, rep): the nearest word at least ``ANCHOR_RATIO`` times as frequent, for the words that have one."""
+    df2_of = df_of.select(F.col("word").alias("anchor"), F.col("df").alias("df2"))
+    # no word is rarer than 1, so nothing below ANCHOR_RATIO can be a stand-in
+    met = prefix_join(df_of, df_of.where(F.col("df") >= ANCHOR_RATIO)).join(df_of, "word").join(df2_of, "anchor")
+    near = verified(met.where(F.col("df2") >= ANCHOR_RATIO * F.col("df")).select("word", "anchor")).join(df2_of, "anchor")
     best = F.min(F.struct("d", (-F.col("df2")).alias("n"), F.col("anchor").alias("rep")))
-    return near.where(F.col("df2") >= ANCHOR_RATIO * F.col("df")).groupBy("word").agg(best.alias("m")).select("word", F.col("m.rep").alias("rep"))
+    return near.groupBy("word").agg(best.alias("m")).select("word", F.col("m.rep").alias("rep"))
 
 
 def spellings(surnames: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -113,22 +114,17 @@ def spellings(surnames: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``rep`` is the spelling a word most likely stands for: the nearest one at
     least ``ANCHOR_RATIO`` times as frequent (ties: the more frequent, then by
     alphabet), followed once more from there; else the word itself.  The second
-    table has the near spellings of rare words without such a stand-in; frequent
-    spellings of like frequency are taken for different names.
+    table has each pair of near spellings without such a stand-in once.  Only
+    ratios of frequencies decide, so tables repeated give the same spellings.
     """
     df_of = cut(surnames.where("surname <> ''").groupBy(F.col("surname").alias("word")).agg(F.count(F.lit(1)).alias("df")))
-    frequent = df_of.where(F.col("df") >= ANCHOR_LEAST)
-    # frequent misspellings find their stand-in first, so that rare ones need only be held against what is left
-    to = cut(_stand_ins(frequent, frequent, df_of))
-    roots = frequent.join(to, "word", "left_anti")
-    to = cut(to.unionByName(_stand_ins(df_of.where(F.col("df") < ANCHOR_LEAST), roots, df_of)))
+    to = cut(_stand_ins(df_of))
     twice = to.join(to.select(F.col("word").alias("rep"), F.col("rep").alias("rep2")), "rep", "left").select("word", F.coalesce("rep2", "rep").alias("rep"))
     words = df_of.join(twice, "word", "left").withColumn("rep", F.coalesce("rep", "word"))
     # a token's rarity is that of the name it stands for, not of the slip
     words = cut(words.join(words.groupBy("rep").agg(F.sum("df").alias("rep_df")), "rep"))
     alone = words.where(F.col("rep") == F.col("word")).select("word")
-    rare = alone.join(df_of.where(F.col("df") < ANCHOR_LEAST), "word", "left_semi")
-    direct = verified(prefix_join(rare, alone))
+    direct = verified(prefix_join(alone, alone).where("word < anchor"))
     return words, direct
 
 

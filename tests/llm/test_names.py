@@ -62,3 +62,20 @@ def test_prefix_join_misses_no_similar_pair(spark):
     for a, b in itertools.permutations(sorted(set(words)), 2):
         if len(g(a) & g(b)) >= N.JACCARD * len(g(a) | g(b)) and abs(len(g(a)) - len(g(b))) <= 3 and N.osa(a, b, 2.0) <= 2.0:
             assert (a, b) in got, (a, b)
+
+
+@pytest.mark.parametrize("times", [(2, 2), (3, 3), (10, 25)])
+def test_near_spellings_of_like_frequency_link_at_any_size(spark, times):
+    names = ["Kannailtock Mary"] * times[0] + ["Kannailtuck Mary"] * times[1]
+    got = pairs(spark, [mention(i, n, 1800 + i % 3) for i, n in enumerate(names)])
+    assert len(got) == len(names) * (len(names) - 1) // 2
+
+
+def test_repeated_tables_give_the_same_spellings(spark):
+    words = ["kannailtock"] * 9 + ["kannailtok"] * 3 + ["kanailtok"] + ["quilty"] * 2 + ["quilta"] * 3 + ["talteavard"]
+
+    def read(k):
+        found, direct = N.spellings(spark.createDataFrame([(w,) for w in words * k], "surname string"))
+        return sorted(map(tuple, found.select("word", "rep").collect())), sorted(map(tuple, direct.select("word", "anchor").collect()))
+
+    assert read(1) == read(10)
