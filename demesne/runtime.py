@@ -14,6 +14,10 @@ from pyspark.sql import types as T
 #: is spread over this many tasks (and adaptive execution splits what is left).
 #: Every copy is shuffled, so few are made.
 SALTS = 4
+#: A key with more than one in ``HOT`` of a side's rows is cut into blocks; so at most ``HOT`` keys a side are hot.
+HOT = 500
+#: Keys of fewer rows are never cut.
+HOT_LEAST = 2_000
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -27,6 +31,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -64,9 +69,41 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, *cols: str | Column) -> DataFrame:
-    """Hash-distribute rows ahead of heavy per-row work (few input splits, many cores)."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return df.repartition(n, *cols)
+    """Hash-distribute rows ahead of heavy per-row work (few input splits, many cores).
+
+    Distributed by a hash of the columns, not by the columns: rows that an
+    aggregate or join left partitioned by them would otherwise count as placed,
+    and adaptive execution would merge them by bytes into few tasks.
+    """
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(n, F.xxhash64(*cols))
+
+
+def hot_join(left: DataFrame, right: DataFrame, on: list[str], least: int = HOT_LEAST) -> DataFrame:
+    """Inner many-to-many join with hot keys cut into blocks.
+
+    A key holding more than one in ``HOT`` of a side's rows (and ``least``) has
+    its rows of that side dealt over blocks of that size by a hash of their
+    content, and every row of the other side meets each block.  At most ``HOT``
+    keys of a side can be that frequent, so their list is broadcast.  Both sides
+    are read twice: pass materialised tables.
+    """
+    def hot(df: DataFrame, n: str) -> DataFrame:
+        per = df.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"))
+        # one row
+        whole = F.broadcast(per.agg(F.sum("__n").alias("__all")))
+        size = F.greatest(F.col("__all") / HOT, F.lit(float(least)))
+        return per.where(F.col("__n") > least).join(whole, F.col("__n") > size).select(*on, F.ceil(F.col("__n") / size).cast("int").alias(n))
+
+    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+        for n, side in (("__nl", left), ("__nr", right)):
+            # bounded: at most HOT rows
+            df = df.join(F.broadcast(hot(side, n)), on, "left").withColumn(n, F.coalesce(n, F.lit(1)))
+        mine = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.col(own)).cast("int")
+        out = df.withColumn(own.replace("n", "b"), mine).withColumn(other.replace("n", "b"), F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        return out.drop("__nl", "__nr")
+
+    return dealt(left, "__nl", "__nr").join(dealt(right, "__nr", "__nl"), [*on, "__bl", "__br"]).drop("__bl", "__br")
 
 
 def lookup_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
