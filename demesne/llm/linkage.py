@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from demesne.llm import names, places
-from demesne.llm.persons import person_name
+from demesne.llm.persons import with_names
 from demesne.runtime import cut, lookup_join, spread, table
 
 BIRTH_GAP = 4
@@ -120,7 +120,7 @@ def sides(er: DataFrame, townland: DataFrame, aliases: DataFrame) -> tuple[DataF
     wh = free.where("wh_raw_name is not null and gold_id is not null").select(F.col("gold_id").alias("key"), F.col("wh_raw_name").alias("name"), F.col("wh_place_ed").alias("raw"), birth("wh").alias("birth"))
     u = free.where("u_canonical_name is not null and u_record_id is not null").select(F.col("u_record_id").alias("key"), F.col("u_canonical_name").alias("name"), F.col("u_townland").alias("raw"), birth("u").alias("birth"))
     both = wh.withColumn("side", F.lit("w")).unionByName(u.withColumn("side", F.lit("u"))).distinct()
-    both = spread(both, "key").withColumn("n", person_name("name")).select("side", "key", "raw", "birth", F.col("n.surname").alias("surname"), F.col("n.forenames").alias("forenames"), F.col("n.initial").alias("initial"))
+    both = with_names(both, "name").select("side", "key", "raw", "birth", F.col("n.surname").alias("surname"), F.col("n.forenames").alias("forenames"), F.col("n.initial").alias("initial"))
     mapped = places.map_spellings(both, "raw", places.canonical_names(townland), aliases)
     both = lookup_join(both, mapped.select("raw", F.col("name").alias("canonical")), ["raw"], "left")
     written = F.when(~F.lower("raw").rlike(NO_PLACE), F.regexp_replace(F.lower("raw"), "[^a-z]", ""))
