@@ -1,14 +1,18 @@
 """Problem 10: template residue, filler, error messages and script notices.
 
-Texts are split into passages.  Passages that a list of narrow patterns calls
-error or placeholder text are the trusted positives; all others are unlabelled.
-A naive Bayes model over words, word pairs and marks is learned from the two by
-expectation-maximization: unlabelled passages start as archive text, and each
-round their posterior becomes their weight.  Every round is one pass over all
-passages; what comes back is one sum a feature bucket (``2 ** HASH_BITS``
-buckets, whatever the corpus).  Features that both classes use alike are left
-out, so that the words of a half-filled template don't count against the same
-template filled in.  A record is excluded if any of its passages is.
+Texts are split into passages.  Passages that hold one of a few trusted phrases
+(``SEEDS``) are the labelled positives; all others are unlabelled.  A naive
+Bayes model over words, word pairs and the marks glued to words is learned from
+the two by expectation-maximization: unlabelled passages start as archive text,
+and each round their posterior becomes their weight.  The seeds only start the
+learning; what counts as residue is the model's posterior alone.
+
+Every round is one pass over all passages; what comes back is one sum a feature
+bucket (``2 ** HASH_BITS`` buckets, whatever the corpus), summed in as many
+tasks as there are cores.  Features that mostly stand in archive text but are
+commoner than usual in residue are left out, so that the words of a half-filled
+template don't count against the same template filled in.  A record is excluded
+if any of its passages is.
 """
 
 from __future__ import annotations
@@ -27,38 +31,30 @@ from pyspark.sql import types as T
 from demesne.runtime import cut, table
 
 HASH_BITS = 20
-ROUNDS = 6
+ROUNDS = 8
 #: the learning ends early once the residue's weight changes by no more than this share
-SETTLED = 0.002
-MIN_COUNT = 3
+SETTLED = 0.01
+#: passages of the average kind that stand behind every feature's share
+SMOOTHING = 1.0
 #: a feature counts as sign of residue from this share of its weight on
-PURE = 0.5
+PURE = 0.2
+#: bounds of what one feature can say, in nats
+LEAST_ODDS, MOST_ODDS = -2.0, 8.0
 ACCEPT = 0.9
-
-#: Words of the usual filler text.
-LOREM = set("lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split())
-#: Patterns of trusted residue, in lower case.
-_SCRIPT = r"(?:java ?scripts?|js|scripts?|scripting|cookies)"
-TRUSTED = [
-    # placeholders left unfilled
-    r"\{\{\s*[\w. ]+\s*\}\}", r"[$#]\{\s*[\w. ]+\s*\}", r"<%=?\s*[\w. ]+\s*%>", r"%\([a-z_]+\)s", r"%[a-z]+_?[a-z]*%", r"@@\w+@@", r"__[a-z]+(?:_[a-z]+)*__", r"\[\[\s*\w+\s*\]\]", r"<<\s*\w+\s*>>",
-    r"\[(?:insert|enter|your|add|type)\b[^\]]*\]", r"<[a-z_ ]+ here>", r"\{(?!sic\b|see\b)[a-z_]+\}", r"\[object object\]", r"\b(?:of|in|on|for|year|population|family|at|record|name:|place:|year:|age:|id:|records:) (?:undefined|null|nan)\b(?! on| by| and)",
-    # filler
-    r"\blorem ipsum\b", r"\b(?:test[ ,]+){2,}", r"\b(?:blah[ ,]+){2,}", r"^(?:x ){4,}", r"^([a-z])\1{2,}(?:[ .,]+\1{2,})*[ .]*$", r"^\.{4,}$", r"^_{10,}$", r"\basdf", r"\bfpo\b", r"\b(?:type|enter|add) your \w+ here\b", r"\b(?:placeholder|dummy|sample) (?:\w+ )?(?:text|content|copy)\b", r"\binsert (?:\w+ )?(?:body )?(?:copy|text|content)\b", r"^(?:content|text|copy|details) to follow\b", r"\b(?:text|content|description|title|wording) (?:goes here|to be supplied|coming soon)\b", r"\bqwerty",
-    # errors
-    r"\b[45]\d\d\b.{0,20}\b(?:not found|too many requests|forbidden|gateway|unavailable|unauthori[sz]ed|server error|bad request|request time-?out|gone)\b", r"\bnoscript\b", r"\bnot found on this server\b", r"\berror (?:code|establishing|id|ref)", r"\binternal server error\b", r"\bbad gateway\b", r"\btemporarily unavailable\b", r"\btimed out while\b", r"\btimeout of \d+ ?ms\b", r"\bconnection (?:reset by peer|refused|timed out)\b", r"\b\w+(?:error|exception):", r"\btraceback \(most recent", r"\bsql error\b", r"\bno such table\b", r"\bfailed to (?:load|fetch|read|parse)\b", r"\bcould not be loaded\b", r"\bstatus(?: code)?\"?:? \d{3}\b", r"^too many requests\b", r"^access denied\b", r"\byou do not have permission\b", r"\bno longer exists\b", r"\bnot available in your region\b", r"\bunexpected condition\b", r"\bapplication error\b", r"\breturned an error\b", r"\bfile \"[\w.]+\", line \d+", r"\bat \w+ \([\w.]+:\d+\)", r"^warning: \w+\(\)", r"\binvalid request: parameter\b", r"\bsomething went wrong\b", r"\bcore dumped\b", r"\bplease (?:reload|try again|slow down|pause and try)", r"\bthen reload the page\b", r"\bcontact your administrator\b", r"\bsession (?:has )?(?:expired|timed out)\b.{0,30}\b(?:sign|log) in\b",
-    r"\btharla earráid\b", r"\bníor aimsíodh\b", r"\bbain triail eile as\b",
-    # scripts required
-    rf"\b(?:enable|allow|turn on|switch on|activate|needs?|requires?|without|support) (?:the use of )?{_SCRIPT}\b", rf"\b{_SCRIPT} (?:is|are|to be|must be|and cookies)\b.{{0,40}}\b(?:disabled|enabled|off|on|required|allowed|continue)\b", r"\byour browser\b", r"\bmaking sure you are human\b", r"\bsettings and reload\b", r"\bjavascript a bheith\b", r"\bactive content is\b",
-    r"\bfatal error\b", r"\buncaught exception\b", r"\bdown for maintenance\b", r"\bbe back shortly\b", r"\bwe can't \w+ that\b.{0,30}\bright now\b", r"\bplease (?:sign|log) in again\b", r"«\s*\w+\s*»",
-]
-#: Text of which every pattern needs some; a passage without any is not held against the patterns.
-HINTS = ("{", "<%", "%", "@@", "__", "[", "<<", " here>", "«", " undefined", " null", " nan", "lorem", "test", "blah", "x x", "....", "asdf", "fpo", "your ", "goes here", "to be supplied", "coming soon", "placeholder", "dummy", "sample", "insert", "qwerty", "to follow", "not found", "too many", "forbidden", "gateway", "unavailable", "unauthori", "server error", "bad request", "gone", "timeout", "time-out", "noscript", "error", "timed out", "connection", "exception", "traceback", "no such table", "failed to", "could not be", "status", "access denied", "permission", "no longer exists", "not available", "unexpected", 'file "', "(", "warning:", "invalid request", "went wrong", "core dumped", "please", "reload", "administrator", "session has", "session expired", "tharla", "aimsíodh", "bain triail", "script", "cookies", " js", "making sure you", "active content", "maintenance", "be back", "right now", "returned")
-_TRUSTED = [re.compile(p) for p in TRUSTED if r"\1" in p] + [re.compile("|".join(f"(?:{p})" for p in TRUSTED if r"\1" not in p))]
-_REPEATED = re.compile(r"([a-z])\1{2}")
+#: weights below this are no evidence
+NOTHING = 1e-9
+
+#: Trusted phrases, in lower case, a blank for the start of a word; a passage that holds one is a labelled positive.
+SEEDS = (
+    "{{", "[object object]", "undefined was", ": undefined", "population undefined", " lorem ", "test test test", "xxxx", "x x x x", "text goes here", "coming soon", "content to follow", "to be supplied",
+    "404 not found", "internal server error", "not found on this server", "gateway time", "too many requests", "temporarily unavailable", "down for maintenance", "something went wrong", "application error",
+    "timed out while", "error: timeout", "traceback (most recent", "invalid request: parameter", "contact your administrator", "no longer exists", "tharla earráid", "níor aimsíodh",
+    "enable javascript", "javascript is disabled", "javascript is required", "noscript version", "javascript a bheith",
+)
 _SPLIT = re.compile(r"(?<=[.?!])[\s ]+|[\r\n]+|</?(?:p|br|div|h\d|li|tr|td|body|html|title|pre)\b[^<>]*>", re.I)
 _TAG = re.compile(r"</?(?:i|b|em|strong|span|a|u|sup|sub|font)\b[^<>]*>", re.I)
-_TOKEN = re.compile(r"[\w]+(?:['’][\w]+)?|\{\{|\}\}|\$\{|#\{|<%=?|%>|@@|\[\[|\]\]|<<|>>|%\(|\)s|_{2,}|\.{3}|[{}\[\]<>«»%@#$=|()\"*]")
+_TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|([^\w\s])\1{3,}|[^\w\s]|_+")
+_MARKS = frozenset("{}[]<>«»%@#$=|_~^\\/*")
 
 
 def passages(text: str | None) -> list[str]:
@@ -71,12 +67,9 @@ def passages(text: str | None) -> list[str]:
     return [q for q in (" ".join(_TAG.sub("", p).split()) for p in _SPLIT.split(t)) if q]
 
 
-def trusted(passage: str) -> bool:
-    low = passage.lower()
-    if (_REPEATED.match(low) or any(h in low for h in HINTS)) and any(p.search(low) for p in _TRUSTED):
-        return True
-    ws = re.findall(r"[a-z]+", low)
-    return len(ws) >= 6 and sum(w in LOREM for w in ws) >= 0.7 * len(ws)
+def trusted(passage: str, seeds: tuple[str, ...] = SEEDS) -> bool:
+    low = f" {passage.lower()} "
+    return any(x in low for x in seeds)
 
 
 def _hash(feature: str) -> int:
@@ -84,22 +77,45 @@ def _hash(feature: str) -> int:
 
 
 def features(passage: str) -> list[int]:
-    """Buckets of the words, word pairs and marks of a passage; names and numbers only by kind."""
+    """Buckets of the words, word pairs, capitalised pairs and words glued to marks of a passage; most names and numbers by kind."""
     if passage.isupper():
         passage = passage.lower()
-    words = []
+    out: set[str] = set()
+    before, title = "<s>", ""
     for i, m in enumerate(_TOKEN.finditer(passage)):
-        w = m[0]
-        if any(c.isdigit() for c in w):
-            words.append("<9>" if w[0].isdigit() else "<id>")
-        elif i and w[0].isupper() and w[1:].islower() and len(w) > 1:
-            words.append("<n>")
+        w, a, b = m[0], m.start(), m.end()
+        first = w[0]
+        if first.isdigit():
+            kind = "<9>"
+            if len(w) == 3:
+                out.add(f"9 {w}")
+        elif len(w) > 2 and first != "_" and len(set(w.lower())) == 1:
+            kind = "<run>"
+        elif any(map(str.isdigit, w)):
+            kind = "<id>"
+        elif i and first.isupper() and len(w) > 1 and w[1:].islower():
+            kind = "<n>"
         else:
-            words.append(w.lower())
-    ends = ["<s>", *words, "</s>"]
-    out = [f"1 {w}" for w in words] + [f"2 {a} {b}" for a, b in zip(ends, ends[1:])]
-    names = [f"n {m[0].lower()}" for m in _TOKEN.finditer(passage) if m[0][0].isupper() and m[0].isalpha()]
-    return sorted({_hash(f) for f in out + names})
+            kind = w.lower()
+        out.add(f"1 {kind}")
+        out.add(f"2 {before} {kind}")
+        before = kind
+        if first.isalnum():
+            low = w.lower()
+            left, right = a > 0 and passage[a - 1] in _MARKS, b < len(passage) and passage[b] in _MARKS
+            if left:
+                out.add(f"l {low}")
+            if right:
+                out.add(f"r {low}")
+            if left and right:
+                out.add("b")
+            if first.isupper():
+                out.add(f"n {low}")
+                if title:
+                    out.add(f"t {title} {low}")
+            title = low if first.isupper() else ""
+    out.add(f"2 {before} </s>")
+    return sorted({_hash(f) for f in out})
 
 
 _PASSAGE = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("trusted", T.BooleanType()), T.StructField("features", T.ArrayType(T.IntegerType()))])
@@ -112,10 +128,10 @@ class Bayes:
     def __init__(self, weight: np.ndarray, total: np.ndarray, positive: float, passages_: float) -> None:
         prior = (positive + 0.5) / (passages_ + 1)
         self.base = float(np.log(prior / (1 - prior)))
-        share = np.clip((weight + 0.5 * prior) / (total + 0.5), prior * 1e-3, 1 - 1e-6)
+        share = np.minimum((weight + SMOOTHING * prior) / (total + SMOOTHING), 1 - 1e-4)
         odds = np.log(share / (1 - share)) - self.base
-        keep = (total >= MIN_COUNT) & ((share >= PURE) | (share <= prior))
-        self.odds = np.where(keep, np.clip(odds, -6, 12), 0.0).astype(np.float32)
+        keep = (share >= PURE) | (share <= prior)
+        self.odds = np.where(keep, np.clip(odds, LEAST_ODDS, MOST_ODDS), 0.0).astype(np.float32)
 
     def score(self, features_: pd.Series) -> np.ndarray:
         """Posterior that each passage is residue."""
@@ -130,14 +146,14 @@ class Bayes:
         return np.where(some, 1 / (1 + np.exp(-np.clip(self.base + sums, -60, 60))), 0.0)
 
 
-def split_documents(documents: DataFrame) -> DataFrame:
+def split_documents(documents: DataFrame, seeds: tuple[str, ...] = SEEDS) -> DataFrame:
     """(doc_id, trusted, features) of every passage of every document."""
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 2000):
                 part = batch.iloc[at : at + 2000]
-                rows = [(d, trusted(p), features(p)) for d, t in zip(part["doc_id"], part["text"]) for p in passages(t)]
+                rows = [(d, trusted(p, seeds), features(p)) for d, t in zip(part["doc_id"], part["text"]) for p in passages(t)]
                 yield pd.DataFrame(rows, columns=["doc_id", "trusted", "features"])
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and length(trim(text)) > 0")
@@ -147,62 +163,73 @@ def split_documents(documents: DataFrame) -> DataFrame:
     return docs.mapInPandas(split, _PASSAGE)
 
 
-def learned(split: DataFrame, rounds: int = ROUNDS) -> Bayes:
-    """The model after at most ``rounds`` of expectation-maximization over all passages."""
+def learned(split: DataFrame, rounds: int = ROUNDS) -> Bayes | None:
+    """The model after at most ``rounds`` of expectation-maximization over all passages; None without any trusted one."""
     sc = split.sparkSession.sparkContext
     size = 2**HASH_BITS
+    # one array of sums a task, and no more tasks than cores, however many splits the corpus has
+    split = split.coalesce(2 * sc.defaultParallelism)
     model: Bayes | None = None
+    total = np.zeros(size)
+    count = 0.0
     before = -1.0
     for _ in range(rounds + 1):
         shared = sc.broadcast(model)
 
         def sums(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            w, n, m = np.zeros(size), np.zeros(size), shared.value
-            positive = count = 0.0
+            m = shared.value
+            w, n = np.zeros(size), np.zeros(size if m is None else 0)
+            positive = passages_ = 0.0
             for batch in batches:
                 if not len(batch):
                     continue
                 mine = batch["trusted"].to_numpy(dtype=float)
                 if m is not None:
                     mine = np.maximum(mine, m.score(batch["features"]))
-                k = batch["features"].map(len).to_numpy()
-                flat = np.concatenate(batch["features"].to_list()).astype(np.int64)
-                w += np.bincount(flat, np.repeat(mine, k), size)
-                n += np.bincount(flat, minlength=size)
-                positive, count = positive + mine.sum(), count + len(batch)
-            at = np.flatnonzero(n)
-            yield pd.DataFrame({"bucket": np.append(at, -1).astype("int32"), "w": np.append(w[at], positive), "n": np.append(n[at], count)})
+                else:
+                    n += np.bincount(np.concatenate(batch["features"].to_list()).astype(np.int64), minlength=size)
+                positive, passages_ = positive + mine.sum(), passages_ + len(batch)
+                some = np.flatnonzero(mine > NOTHING)
+                if len(some):
+                    f = batch["features"].iloc[some]
+                    w += np.bincount(np.concatenate(f.to_list()).astype(np.int64), np.repeat(mine[some], f.map(len).to_numpy()), size)
+            at = np.flatnonzero(w if m is not None else n)
+            yield pd.DataFrame({"bucket": np.append(at, -1).astype("int32"), "w": np.append(w[at], positive), "n": np.append(n[at] if m is None else np.zeros(len(at)), passages_)})
 
         # bounded: one row a feature bucket
         got = split.mapInPandas(sums, _SUM).groupBy("bucket").agg(F.sum("w").alias("w"), F.sum("n").alias("n")).toPandas()
-        whole = got[got["bucket"] < 0]
-        rest = got[got["bucket"] >= 0]
-        w, n = np.zeros(size), np.zeros(size)
-        w[rest["bucket"]], n[rest["bucket"]] = rest["w"], rest["n"]
+        whole, rest = got[got["bucket"] < 0], got[got["bucket"] >= 0]
+        w = np.zeros(size)
+        w[rest["bucket"]] = rest["w"]
+        if model is None:
+            total[rest["bucket"]] = rest["n"]
+            count = float(whole["n"].sum())
         positive = float(whole["w"].sum())
-        model = Bayes(w, n, positive, float(whole["n"].sum()))
+        if not positive:
+            return None
+        model = Bayes(w, total, positive, count)
         if abs(positive - before) <= SETTLED * positive:
             break
         before = positive
     return model
 
 
-def residue_scores(documents: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def residue_scores(documents: DataFrame, rounds: int = ROUNDS, seeds: tuple[str, ...] = SEEDS) -> DataFrame:
     """(doc_id, passages, residue_passages, score) of every document with text.
 
     ``score`` is the highest posterior of its passages.  Null and blank texts
     have no row; a repeated doc_id is judged by all its texts; without any
-    trusted passage nothing scores high; an empty table gives no rows.
+    trusted passage there is nothing to learn from and every score is 0; an
+    empty table gives no rows.
     """
-    split = cut(split_documents(documents))
+    split = cut(split_documents(documents, seeds))
     shared = documents.sparkSession.sparkContext.broadcast(learned(split, rounds))
 
     @F.pandas_udf(T.DoubleType())
     def posterior(f: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.score(f))
+        return pd.Series(shared.value.score(f) if shared.value is not None else np.zeros(len(f)))
 
-    # trusted passages keep their label, as in every round of the learning
-    scored = split.select("doc_id", F.greatest(posterior("features"), F.col("trusted").cast("double")).alias("p"))
+    scored = split.select("doc_id", posterior("features").alias("p"))
     return scored.groupBy("doc_id").agg(F.count(F.lit(1)).alias("passages"), F.sum((F.col("p") >= ACCEPT).cast("int")).alias("residue_passages"), F.max("p").alias("score"))
 
 
