@@ -5,21 +5,25 @@ case and punctuation undone) and read as one stream of letters, so that word
 breaks don't matter.  At every word start of every document a window of the
 stream is mapped by CGK random walks, which turn edit distance into Hamming
 distance, and a few sampled positions of the walk are hashed; items are indexed
-by the same hashes at every word start.  ``WALKS * TABLES`` repetitions reach
-the recall stated in ``expected_recall``.  Hits with fewer than ``EQUAL`` equal words
-of the ``2 * AROUND + 1`` around them are dropped as like wording.  Each hit left
-is verified exactly: the run of item words is followed in both directions, word
-by word within its slips, and counts from ``MIN_WORDS`` words on.
+by the same hashes at every word start.  The number of repetitions follows from
+the recall wanted (``repetitions``).  Every hit is verified exactly: the run of
+item words is followed in both directions, word by word within its slips, and
+counts from ``MIN_WORDS`` words on.  Before that the hits are followed together,
+as arrays, to their first word that differs; those that end there short of the
+words asked, where no joining or parting of words could go on, are done.
 
 One pass over the documents, without a shuffle.  The items are the stated query
-set: they are counted, and worked off in blocks of ``ITEM_BLOCK``.
+set: their letters are counted, and they are worked off in blocks of at most
+about ``BLOCK_CHARS`` letters.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -32,16 +36,32 @@ from demesne.runtime import table
 
 MIN_WORDS = 20
 STEPS = 72
-WALKS = 3
-TABLES = 4
 SAMPLED = 10
-ITEM_BLOCK = 20_000
+#: the design point: windows of a run whose walks agree at this share of their steps, the windows of the
+#: shortest run counted that lie wholly inside it, and the recall its runs are to reach
+AGREE, WINDOWS, TARGET_RECALL = 0.71, 13, 0.99
+WALKS = 3
+#: letters of items in one index; a single longer item is not cut
+BLOCK_CHARS = 8_000_000
 CHUNK = 400_000
-#: words around a hit held against the item's, and how many of them must be equal outright before the run is followed
-AROUND = 12
-EQUAL = 6
+#: hits followed at a time
+MOST_HITS = 2_000_000
 SEED = 20240
 
+
+def expected_recall(agree: float, windows: int, repeats: int) -> float:
+    """Chance that a run is met if its windows' walks agree at a share ``agree`` of their steps."""
+    return 1 - (1 - agree**SAMPLED) ** (repeats * windows)
+
+
+def repetitions(agree: float = AGREE, windows: int = WINDOWS, target: float = TARGET_RECALL) -> int:
+    """Fewest repetitions that reach the recall ``target``."""
+    return math.ceil(math.log(1 - target) / (windows * math.log(1 - agree**SAMPLED)))
+
+
+#: hashes a walk
+TABLES = -(-repetitions() // WALKS)
+
 _BLOCK_TAG = re.compile(r"</?(?:p|br|div|h\d|li|ul|ol|tr|td|th|table|body|html|head|hr|section|article|blockquote|pre|title)\b[^<>]*>", re.I)
 _TAG = re.compile(r"</?[a-z][^<>]*>|<!--.*?-->", re.I | re.S)
 _PAGE = re.compile(r"[\[(]\s*(?:p|pp|pg|page|fol|folio|f)\b\.?\s*\d*\s*[\])]|^\s*(?:page|p\.)\s*\d+\s*$", re.I | re.M)
@@ -108,11 +128,7 @@ def stream(texts_words: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.nda
     return codes, join(starts), join(owner), join(number)
 
 
-def expected_recall(agree: float, windows: int) -> float:
-    """Chance that a run is met if its windows' walks agree at a share ``agree`` of their steps."""
-    return 1 - (1 - agree**SAMPLED) ** (WALKS * TABLES * windows)
-
-
+@lru_cache(maxsize=1 << 18)
 def slip(a: str, b: str) -> bool:
     """The same word within a slip or two of its letters; numbers must be equal."""
     if a == b:
@@ -147,7 +163,7 @@ def run_length(doc: list[str], p: int, item: list[str], q: int, step: int) -> in
 
 
 class ItemIndex:
-    def __init__(self, items: list[tuple[int, str]]) -> None:
+    def __init__(self, items: tuple[tuple[int, str], ...]) -> None:
         self.embedding = Embedding()
         self.ids = [i for i, _ in items]
         self.words = [words(t) for _, t in items]
@@ -160,61 +176,131 @@ class ItemIndex:
             seen[keys & np.uint64((1 << 20) - 1)] = True
             self.tables.append((keys[order], order, seen))
 
-    def hits(self, codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item word) pairs that share a hash in some repetition."""
-        got = []
+    def hits(self, codes: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(window, item word) pairs that share a hash in some repetition, in slices of bounded size."""
+        found, counts = [], np.zeros(len(starts), dtype=np.int64)
         for t, keys in self.embedding.keys(codes, starts):
             sorted_keys, order, seen = self.tables[t]
             at = np.flatnonzero(seen[keys & np.uint64((1 << 20) - 1)])
-            if not len(at):
-                continue
             lo, hi = np.searchsorted(sorted_keys, keys[at], "left"), np.searchsorted(sorted_keys, keys[at], "right")
-            n = hi - lo
-            at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
-            if len(at):
-                win = np.repeat(at, n)
-                off = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                got.append(win << 32 | order[np.repeat(lo, n) + off])
-        if not got:
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        both = np.unique(np.concatenate(got))
-        return both >> 32, both & 0xFFFFFFFF
+            some = hi > lo
+            at, lo, n = at[some], lo[some], (hi - lo)[some]
+            counts[at] += n
+            found.append((at, lo, n, order))
+        # windows of an opening that many items share have many hits: slices are cut by hits, not by windows
+        ends = np.cumsum(counts)
+        first = 0
+        while first < len(starts):
+            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + MOST_HITS, "right")))
+            got = []
+            for at, lo, n, order in found:
+                a, b = np.searchsorted(at, first), np.searchsorted(at, last)
+                if b > a:
+                    k = n[a:b]
+                    off = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+                    got.append(np.repeat(at[a:b], k) << 32 | order[np.repeat(lo[a:b], k) + off])
+            if got:
+                both = np.unique(np.concatenate(got))
+                yield both >> 32, both & 0xFFFFFFFF
+            first = last
+
+    def follow(self, x: np.ndarray, y: np.ndarray, doc: Flat, step: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """(words followed without joining or parting, at most ``least``; whether the run may go on beyond)."""
+        n, on = np.zeros(len(x), dtype=np.int64), np.zeros(len(x), dtype=bool)
+        alive = np.arange(len(x))
+        p, q = x.copy(), y.copy()
+        if step < 0:
+            p, q = p - 1, q - 1
+        item = self.flat
+        while len(alive):
+            # the rims hold word lengths and owners of their own, so that every run ends there
+            inside = (doc.owner[p] == doc.owner[x[alive]]) & (item.owner[q] == item.owner[y[alive]])
+            alive, p, q = alive[inside], p[inside], q[inside]
+            same = doc.ids[p] == item.ids[q]
+            a, b = doc.lengths[p], item.lengths[q]
+            longest = np.maximum(a, b)
+            near = np.flatnonzero(~same & (np.abs(a - b) <= np.where(longest <= 2, 0, np.where(longest <= 7, 1, 2))) & (longest > 2))
+            if len(near):
+                pairs, back = np.unique(doc.ids[p[near]] << 32 | item.ids[q[near]], return_inverse=True)
+                words = doc.vocabulary
+                same[near] = np.array([slip(words[k >> 32], words[k & 0xFFFFFFFF]) for k in pairs.tolist()], dtype=bool)[back]
+            ended, c, d = alive[~same], p[~same], q[~same]
+            joined = doc.joined(c, step, item.ids[d], item.lengths[d])
+            parted = item.joined(d, step, doc.ids[c], doc.lengths[c])
+            on[ended] = joined | parted
+            n[alive[same]] += 1
+            full = same & (n[alive] >= least)
+            on[alive[full]] = True
+            more = same & ~full
+            alive, p, q = alive[more], p[more] + step, q[more] + step
+        return n, on
 
     def leaks(self, texts: list[str | None], least: int) -> list[tuple[int, int, int]]:
         """(text number, item id, longest run) of all runs of at least ``least`` words."""
         doc_words = [words(t) for t in texts]
         codes, starts, owner, number = stream(doc_words)
-        # numbers for words, with a rim so that windows may look past either end
-        flat = pd.factorize(np.array([w for ws in (*doc_words, *self.words) for w in ws], dtype=object))[0]
-        rim = np.full(AROUND, -1)
-        mine = np.concatenate([rim, flat[: len(starts)], rim])
-        theirs = np.concatenate([rim, flat[len(starts) :], rim]) + (np.concatenate([rim, flat[len(starts) :], rim]) < 0) * -1
-        offsets = np.arange(2 * AROUND + 1)
+        ids, vocabulary = pd.factorize(np.array([w for ws in (*doc_words, *self.words) for w in ws], dtype=object))
+        doc = Flat(ids[: len(starts)], doc_words, owner, vocabulary)
+        self.flat = Flat(ids[len(starts) :], self.words, self.owner, vocabulary)
         out: dict[tuple[int, int], int] = {}
         covered: dict[tuple[int, int, int], int] = {}  # by text, item and offset: end of the run followed last
         for a in range(0, len(starts), CHUNK):
-            win, it = self.hits(codes, starts[a : a + CHUNK])
-            keep = np.zeros(len(win), dtype=bool)
-            for b in range(0, len(win), CHUNK):
-                x, y = win[b : b + CHUNK] + a, it[b : b + CHUNK]
-                keep[b : b + CHUNK] = (mine[x[:, None] + offsets] == theirs[y[:, None] + offsets]).sum(1) >= EQUAL
-            win, it = win[keep], it[keep]
-            for w, i in zip((win + a).tolist(), it.tolist()):
-                k, item, p, q = int(owner[w]), int(self.owner[i]), int(number[w]), int(self.number[i])
-                if p < covered.get((k, item, p - q), -1):
-                    continue
-                d, v = doc_words[k], self.words[item]
-                ahead = run_length(d, p, v, q, 1)
-                if not ahead:
-                    continue
-                covered[(k, item, p - q)] = p + ahead
-                n = ahead + run_length(d, p - 1, v, q - 1, -1)
-                if n >= least:
-                    key = (k, self.ids[item])
-                    out[key] = max(n, out.get(key, 0))
+            for win, it in self.hits(codes, starts[a : a + CHUNK]):
+                # the hit before on the same diagonal, with an equal word, has this run
+                at = win << 32 | it
+                before = at - ((1 << 32) + 1)
+                k = np.minimum(np.searchsorted(at, before), len(at) - 1)
+                x, y = win + a + 1, it + 1
+                again = (at[k] == before) & (doc.ids[x - 1] == self.flat.ids[y - 1]) & (doc.owner[x - 1] == doc.owner[x]) & (self.flat.owner[y - 1] == self.flat.owner[y])
+                x, y = x[~again], y[~again]
+                ahead, on = self.follow(x, y, doc, 1, least)
+                behind, on_back = self.follow(x, y, doc, -1, least)
+                good = (ahead > 0) & (on | on_back | (ahead + behind >= least)) | on
+                for w, i in zip((x[good] - 1).tolist(), (y[good] - 1).tolist()):
+                    k, item, p, q = int(owner[w]), int(self.owner[i]), int(number[w]), int(self.number[i])
+                    if p < covered.get((k, item, p - q), -1):
+                        continue
+                    d, v = doc_words[k], self.words[item]
+                    n = run_length(d, p, v, q, 1)
+                    if not n:
+                        continue
+                    covered[(k, item, p - q)] = p + n
+                    n += run_length(d, p - 1, v, q - 1, -1)
+                    if n >= least:
+                        key = (k, self.ids[item])
+                        out[key] = max(n, out.get(key, 0))
         return [(k, i, n) for (k, i), n in out.items()]
 
 
+class Flat:
+    """Words of several texts one after the other, with a rim at either end: number, length and text of each."""
+
+    def __init__(self, ids: np.ndarray, texts: list[list[str]], owner: np.ndarray, vocabulary: np.ndarray) -> None:
+        self.vocabulary = vocabulary
+        rim = np.full(1, -1, dtype=np.int64)
+        self.ids = np.concatenate([rim, ids, rim]).astype(np.int64)
+        self.owner = np.concatenate([rim, owner, rim])
+        lengths = np.fromiter((len(w) for ws in texts for w in ws), dtype=np.int64, count=len(ids))
+        self.lengths = np.concatenate([rim * 1000, lengths, rim * 1000])
+
+    def joined(self, at: np.ndarray, step: int, word: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Whether the words at ``at`` and ``at + step``, written as one, may be ``word`` of that ``length``."""
+        fits = np.abs(self.lengths[at] + self.lengths[at + step] - length) <= 2
+        some = np.flatnonzero(fits)
+        if len(some) and len(self.vocabulary) < 1 << 21:
+            a = at[some] if step > 0 else at[some] - 1
+            triples, back = np.unique((self.ids[a] << 42) | (self.ids[a + 1] << 21) | word[some], return_inverse=True)
+            v, low = self.vocabulary, (1 << 21) - 1
+            fits[some] = np.array([slip(v[k >> 42] + v[k >> 21 & low], v[k & low]) for k in triples.tolist()], dtype=bool)[back]
+        return fits
+
+
+@lru_cache(maxsize=1)
+def item_index(items: tuple[tuple[int, str], ...]) -> ItemIndex:
+    """The index of a block, kept by the worker for its next tasks."""
+    return ItemIndex(items)
+
+
 _LEAK = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("words", T.IntegerType())])
 
 
@@ -226,18 +312,20 @@ def leaked(documents: DataFrame, items: DataFrame, least: int = MIN_WORDS) -> Da
     """
     spark = documents.sparkSession
     items = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
-    blocks = max(1, -(-items.count() // ITEM_BLOCK))
+    letters = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = max(1, -(-letters // BLOCK_CHARS))
     docs = documents.where("doc_id is not null and length(trim(text)) > 0").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     wanted = 3 * spark.sparkContext.defaultParallelism
     if docs.rdd.getNumPartitions() < wanted:
         docs = docs.repartition(wanted, "doc_id")
     results = []
     for b in range(blocks):
-        block = [(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()]
+        # bounded: about BLOCK_CHARS letters
+        block = tuple((r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect())
         shared = spark.sparkContext.broadcast(block)
 
         def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            index = ItemIndex(shared.value)
+            index = item_index(shared.value)
             for batch in batches:
                 ids, texts = batch["doc_id"].tolist(), batch["text"].tolist()
                 rows, at = [], 0

@@ -56,7 +56,8 @@ def test_against_brute_force(spark):
 
 def test_long_text_blocks_and_empty(spark, monkeypatch):
     monkeypatch.setattr(K, "CHUNK", 1000)
-    monkeypatch.setattr(K, "ITEM_BLOCK", 3)
+    monkeypatch.setattr(K, "BLOCK_CHARS", 1000)
+    monkeypatch.setattr(K, "MOST_HITS", 50)
     long = " ".join([*passage(77, 20_000), *passage(2)[5:40], *passage(78, 20_000)])
     assert found(spark, [(1, long), (2, "")]) == {(1, 2): 35}
     assert found(spark, []) == {} and found(spark, [(1, long)], [(1, None), (2, "short one")]) == {}
@@ -68,4 +69,50 @@ def test_slips(a, b, same):
 
 
 def test_recall_bound():
-    assert K.expected_recall(0.9, 3) > 0.99 and K.expected_recall(0.0, 3) == 0.0
+    assert K.expected_recall(0.9, 3, 12) > 0.99 and K.expected_recall(0.0, 3, 12) == 0.0
+    n = K.repetitions()
+    assert K.WALKS * K.TABLES >= n and K.expected_recall(K.AGREE, K.WINDOWS, n) >= K.TARGET_RECALL > K.expected_recall(K.AGREE, K.WINDOWS, n - 1)
+
+
+def brute(index, texts, least):
+    """Runs followed from every pair of like words."""
+    out = set()
+    for k, t in enumerate(texts):
+        d = K.words(t)
+        for item, v in zip(index.ids, index.words):
+            if any(K.slip(d[a], v[b]) and K.run_length(d, a, v, b, 1) >= least for a in range(len(d)) for b in range(len(v))):
+                out.add((k, item))
+    return out
+
+
+@pytest.mark.parametrize("share", [0.3, 0.6, 0.8])
+def test_runs_of_many_slips_are_all_found(share):
+    rng = random.Random(int(share * 10))
+    index = K.ItemIndex(tuple(ITEMS))
+    texts = []
+    for d in range(40):
+        i, a = rng.randrange(8), rng.randrange(36)
+        body = [w[: len(w) // 2] + "q" + w[len(w) // 2 + 1 :] if rng.random() < share and len(w) > 2 else w for w in passage(i)[a : a + 24]]
+        # words joined and parted now and then
+        body = [w if rng.random() > 0.1 else w[:3] + " " + w[3:] for w in body]
+        texts.append(" ".join([*passage(500 + d, 12), *body, *passage(900 + d, 12)]))
+    want = brute(index, texts, K.MIN_WORDS)
+    got = {(k, i) for k, i, _ in index.leaks(texts, K.MIN_WORDS)}
+    assert got <= want and len(want) >= 35 and len(got) >= 0.97 * len(want)
+
+
+def test_opening_shared_by_many_items():
+    import time
+    import tracemalloc
+
+    opening = passage(1, 15)
+    index = K.ItemIndex(tuple((i, " ".join(opening + passage(10_000 + i, 20))) for i in range(2000)))
+    texts = [" ".join(passage(50_000 + d, 20) + opening + passage(60_000 + d, 20)) for d in range(200)]
+    texts.append(" ".join(opening + passage(10_007, 20)))
+    began = time.time()
+    tracemalloc.start()
+    got = index.leaks(texts, K.MIN_WORDS)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(k, i) for k, i, _ in got] == [(200, 7)]
+    assert peak < 700e6 and time.time() - began < 60
