@@ -1,12 +1,16 @@
 """Problem 2: freely written place names mapped to a canonical list.
 
-The reference list is bounded (``MAX_NAMES`` a block, checked; a longer list is
-worked off in blocks and the best answer kept), so its symmetric-delete
-dictionary is broadcast: every canonical name is stored under all strings left
-by dropping up to ``EDITS`` letters of its skeleton, and a written name meets
-all names within that distance by looking up its own deletions.  Candidates are
-ranked by weighted Damerau-Levenshtein distance, then by the frequency of the
-name in the reference, then by name.  Each distinct spelling is worked on once.
+The reference list is worked off in blocks of at most about ``MAX_NAMES``
+entries (names and aliases).  A block is a symmetric-delete dictionary: every
+canonical name is stored under the hashes of all strings left by dropping up to
+``EDITS`` letters of its letters, skeleton and sound, as sorted arrays of 12
+bytes a key, and a written name meets all names within that distance by looking
+up its own deletions.  A block is built once, on the driver, and broadcast; its
+size in bytes is bounded by ``MAX_NAMES`` times the deletions of the longest
+names, and checked.  What all blocks found for a spelling is decided together:
+candidates are ranked by weighted Damerau-Levenshtein distance, then by the
+frequency of the name in the reference, then by name.  Each distinct spelling is
+worked on once.
 """
 
 from __future__ import annotations
@@ -16,17 +20,22 @@ from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from demesne.llm.text import deletes, letters, osa, plain, unlettered
-from demesne.runtime import lookup_join, spread, table, ws_trim
+from demesne.runtime import cut, lookup_join, spread, table, ws_trim
 
 EDITS = 2
-MAX_NAMES = 100_000
-MAX_ALIASES = 100_000
+#: entries of one block
+MAX_NAMES = 20_000
+#: bytes of keys a block may hold; a name too long for deletions is stored and looked up as it is
+MAX_BYTES = 256_000_000
+LONGEST = 40
 UNMATCHED = "UNMATCHED"
 
 #: Qualifiers of townland names and their abbreviations.
@@ -135,17 +144,19 @@ def limit(n: int) -> float:
     return 0.0 if n < 4 else 1.0 if n < 8 else 2.0
 
 
+#: (reading, whether its letters are a name's, distance, minus the frequency, name)
+Found = tuple[int, bool, float, int, str]
+
+
 class Dictionary:
-    """Canonical names under the deletions of their skeletons."""
+    """Canonical names under the deletions of their letters, skeletons and sounds; (written, name, frequency) makes an entry."""
 
-    def __init__(self, names: list[tuple[str, int]], aliases: list[tuple[str, str]], edits: int = EDITS) -> None:
+    def __init__(self, written: list[tuple[str, str, int]], edits: int = EDITS) -> None:
         self.edits = edits
         self.entries: list[tuple[str, str, str, int]] = []
         self.exact: dict[str, list[int]] = defaultdict(list)
-        self.near: dict[str, list[int]] = defaultdict(list)
-        known = dict(names)
-        written = [(n, n) for n, _ in names] + [(a, n) for a, n in aliases if a and n in known]
-        for text, name in written:
+        hashes, numbers = [], []
+        for text, name, freq in written:
             pieces = plain(text).split()
             qualifier = ""
             if len(pieces) > 1 and letters(pieces[-1]) in _QUALIFIER:
@@ -154,42 +165,60 @@ class Dictionary:
             if not body:
                 continue
             k = len(self.entries)
-            self.entries.append((body, qualifier, name, known[name]))
+            self.entries.append((body, qualifier, name, freq))
             self.exact[body].append(k)
-            for d in self._stubs(body):
-                self.near[d].append(k)
-
-    def _stubs(self, body: str) -> set[str]:
-        """Deletions of the letters, of the skeleton and of the sound of a name."""
-        return deletes("+" + body, self.edits) | deletes(skeleton(body), self.edits) | deletes("*" + sound(body), self.edits)
-
-    def best(self, text: str | None) -> tuple[str | None, float]:
-        """(canonical name, weighted distance) or (None, inf)."""
-        found: list[tuple[float, int, str]] = []
-        for body, qualifier in forms(text):
+            mine = self._stubs(body)
+            hashes.append(mine)
+            numbers.append(np.full(len(mine), k, dtype=np.int32))
+        keys = np.concatenate(hashes) if hashes else np.zeros(0, dtype=np.uint64)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.numbers = keys[order], (np.concatenate(numbers) if numbers else np.zeros(0, dtype=np.int32))[order]
+        if self.keys.nbytes + self.numbers.nbytes > MAX_BYTES:
+            raise ValueError("a block of names is larger than MAX_BYTES")
+
+    def _stubs(self, body: str) -> np.ndarray:
+        """Hashes of the deletions of the letters, of the skeleton and of the sound of a name."""
+        edits = self.edits if len(body) <= LONGEST else 0
+        stubs = deletes("+" + body, edits) | deletes(skeleton(body), edits) | deletes("*" + sound(body), edits)
+        return np.fromiter((xxhash.xxh64_intdigest(x) for x in stubs), dtype=np.uint64, count=len(stubs))
+
+    def _near(self, body: str) -> set[int]:
+        stubs = self._stubs(body)
+        lo, hi = np.searchsorted(self.keys, stubs, "left"), np.searchsorted(self.keys, stubs, "right")
+        return {int(k) for a, b in zip(lo[hi > lo], hi[hi > lo]) for k in self.numbers[a:b]}
+
+    def found(self, text: str | None) -> list[Found]:
+        """Names near any reading of a text."""
+        out: list[Found] = []
+        for reading, (body, qualifier) in enumerate(forms(text)):
             met = self.exact.get(body)
             exact = bool(met)
-            if not met:
-                met = {k for d in self._stubs(body) for k in self.near.get(d, ())}
-            for k in met:
+            for k in met or self._near(body):
                 name_body, name_qualifier, name, freq = self.entries[k]
                 most = limit(min(len(body), len(name_body)))
                 d = 0.0 if exact else min(osa(body, name_body, most), SOUND_COST + osa(sound(body), sound(name_body), most))
-                if d > most:
-                    continue
-                if qualifier != name_qualifier:
-                    if qualifier and name_qualifier:
-                        continue
-                    d += 0.9  # a qualifier missing on one side
-                found.append((d, -freq, name))
-        if not found:
-            return None, float("inf")
-        found.sort()
-        d, _, name = found[0]
-        others = {n for e, _, n in found if e <= d and n != name}
-        if d >= 0.9 and others and all(_stem(n) == _stem(name) for n in others):
-            return None, d  # only qualifiers that were not written tell them apart
-        return name, d
+                if d <= most:
+                    if qualifier != name_qualifier:
+                        d = float("inf") if qualifier and name_qualifier else d + 0.9  # a qualifier missing on one side
+                    out.append((reading, exact, d, -freq, name))
+        return out
+
+    def best(self, text: str | None) -> tuple[str | None, float]:
+        return decided(self.found(text))
+
+
+def decided(found: list[Found]) -> tuple[str | None, float]:
+    """(canonical name, weighted distance), or (None, distance) if none is near or several are equally."""
+    # a reading whose letters are a name's is not held against other names
+    exact = {reading for reading, e, *_ in found if e}
+    near = sorted((d, f, name) for reading, e, d, f, name in found if (e or reading not in exact) and d < float("inf"))
+    if not near:
+        return None, float("inf")
+    d, _, name = near[0]
+    others = {n for e, _, n in near if e <= d and n != name}
+    if d >= 0.9 and others and all(_stem(n) == _stem(name) for n in others):
+        return None, d  # only qualifiers that were not written tell them apart
+    return name, d
 
 
 def _stem(name: str) -> str:
@@ -198,41 +227,53 @@ def _stem(name: str) -> str:
 
 
 _MAPPED = T.StructType([T.StructField("raw", T.StringType()), T.StructField("name", T.StringType()), T.StructField("distance", T.DoubleType())])
+_FOUND = T.StructType([T.StructField("raw", T.StringType()), T.StructField("reading", T.IntegerType()), T.StructField("exact", T.BooleanType()), T.StructField("d", T.DoubleType()), T.StructField("f", T.LongType()), T.StructField("name", T.StringType())])
 
 
 def map_spellings(spellings: DataFrame, raw: str, names: DataFrame, aliases: DataFrame) -> DataFrame:
     """(raw, name, distance) of each distinct non-null spelling; name null where none is near.
 
-    ``names``: (name, freq); ``aliases``: (alias, canonical_name).  Both are
-    counted before they are collected and broadcast in blocks of ``MAX_NAMES``.
-    Null and blank names are left out.
+    ``names``: (name, freq); ``aliases``: (alias, canonical_name).  Null and
+    blank names are left out; repeated names add up; an alias of no known name
+    is ignored.  The answer is the same however many blocks the list makes.
     """
     spark = spellings.sparkSession
-    distinct = spread(spellings.select(F.col(raw).alias("raw")).where("raw is not null").distinct(), "raw")
+    distinct = cut(spread(spellings.select(F.col(raw).alias("raw")).where("raw is not null").distinct(), "raw"))
     names = names.where("name is not null and trim(name) <> ''").groupBy("name").agg(F.sum("freq").cast("long").alias("freq"))
-    n = names.count()
-    if aliases.count() > MAX_ALIASES:
-        raise ValueError(f"more than {MAX_ALIASES} aliases")
-    pairs = [(r[0], r[1]) for r in aliases.select("alias", "canonical_name").distinct().collect() if r[0] and r[1]]
-    blocks = max(1, -(-n // MAX_NAMES))
-    results = []
+    known = aliases.where("trim(alias) <> ''").select("alias", F.col("canonical_name").alias("name")).distinct().join(names, "name").select(F.col("alias").alias("written"), "name", "freq")
+    entries = cut(names.select(F.col("name").alias("written"), "name", "freq").unionByName(known))
+    blocks = max(1, -(-entries.count() // MAX_NAMES))
+    parts = []
     for b in range(blocks):
-        block = [(r[0], r[1]) for r in names.where(F.pmod(F.xxhash64("name"), F.lit(blocks)) == b).collect()]
-        shared = spark.sparkContext.broadcast((block, pairs))
+        # bounded: about MAX_NAMES entries
+        block = Dictionary([tuple(r) for r in entries.where(F.pmod(F.xxhash64("written", "name"), F.lit(blocks)) == b).collect()])
+        shared = spark.sparkContext.broadcast(block)
+        if blocks == 1:
+
+            def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+                for batch in batches:
+                    best = [shared.value.best(t) for t in batch["raw"]]
+                    yield pd.DataFrame({"raw": batch["raw"], "name": [x[0] for x in best], "distance": [x[1] for x in best]})
+
+            return distinct.mapInPandas(run, _MAPPED)
 
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            book = Dictionary(*shared.value)
+        def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                best = [book.best(t) for t in batch["raw"]]
-                yield pd.DataFrame({"raw": batch["raw"], "name": [x[0] for x in best], "distance": [x[1] for x in best]})
-
-        results.append(distinct.mapInPandas(run, _MAPPED))
-    out = results[0]
-    for more in results[1:]:
-        out = out.unionByName(more)
-    if blocks > 1:
-        out = out.groupBy("raw").agg(F.min(F.struct("distance", "name")).alias("m")).select("raw", "m.name", "m.distance")
-    return out
+                yield pd.DataFrame([(t, *x) for t in batch["raw"] for x in shared.value.found(t)], columns=["raw", "reading", "exact", "d", "f", "name"])
+
+        parts.append(distinct.mapInPandas(search, _FOUND))
+    every = parts[0]
+    for more in parts[1:]:
+        every = every.unionByName(more)
+
+    @F.pandas_udf("name string, distance double")
+    def decide(found: pd.Series) -> pd.DataFrame:
+        got = [decided([(r["reading"], r["exact"], r["d"], r["f"], r["name"]) for r in (x if x is not None else ())]) for x in found]
+        return pd.DataFrame({"name": [n for n, _ in got], "distance": [d for _, d in got]})
+
+    # the names near one spelling: a handful
+    found = every.groupBy("raw").agg(F.collect_list(F.struct("reading", "exact", "d", "f", "name")).alias("found"))
+    return distinct.join(found, "raw", "left").withColumn("m", decide("found")).select("raw", "m.name", "m.distance")
 
 
 def canonical_names(townland: DataFrame) -> DataFrame:
