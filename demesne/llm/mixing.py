@@ -5,9 +5,10 @@ is used whole as often as its budget allows, and the rest of the budget is the
 part below a threshold position.  The threshold is found by histograms: tokens
 are summed by source and the leading bits of the position, the bucket in which
 the budget ends is refined by the next bits, and so on; only that bucket is
-looked at again.  Nothing is sorted and no document is collected: the driver
-sees at most ``sources * 2 ** BITS`` sums a level.  Larger budgets only raise
-the threshold, so mixes of different sizes are nested.
+looked at again.  No document is sorted or collected: the sums of a source (at
+most ``2 ** BITS`` a level) are run through on the executors, and the driver
+sees one row a source and level.  Larger budgets only raise the threshold, so
+mixes of different sizes are nested.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import regex
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,9 +27,12 @@ from demesne.runtime import cut, table, ws_trim
 BITS = 12
 LEVELS = 5
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: a text is cut before white space into pieces of about this many characters for the tokenizer
+#: a text is cut into pieces of about this many characters for the tokenizer, only where that changes no token
 PIECE = 200_000
-MAX_TARGETS = 10_000
+#: a single blank between words: the vocabulary's pattern takes it with the word behind it
+_CUT = regex.compile(r"(?r)(?<=\S) (?=\S)")
+#: one row a target is held by the driver
+MAX_TARGETS = 200_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -50,10 +55,12 @@ def _encoding(path: str, pattern: str):
 def _pieces(text: str) -> Iterator[str]:
     at = 0
     while len(text) - at > PIECE:
-        end = text.rfind(" ", at + 1, at + PIECE)
-        end = end if end > at else at + PIECE
-        yield text[at:end]
-        at = end
+        # the last such blank of the piece, else the first one after it
+        m = _CUT.search(text, at + 1, at + PIECE) or regex.search(r"(?<=\S) (?=\S)", text, pos=at + PIECE - 1)
+        if not m:
+            break
+        yield text[at : m.start()]
+        at = m.start()
     yield text[at:]
 
 
@@ -95,20 +102,10 @@ def mixed(documents: DataFrame, targets: DataFrame, total: float | None = None,
         raise ValueError(f"more than {MAX_TARGETS} targets")
     spark = documents.sparkSession
     place = F.shiftrightunsigned(F.xxhash64(F.col(key)), 64 - BITS * LEVELS)
-    d = documents.select(F.col(key), source_key(F.col("source")).alias("source"), "tokens").where(F.col(key).isNotNull() & (F.col("tokens") > 0) & F.col("source").isin(*wanted or [""]))
-    d = cut(d.withColumn("place", place))
-
-    def bucket(level: int) -> Column:
-        return F.shiftrightunsigned("place", BITS * (LEVELS - 1 - level)).bitwiseAND(2**BITS - 1)
-
-    def histogram(rows: DataFrame, level: int) -> dict[str, dict[int, tuple[int, int]]]:
-        out: dict[str, dict[int, tuple[int, int]]] = {}
-        for r in rows.groupBy("source", bucket(level).alias("b")).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n")).collect():
-            out.setdefault(r["source"], {})[r["b"]] = (r["tokens"], r["n"])
-        return out
-
-    first = histogram(d, 0)
-    have = {s: sum(x[0] for x in first.get(s, {}).values()) for s in wanted}
+    d = documents.select(F.col(key), source_key(F.col("source")).alias("source"), "tokens").where(F.col(key).isNotNull() & (F.col("tokens") > 0))
+    # bounded: one row a target, at most MAX_TARGETS
+    d = cut(d.join(F.broadcast(t.select("source")), "source", "left_semi").withColumn("place", place))
+    have = dict.fromkeys(wanted, 0) | {r["source"]: r["tokens"] for r in d.groupBy("source").agg(F.sum("tokens").alias("tokens")).collect()}
     if total is None:
         total = min((have[s] * m / share for s, (share, m) in wanted.items() if have[s] and share > 0 and m > 0), default=0.0)
     budget = {s: share * total for s, (share, _) in wanted.items()}
@@ -119,30 +116,39 @@ def mixed(documents: DataFrame, targets: DataFrame, total: float | None = None,
         rest[s] = asked - whole[s] * have[s]
     threshold = dict.fromkeys(wanted, 0)
     open_ = {s for s in wanted if rest[s] > 0 and have[s]}
-    level, hist = 0, first
-    while open_:
+
+    def borders(level: int) -> dict[str, tuple[int, int, int, int]]:
+        """By source: bucket of this level in which the rest of the budget ends, its tokens and documents, and the tokens before it."""
+        low = BITS * (LEVELS - 1 - level)
+        state = spark.createDataFrame([(s, float(rest[s]), threshold[s] >> low >> BITS) for s in open_], "source string, rest double, above long")
+        # bounded: one row a target
+        inside = d.join(F.broadcast(state), "source").where(F.shiftrightunsigned("place", low + BITS) == F.col("above"))
+        sums = inside.groupBy("source", "rest", F.shiftrightunsigned("place", low).bitwiseAND(2**BITS - 1).alias("b")).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n"))
+        # bounded: at most 2 ** BITS sums a source
+        upto = F.sum("tokens").over(Window.partitionBy("source").orderBy("b"))
+        over = sums.withColumn("upto", upto).where(F.col("upto") > F.col("rest"))
+        first = over.groupBy("source").agg(F.min(F.struct("b", "tokens", "n", "upto")).alias("m"))
+        return {r["source"]: (r["m"]["b"], r["m"]["tokens"], r["m"]["n"], r["m"]["upto"] - r["m"]["tokens"]) for r in first.collect()}
+
+    for level in range(LEVELS):
+        if not open_:
+            break
         low = BITS * (LEVELS - 1 - level)
+        found = borders(level)
         for s in list(open_):
-            for b in sorted(hist.get(s, {})):
-                tokens, n = hist[s][b]
-                if tokens <= rest[s]:
-                    rest[s] -= tokens
-                    threshold[s] += 0  # the bucket is taken whole
-                    continue
-                threshold[s] += b << low
-                if n == 1 or level == LEVELS - 1:
-                    # one document left at the border: taken if that is nearer the budget
-                    if tokens / 2 < rest[s]:
-                        threshold[s] += 1 << low
-                    open_.discard(s)
-                break
-            else:
+            if s not in found:
+                # all of it fits
                 threshold[s] += 1 << (low + BITS)
                 open_.discard(s)
-        level += 1
-        if open_:
-            border = " or ".join(f"(source = '{s}' and shiftrightunsigned(place, {low}) = {threshold[s] >> low})" for s in sorted(open_))
-            hist = histogram(d.where(border), level)
+                continue
+            b, tokens, n, before = found[s]
+            rest[s] -= before
+            threshold[s] += b << low
+            if n == 1 or level == LEVELS - 1:
+                # one document left at the border: taken if that is nearer the budget
+                if tokens / 2 < rest[s]:
+                    threshold[s] += 1 << low
+                open_.discard(s)
     used = spark.createDataFrame([(s, whole[s], threshold[s], wanted[s][0], wanted[s][1], budget[s]) for s in wanted], "source string, whole int, threshold long, target_share double, max_repeats int, budget double")
     # bounded: one row a target, at most MAX_TARGETS
     copies = d.join(F.broadcast(used), "source").withColumn("copies", F.col("whole") + (F.col("place") < F.col("threshold")).cast("int")).where("copies > 0").select(key, "source", "tokens", "copies")

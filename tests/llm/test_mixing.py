@@ -30,6 +30,37 @@ def test_shares_caps_and_nesting(spark):
     assert all(less[k] <= more[k] for k in less)
 
 
+def test_against_sql_over_sorted_positions(spark):
+    """The same thresholds by plain SQL: documents by position, taken while the sum stays nearest the budget."""
+    import duckdb
+    import pandas as pd
+
+    docs = [(i, "o'hara papers" if i % 3 else "b", 5 + i * 7 % 50) for i in range(3000)]
+    targets = [("o'hara papers", 0.7, 2), ("b", 0.3, 1)]
+    frame = spark.createDataFrame([(*d, "x", 1) for d in docs], DOCS)
+    copies, shares = M.mixed(frame, spark.createDataFrame(targets, TARGETS), total=40_000)
+    place = frame.selectExpr("doc_id", f"shiftrightunsigned(xxhash64(doc_id), {64 - M.BITS * M.LEVELS}) place").toPandas()
+    t = pd.DataFrame(docs, columns=["doc_id", "source", "tokens"]).merge(place, on="doc_id")  # noqa: F841
+    b = shares.select("source", "tokens_budget").toPandas()  # noqa: F841
+    want = duckdb.sql("""
+      WITH h AS (SELECT source, sum(tokens) AS have FROM t GROUP BY source),
+      q AS (SELECT t.*, replace(t.source, ' ', '_') AS s, have, sum(tokens) OVER (PARTITION BY t.source ORDER BY place) AS upto FROM t JOIN h USING (source)),
+      r AS (SELECT q.*, floor(tokens_budget / have) AS whole, tokens_budget - floor(tokens_budget / have) * have AS rest FROM q JOIN b ON b.source = q.s)
+      SELECT doc_id, CAST(whole + CASE WHEN upto - tokens / 2 < rest THEN 1 ELSE 0 END AS INT) AS copies FROM r
+    """).df()
+    want = {r.doc_id: r.copies for r in want.itertuples() if r.copies}
+    assert {r["doc_id"]: r["copies"] for r in copies.collect()} == want and len(want) > 500
+
+
+@pytest.mark.parametrize("text", ["x" * 3000, "a b " * 900, "a  b\n\n c" * 400, " " * 2500, "word " * 300 + "y" * 2000 + " tail  end", "it's " * 700])
+def test_pieces_change_no_token(monkeypatch, text):
+    public = pytest.importorskip("public_tokenizers")
+    enc = M._encoding(M.vocabulary_path(), public.PATTERN)
+    monkeypatch.setattr(M, "PIECE", 500)
+    parts = list(M._pieces(text))
+    assert "".join(parts) == text and [x for p in parts for x in enc.encode_ordinary(p)] == enc.encode_ordinary(text)
+
+
 def test_source_that_falls_short(spark):
     used, shares = run(spark, [(1, "a", 10), (2, "b", 1000), (3, "b", 1000)], [("a", 0.5, 2), ("b", 0.5, 1)], total=2000)
     assert used[1] == 2 and shares["a"]["tokens_used"] == 20 and shares["b"]["tokens_used"] == 1000
