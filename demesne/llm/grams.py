@@ -19,7 +19,7 @@ def grams(word: Column, q: int = Q) -> Column:
     return F.array_distinct(all_)
 
 
-def prefix_join(words: DataFrame, anchors: DataFrame | None = None, jaccard: float = JACCARD, scope: list[str] | None = None) -> DataFrame:
+def prefix_join(words: DataFrame, anchors: DataFrame | None = None, jaccard: float = JACCARD, scope: list[str] | None = None, exact: bool = True) -> DataFrame:
     """(word, anchor): the pairs of different words whose q-gram sets have at least that Jaccard similarity.
 
     ``words`` and ``anchors`` have a column ``word``; without ``anchors`` the
@@ -29,6 +29,8 @@ def prefix_join(words: DataFrame, anchors: DataFrame | None = None, jaccard: flo
     square of all words.  Words are posted under their ``n - ceil(jaccard * n) +
     1`` rarest q-grams: two sets that similar must share one of them.  Postings
     of a common q-gram are cut into blocks.  Null and empty words meet none.
+    Unless ``exact``, candidates that share a prefix q-gram but are less similar
+    are left in, for callers that verify by another distance.
     """
     scope = scope or []
     mine = words.select(*scope, "word").where("word <> ''").distinct()
@@ -49,5 +51,7 @@ def prefix_join(words: DataFrame, anchors: DataFrame | None = None, jaccard: flo
     right = (left if anchors is None else posted(theirs)).select(*scope, F.col("word").alias("anchor"), F.col("n").alias("m"), "g")
     differ = F.col("word") < F.col("anchor") if anchors is None else F.col("word") != F.col("anchor")
     met = hot_join(left, right, [*scope, "g"]).where(differ & (F.least("n", "m") >= F.greatest("n", "m") * jaccard)).select("word", "anchor", "n", "m").distinct()
+    if not exact:
+        return met.select("word", "anchor")
     both = F.size(F.array_intersect(grams(F.col("word")), grams(F.col("anchor"))))
     return met.where(both >= F.lit(jaccard) * (F.col("n") + F.col("m") - both)).select("word", "anchor")

@@ -36,7 +36,6 @@ ANCHOR_RATIO = 3
 THRESHOLD = 0.8
 #: where mentions without a birth are met
 NO_SLOT = 1 << 40
-MOST_PLAIN_EDITS = 4
 
 
 def most_edits(n: int) -> float:
@@ -60,8 +59,9 @@ def verified(pairs: DataFrame) -> DataFrame:
                     rows.append((a, b, d))
             yield pd.DataFrame(rows, columns=["word", "anchor", "d"])
 
-    # a weighted distance of 2 is at most 4 plain edits (two swaps, or four doubled letters)
-    close = pairs.where(F.levenshtein("word", "anchor", MOST_PLAIN_EDITS) >= 0)
+    # plain edits within the weighted limits: 0.8 is a swap, 1.3 a swap and a doubled letter, 2 two swaps or four doubled letters
+    n = F.greatest(F.length("word"), F.length("anchor"))
+    close = pairs.where(F.levenshtein("word", "anchor", 4) >= 0).where(F.levenshtein("word", "anchor") <= F.when(n <= 4, 2).when(n <= 6, 3).otherwise(4))
     return spread(close, "word", "anchor").mapInPandas(run, _SCORED)
 
 
@@ -77,7 +77,7 @@ def spellings(surnames: DataFrame, scope: list[str] | None = None) -> tuple[Data
     """
     surnames = surnames.where("surname <> ''").withColumnRenamed("surname", "word")
     df_of = cut(surnames.groupBy("word").agg(F.count(F.lit(1)).alias("df")))
-    near = cut(verified(prefix_join(surnames, scope=scope)))
+    near = cut(verified(prefix_join(surnames, scope=scope, exact=False)))
     both = near.unionByName(near.select(F.col("anchor").alias("word"), F.col("word").alias("anchor"), "d"))
     met = both.join(df_of, "word").join(df_of.select(F.col("word").alias("anchor"), F.col("df").alias("df2")), "anchor").where(F.col("df2") >= ANCHOR_RATIO * F.col("df"))
     best = F.min(F.struct("d", (-F.col("df2")).alias("n"), F.col("anchor").alias("rep")))

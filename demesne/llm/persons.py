@@ -254,7 +254,7 @@ def given_names(tokens: DataFrame) -> DataFrame:
     tokens = tokens.select("token").where("token <> ''").distinct()
     # the book is a fixed list of some 500 words
     book = tokens.sparkSession.createDataFrame([(w,) for w in sorted(_BOOK)], "word string")
-    met = prefix_join(tokens.select(F.col("token").alias("word")), book, GIVEN_JACCARD).groupBy(F.col("word").alias("token")).agg(F.collect_set("anchor").alias("near"))
+    met = prefix_join(tokens.select(F.col("token").alias("word")), book, GIVEN_JACCARD, exact=False).groupBy(F.col("word").alias("token")).agg(F.collect_set("anchor").alias("near"))
     got = spread(tokens.join(met, "token", "left"), "token").withColumn("r", _read("token", "near"))
     return got.select("token", F.col("r.names").alias("names"), F.col("r.costs").alias("costs")).where(F.size("names") > 0)
 

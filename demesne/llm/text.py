@@ -39,6 +39,10 @@ def substitution(a: str, b: str) -> float:
     return 1.0
 
 
+#: cost of one letter for another; pairs not listed cost 1
+_COSTS = {a + b: substitution(a, b) for a in "abcdefghijklmnopqrstuvwxyz0123456789" for b in "abcdefghijklmnopqrstuvwxyz0123456789" if a != b and substitution(a, b) < 1.0}
+
+
 def osa(a: str, b: str, limit: float = 99.0, weighted: bool = True) -> float:
     """Damerau-Levenshtein distance (adjacent swaps count once), weighted or plain.
 
@@ -49,39 +53,53 @@ def osa(a: str, b: str, limit: float = 99.0, weighted: bool = True) -> float:
     if a == b:
         return 0.0
     n, m = len(a), len(b)
-    if abs(n - m) * 0.5 > limit:
+    least_gap = 0.5 if weighted else 1.0
+    if abs(n - m) * least_gap > limit:
         return limit + 1
+    # cells further from the diagonal cost more than the limit
+    band = min(int(limit / least_gap), n + m)
+    far = limit + 1.0
+    swap = 0.8 if weighted else 1.0
+    costs = _COSTS if weighted else {}
+    gaps = [1.0] * (m + 1)
+    if weighted:
+        for j in range(2, m + 1):
+            if b[j - 1] == b[j - 2]:
+                gaps[j] = 0.5
     before: list[float] = []
     row = [0.0] * (m + 1)
     for j in range(1, m + 1):
-        row[j] = row[j - 1] + (0.5 if weighted and j > 1 and b[j - 1] == b[j - 2] else 1.0)
+        row[j] = row[j - 1] + gaps[j]
+    last = ""
     for i in range(1, n + 1):
         x = a[i - 1]
-        drop = 0.5 if weighted and i > 1 and x == a[i - 2] else 1.0
-        new = [row[0] + drop] + [0.0] * m
+        drop = 0.5 if weighted and x == last else 1.0
+        new = [far] * (m + 1)
+        if i <= band:
+            new[0] = row[0] + drop
         least = new[0]
-        for j in range(1, m + 1):
+        for j in range(max(1, i - band), min(m, i + band) + 1):
             y = b[j - 1]
             if x == y:
                 v = row[j - 1]
             else:
-                v = row[j - 1] + (substitution(x, y) if weighted else 1.0)
+                v = row[j - 1] + costs.get(x + y, 1.0)
+                if y == last and j > 1 and x == b[j - 2]:
+                    w = before[j - 2] + swap
+                    if w < v:
+                        v = w
             w = row[j] + drop
             if w < v:
                 v = w
-            w = new[j - 1] + (0.5 if weighted and j > 1 and y == b[j - 2] else 1.0)
+            w = new[j - 1] + gaps[j]
             if w < v:
                 v = w
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y and x != y:
-                w = before[j - 2] + (0.8 if weighted else 1.0)
-                if w < v:
-                    v = w
             new[j] = v
             if v < least:
                 least = v
         if least > limit:
             return limit + 1
-        before, row = row, new
+        before, row, last = row, new, x
     return row[m]
 
 
