@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules with ``QUERIES`` (name -> callable) and ``SQL`` (name -> text).
-MODULES = ["q_metrics", "q_relational", "q_data", "q_er", "q_graph", "q_more", "q_retrieval", "q_results", "q_streaming", "q_problems"]
+MODULES = ["q_metrics", "q_relational", "q_data", "q_er", "q_graph", "q_more", "q_retrieval", "q_results", "q_archive", "q_streaming", "q_problems"]
 
 
 def _gather(what: str) -> dict:
