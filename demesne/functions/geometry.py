@@ -225,3 +225,21 @@ def shape_flag(wkt: str | None, box: Box = IRELAND) -> str:
 @F.pandas_udf(T.StringType())
 def shape_flag_col(wkt: pd.Series) -> pd.Series:
     return wkt.map(shape_flag)
+
+
+_OUTLINE = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType()), T.StructField("mean_x", T.DoubleType()), T.StructField("mean_y", T.DoubleType())])
+
+
+@F.pandas_udf(_OUTLINE)
+def outline_centres(wkt: pd.Series) -> pd.DataFrame:
+    """Middle of the bounding box of the first part's shell, and the mean of its corners (the closing one left out); null for unreadable text."""
+    rows = []
+    for text in wkt:
+        parts = polygon_parts(text)
+        if not parts:
+            rows.append((None,) * 4)
+            continue
+        ring = parts[0][0]
+        low, high, mean = ring.min(0), ring.max(0), ring[:-1].mean(0)
+        rows.append((float(low[0] + high[0]) / 2, float(low[1] + high[1]) / 2, float(mean[0]), float(mean[1])))
+    return pd.DataFrame(rows, columns=["x", "y", "mean_x", "mean_y"])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from demesne.functions.similarity import levenshtein_ratio, trigrams
+from demesne.runtime import cut, hot_join
 
 MAX_CANDIDATES = 25
 BANDS = ((0.75, "CONFIRMED_MATCH"), (0.60, "POSSIBLE_MATCH"), (0.40, "WEAK_MATCH"))
@@ -26,11 +27,12 @@ def block_pairs(left: DataFrame, right: DataFrame, keys: dict[str, tuple[Column,
     """(left_id, right_id, strategies): pairs that share any of the named keys, with how many.
 
     A null or empty key blocks nothing.  Each strategy is an equi-join, so a
-    pair is met once a shared key and never by comparing all with all.
+    pair is met once a shared key and never by comparing all with all; frequent
+    keys are cut into blocks.
     """
     tag = lambda df, side, i: df.select(F.col(i), F.explode(F.array(*[F.struct(F.lit(n).alias("s"), k[side].cast("string").alias("k")) for n, k in keys.items()])).alias("x")).select(i, "x.s", "x.k").where("k is not null and k <> ''").distinct()
-    a, b = tag(left, 0, left_id), tag(right, 1, right_id)
-    return a.join(b, ["s", "k"]).groupBy(left_id, right_id).agg(F.count(F.lit(1)).alias("strategies"))
+    a, b = cut(tag(left, 0, left_id)), cut(tag(right, 1, right_id))
+    return hot_join(a, b, ["s", "k"]).groupBy(left_id, right_id).agg(F.count(F.lit(1)).alias("strategies"))
 
 
 def top_candidates(pairs: DataFrame, left_id: str, order: list[Column], most: int = MAX_CANDIDATES) -> DataFrame:
@@ -45,15 +47,16 @@ def ladder(value: Column, *steps: tuple[float, float], down: bool = True, otherw
     return out.otherwise(F.lit(float(otherwise)))
 
 
-def match_score(a: Callable[[str], Column], b: Callable[[str], Column], ratio: Ratio = levenshtein_ratio) -> Column:
+def match_score(a: Callable[[str], Column], b: Callable[[str], Column], ratio: Ratio = levenshtein_ratio, phonetic: Callable[[Column], Column] = skeleton) -> Column:
     """Struct(score, impossible) on the 60-point ladder.
 
     ``a(field)`` and ``b(field)`` give name, surname, forename, place, birth,
-    gender, year and age of the two sides; ``ratio`` is 0-100.
+    gender, year and age of the two sides; ``ratio`` is 0-100, ``phonetic`` the
+    sound key of a surname.
     """
     filled = lambda c: c.isNotNull() & (F.trim(c) != "")
     full = ladder(ratio(a("name"), b("name")), (90, 10), (75, 7), (60, 4))
-    surname = F.when(a("surname") == b("surname"), 10.0).when(skeleton(a("surname")) == skeleton(b("surname")), 7.0).otherwise(0.0)
+    surname = F.when(a("surname") == b("surname"), 10.0).when(phonetic(a("surname")) == phonetic(b("surname")), 7.0).otherwise(0.0)
     forename = F.when(~filled(a("forename")) | ~filled(b("forename")), 5.0).otherwise(ladder(ratio(a("forename"), b("forename")), (90, 10), (80, 7), (60, 4)))
     place = F.when(a("place") == b("place"), 10.0).when(filled(a("place")) & filled(b("place")) & (b("place").contains(a("place")) | a("place").contains(b("place"))), 6.0).otherwise(0.0)
     gap = F.abs(a("birth") - b("birth"))
@@ -69,6 +72,51 @@ def match_score(a: Callable[[str], Column], b: Callable[[str], Column], ratio: R
     return F.struct(F.when(impossible, F.least(score, F.lit(IMPOSSIBLE_CAP))).otherwise(score).alias("score"), impossible.alias("impossible"))
 
 
+def evidence(a: Callable[[str], Column], b: Callable[[str], Column], ratio: Ratio = levenshtein_ratio, phonetic: Callable[[Column], Column] = skeleton) -> Column:
+    """Struct(evidence, conflicts, missing): arrays of what speaks for a pair, what against, and what can't be told."""
+    filled = lambda c: c.isNotNull() & (F.trim(c) != "")
+    both = lambda f: filled(a(f)) & filled(b(f))
+    known = lambda f: a(f).isNotNull() & b(f).isNotNull()
+    name, fore = ratio(a("name"), b("name")), ratio(a("forename"), b("forename"))
+    gap, years = F.abs(a("birth") - b("birth")), F.abs(a("year") - b("year"))
+    aged = known("age") & known("year")
+    drift = F.abs(a("age") + (b("year") - a("year")) - b("age"))
+    holds = lambda x, y: x.contains(y) | y.contains(x)
+    yes = [
+        F.when(name >= 90, "name strong").when(name >= 75, "name good").when(name >= 60, "name partial"),
+        F.when(both("surname") & (a("surname") == b("surname")), "surname exact").when(both("surname") & (phonetic(a("surname")) == phonetic(b("surname"))), "surname phonetic"),
+        F.when(both("forename"), F.when(fore >= 90, "forename exact").when(fore >= 80, "forename close").when(fore >= 60, "forename partial")),
+        F.when(both("place"), F.when(a("place") == b("place"), "place same").when(holds(a("place"), b("place")), "place variant")),
+        F.when(gap <= 3, "birth close").when(gap <= 8, "birth compatible"),
+        F.when(both("gender") & (a("gender") == b("gender")), "gender same"),
+        F.when(aged, F.when(drift <= 2, "age consistent").when(drift <= 5, "age compatible")).otherwise(F.when(years <= 2, "time close").when(years <= 10, "time compatible")),
+    ]
+    no = [
+        F.when(both("forename") & (fore < 60), "forename differs"), F.when(gap > 20, "birth impossible"), F.when(both("gender") & (a("gender") != b("gender")), "gender differs"),
+        F.when(F.when(aged, drift > 30).otherwise(years > 40), "time impossible"),
+    ]
+    unknown = [
+        F.when(F.coalesce(name < 60, F.lit(True)), "name"), F.when(~both("surname") | ((a("surname") != b("surname")) & (phonetic(a("surname")) != phonetic(b("surname")))), "surname"), F.when(~both("forename"), "forename"),
+        F.when(~both("place"), "place").when(~holds(a("place"), b("place")), "place differs"), F.when(~known("birth"), "birth"), F.when(~both("gender"), "gender"), F.when(~known("year"), "time"),
+    ]
+    return F.struct(*[F.array_compact(F.array(*[F.coalesce(x, F.lit(None).cast("string")) for x in xs])).alias(n) for n, xs in (("evidence", yes), ("conflicts", no), ("missing", unknown))])
+
+
+def strategies(a: Callable[[str], Column], b: Callable[[str], Column], ratio: Ratio = levenshtein_ratio, fuzzy: float = 82.0, years: int = 10) -> Column:
+    """Array of the candidate strategies a pair meets: exact name, surname and initial, sound of the surname, like name, same or variant place, year."""
+    filled = lambda f: (a(f) != "") & (b(f) != "")
+    first = lambda c: F.substring(c, 1, 1)
+    found = [
+        F.when(filled("name") & (a("name") == b("name")), "exact_name"),
+        F.when(filled("surname") & (a("surname") == b("surname")) & filled("forename") & (first(a("forename")) == first(b("forename"))), "surname_initial"),
+        F.when(filled("phonetic") & (a("phonetic") == b("phonetic")), "phonetic_surname"),
+        F.when(filled("name") & (ratio(a("name"), b("name")) >= fuzzy), "fuzzy_name"),
+        F.when(filled("place") & (a("place") == b("place")), "same_place").when(filled("place") & (a("place").contains(b("place")) | b("place").contains(a("place"))), "variant_place"),
+        F.when(F.abs(a("year") - b("year")) <= years, "year"),
+    ]
+    return F.array_compact(F.array(*found))
+
+
 def band(score: Column) -> Column:
     out = F.when(F.lit(False), "")
     for bound, label in BANDS:
@@ -89,11 +137,13 @@ def trigram_cosine(queries: DataFrame, catalogue: DataFrame, query: str, name: s
     return top_candidates(s, query, [F.round("cosine", 9).desc(), F.col(name)], k)
 
 
-def pair_score(a: Callable[[str], Column], b: Callable[[str], Column], likeness: Ratio) -> Column:
-    """Weighted likeness of two place rows: 0.35 name, 0.10 Irish name, 0.15 parish, 0.10 barony, 0.10 area; 0.99 on a shared id."""
+def pair_score(a: Callable[[str], Column], b: Callable[[str], Column], likeness: Ratio, overlap: Column | None = None) -> Column:
+    """Weighted likeness of two place rows: 0.35 name, 0.10 Irish name, 0.15 parish, 0.10 barony, 0.10 area, 0.20 overlap of outlines; 0.99 on a shared id."""
     same = lambda f: F.coalesce((F.lower(a(f)) == F.lower(b(f))).cast("int"), F.lit(0))
     area = F.coalesce(F.least(a("area_sqm"), b("area_sqm")) / F.greatest(a("area_sqm"), b("area_sqm")), F.lit(0.0))
     parts = 0.35 * F.coalesce(likeness(a("name"), b("name")), F.lit(0.0)) + 0.10 * F.coalesce(likeness(a("name_gaelic"), b("name_gaelic")), F.lit(0.0)) + 0.15 * same("civil_parish") + 0.10 * same("barony") + 0.10 * area
+    if overlap is not None:
+        parts = parts + 0.20 * F.coalesce(overlap, F.lit(0.0))
     shared = F.lit(False)
     for f in ("osm_id", "osi_id", "vrti_id", "kg_uri", "logainm_id"):
         shared = shared | F.coalesce(a(f) == b(f), F.lit(False))

@@ -48,16 +48,17 @@ _SLAB = T.StructType(
 )
 
 
-def region_slabs(regions: DataFrame, id_col: str = "id", wkt: str = "wkt_geometry", box: Box | None = IRELAND) -> DataFrame:
+def region_slabs(regions: DataFrame, id_col: str = "id", wkt: str = "wkt_geometry", box: Box | None = IRELAND, any_ring: bool = False) -> DataFrame:
     """Slabs of every readable polygon: (region, x0, x1, lo, hi).
 
     Each part of a multipolygon is split by itself (holes are edges like the
-    shell's), so touching parts don't cancel out.
+    shell's), so touching parts don't cancel out.  With ``any_ring`` every ring
+    is split by itself, so that a point inside a hole counts as inside.
     """
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(i, *slab) for i, text in zip(batch["id"], batch["wkt"]) for part in polygon_parts(text, box) for slab in slabs(part)]
+            rows = [(i, *slab) for i, text in zip(batch["id"], batch["wkt"]) for part in polygon_parts(text, box) for rings in ([[r] for r in part] if any_ring else [part]) for slab in slabs(rings)]
             yield pd.DataFrame(rows, columns=["region", "x0", "x1", "lo", "hi"])
 
     polygons = regions.select(F.col(id_col).cast("long").alias("id"), F.col(wkt).alias("wkt")).where(F.col("id").isNotNull() & F.col("wkt").rlike(r"(?i)polygon\s*z?m?\s*\("))

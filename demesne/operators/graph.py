@@ -12,7 +12,10 @@ MAX_STEPS = 100
 
 
 def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """(vertex, component): least vertex reachable, by min-label spreading with pointer jumping."""
+    """(vertex, component): least vertex reachable, by min-label spreading with pointer jumping.
+
+    Raises an error rather than returning unfinished labels.
+    """
     e = pairs.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
     e = cut(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     labels = cut(e.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("l")))
@@ -25,6 +28,8 @@ def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
         labels = new.select("u", "l")
         if not changed:
             break
+    else:
+        raise RuntimeError(f"no end after {MAX_STEPS} steps")
     return labels.select(F.col("u").alias("vertex"), F.col("l").alias("component"))
 
 
@@ -33,7 +38,8 @@ def k_hops(edges: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
 
     ``edges``: src, dst; ``seeds``: node.
     """
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    edges = cut(edges.select("src", "dst").distinct())
+    both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     reached = seeds.select("node").distinct().withColumn("hop", F.lit(0))
     front = reached
     for h in range(1, k + 1):
@@ -53,6 +59,12 @@ def prune(edges: DataFrame, priority: F.Column, most: int) -> DataFrame:
     return edges.withColumn("priority", priority).orderBy(F.desc("priority"), "src", "rel", "dst").limit(most)
 
 
+def prune_nodes(nodes: DataFrame, edges: DataFrame, priority: F.Column, most: int) -> tuple[DataFrame, DataFrame]:
+    """The ``most`` best nodes by priority, then by name, and the edges between them."""
+    kept = nodes.withColumn("priority", priority).orderBy(F.desc("priority"), "node").limit(most)
+    return kept, induced(edges, kept)
+
+
 def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     ends = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
     return nodes.join(ends, "node", "left_anti")
@@ -77,10 +89,14 @@ def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
     return labels
 
 
-def match_pattern(triples: DataFrame, *patterns: tuple[str, str, str]) -> DataFrame:
-    """Basic graph pattern over (s, p, o): terms starting with ``?`` are variables, shared ones join."""
+def match_pattern(triples: DataFrame, *patterns: tuple[str, str, str], optional: tuple[tuple[str, str, str], ...] = (), where: F.Column | None = None) -> DataFrame:
+    """Graph pattern over (s, p, o): terms starting with ``?`` are variables, shared ones join.
+
+    ``optional`` patterns keep the matches they add nothing to (variables null);
+    ``where`` filters the matches at the end.
+    """
     out = None
-    for s, p, o in patterns:
+    for s, p, o in (*patterns, *optional):
         part, names = triples, {}
         for column, term in (("s", s), ("p", p), ("o", o)):
             if term.startswith("?"):
@@ -97,8 +113,8 @@ def match_pattern(triples: DataFrame, *patterns: tuple[str, str, str]) -> DataFr
         shared = [v for v in names if v in out.columns]
         if not shared:
             raise ValueError("a pattern must share a variable with those before it")
-        out = out.join(part, shared)
-    return out
+        out = out.join(part, shared, "left" if (s, p, o) in optional else "inner")
+    return out if where is None else out.where(where)
 
 
 def triples_of(df: DataFrame, subject: F.Column, predicates: dict[str, F.Column]) -> DataFrame:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from demesne.functions import cleaning as C
+from demesne.functions.geometry import iou_col
 from demesne.functions.similarity import jaro_winkler_col, levenshtein_ratio, matcher_col, metaphone_col, token_sort_col
 from demesne.operators import er
 from demesne.operators.graph import components
 from demesne.plans import views
-from demesne.runtime import table
+from demesne.runtime import cut, hot_join, lookup_join, table, ws_trim
 
 
 def _mentions(spark, d):
@@ -88,11 +89,115 @@ def e_prf1(spark, d):
     return er.prf(_scored(spark, d), F.col("band").isin("CONFIRMED_MATCH", "POSSIBLE_MATCH"), F.col("truth"))
 
 
+def _gold_keys(spark, d):
+    g = _gold(spark, d)
+    keys = {"surname": (er.skeleton(F.col("surname")), er.skeleton(F.col("surname"))), "place": (F.col("place"), F.col("place"))}
+    side = lambda s, i: g.select(F.col("gold_id").alias(i), F.col(f"surname_{s}").alias("surname"), F.col(f"place_{s}").alias("place"))
+    return g, er.block_pairs(side("a", "a_id"), side("b", "b_id"), keys, "a_id", "b_id")
+
+
 def e_pair_completeness_rr(spark, d):
-    """Share of the labelled true pairs that a blocking key of place and surname skeleton keeps, and of all pairs it spares."""
+    """The blocker over both sides of the labelled pairs: true pairs kept, candidates, and the share of all possible pairs spared."""
+    g, met = _gold_keys(spark, d)
+    own = met.where("a_id = b_id").select(F.col("a_id").alias("gold_id"), F.lit(1).alias("kept"))
+    kept = g.join(own, "gold_id", "left").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("truth"), 1)).alias("true_pairs"), F.count(F.when(F.col("truth") & F.col("kept").isNotNull(), 1)).alias("kept_true"))
+    # two results of one row
+    both = kept.join(F.broadcast(met.agg(F.count(F.lit(1)).alias("candidates"))))
+    spared = F.floor((1 - F.col("candidates") / F.nullif(F.col("n") * F.col("n"), F.lit(0))) * 1e6 + 0.5) / 1e6
+    return both.select("true_pairs", "kept_true", "candidates", spared.alias("reduction_ratio"))
+
+
+def _phonetic_sides(spark, d):
+    m = table(spark, d, "source_mentions").where("id is not null").groupBy("id").agg(F.max(F.struct(F.coalesce("updated_at", F.lit("0001-01-01").cast("timestamp_ntz")).alias("t"), "forename", "surname", "raw_place", "event_year")).alias("r"))
+    blank = lambda c: F.coalesce(F.upper(F.trim(c)), F.lit(""))
+    m = m.select("id", blank("r.forename").alias("forename"), blank("r.surname").alias("surname"), F.coalesce(C.compact_key(F.col("r.raw_place")), F.lit("")).alias("place"), F.col("r.event_year").alias("year"))
+    r = views.records(spark, d).where("record_id is not null").groupBy("record_id").agg(F.min(blank("forename")).alias("forename"), F.min(blank("surname")).alias("surname"), F.min(F.coalesce(C.compact_key(F.col("townland_norm")), F.lit(""))).alias("place"), F.min("year").alias("year"))
+    full = lambda df: df.withColumn("name", _ascii(F.trim(F.concat_ws(" ", "forename", "surname")))).withColumn("phonetic", er.skeleton(F.col("surname")))
+    return cut(full(m)), cut(full(r))
+
+
+def _strategy_pairs(spark, d):
+    """Mentions against records that share the sound of the surname and its first letter's forename, or the place, with the strategies they meet."""
+    m, r = _phonetic_sides(spark, d)
+    # a sound alone names a third of a register: the initial goes with it; so does the surname's first letter with the place
+    initial, letter = F.substring("forename", 1, 1), F.substring("surname", 1, 1)
+    keyed = lambda df: df.withColumn("k1", F.when((F.col("phonetic") != "") & (initial != ""), F.concat_ws("|", "phonetic", initial))).withColumn("k2", F.when((F.col("place") != "") & (letter != ""), F.concat_ws("|", "place", letter)))
+    pairs = er.block_pairs(keyed(m), keyed(r), {"s": (F.col("k1"), F.col("k1")), "p": (F.col("k2"), F.col("k2"))}, "id", "record_id").drop("strategies")
+    side = lambda df, s, i: df.select(i, *[F.col(c).alias(f"{c}_{s}") for c in ("name", "forename", "surname", "phonetic", "place", "year")])
+    p = lookup_join(lookup_join(pairs, side(m, "a", "id"), ["id"]), side(r, "b", "record_id"), ["record_id"])
+    return p.withColumn("met", er.strategies(lambda f: F.col(f"{f}_a"), lambda f: F.col(f"{f}_b")))
+
+
+def e_strategy_candidates(spark, d):
+    """The 25 best records of every mention by strategies met, likeness of name and place."""
+    p = _strategy_pairs(spark, d).where(F.size("met") > 0)
+    likeness = F.levenshtein("name_a", "name_b") * 1.0 / F.greatest(F.length("name_a"), F.length("name_b"), F.lit(1))
+    p = p.withColumn("n", F.size("met")).withColumn("apart", F.floor(likeness * 10000 + 0.5) / 10000)
+    return er.top_candidates(p, "id", [F.desc("n"), F.col("apart"), F.desc(F.array_contains("met", "same_place")), F.col("record_id")]).select("id", "record_id", "n", "apart", "rank")
+
+
+def e_strategy_counts(spark, d):
+    """How many candidate pairs meet each strategy."""
+    return _strategy_pairs(spark, d).select(F.explode("met").alias("strategy")).groupBy("strategy").agg(F.count(F.lit(1)).alias("pairs"))
+
+
+def e_link_summary(spark, d):
+    """The driver's counters: per mention its best candidate's strategies decide strong, weak or unresolved; several strong ones are ambiguous."""
+    m, _ = _phonetic_sides(spark, d)
+    p = _strategy_pairs(spark, d).withColumn("n", F.size("met"))
+    per = p.groupBy("id").agg(F.max("n").alias("best"), F.count(F.when(F.col("n") >= 4, 1)).alias("strong"))
+    every = m.select("id").join(per, "id", "left")
+    label = F.when(F.coalesce(F.col("best"), F.lit(0)) == 0, "unresolved").when(F.col("best") >= 4, "strong").otherwise("weak")
+    return every.groupBy(label.alias("label")).agg(F.count(F.lit(1)).alias("mentions"), F.count(F.when(F.col("strong") > 1, 1)).alias("ambiguous"), F.coalesce(F.sum("strong"), F.lit(0)).alias("strong_pairs"))
+
+
+def e_evidence(spark, d):
+    """What speaks for each labelled pair, what against it, and what can't be told."""
+    e = er.evidence(lambda f: F.col(f"{f}_a"), lambda f: F.col(f"{f}_b"))
+    text = lambda c: F.array_join(c, ",")
+    return _gold(spark, d).withColumn("e", e).select("gold_id", text("e.evidence").alias("evidence"), text("e.conflicts").alias("conflicts"), text("e.missing").alias("missing"))
+
+
+def e_decisions_applied(spark, d):
+    """The review queue with its decisions applied: per unordered pair the latest confirming or rejecting review, and how many there were."""
+    return _decided(spark, d).select("u", "v", "status", "reviews")
+
+
+def _decided(spark, d):
+    r = table(spark, d, "match_review").where("townland_id_a is not null and townland_id_b is not null and townland_id_a <> townland_id_b")
+    r = r.select(F.least("townland_id_a", "townland_id_b").alias("u"), F.greatest("townland_id_a", "townland_id_b").alias("v"), "id", "reviewed_at", F.lower(ws_trim(F.col("status"))).alias("status")).where(F.col("status").isin("confirmed", "rejected"))
+    last = F.max(F.struct(F.coalesce("reviewed_at", F.lit("0001-01-01").cast("timestamp_ntz")).alias("t"), "id", "status"))
+    return r.groupBy("u", "v").agg(last.alias("last"), F.count(F.lit(1)).alias("reviews")).select("u", "v", F.col("last.status").alias("status"), "reviews")
+
+
+def e_cluster_means(spark, d):
+    """Mean review score of the pairs inside each confirmed cluster."""
+    pairs = cut(_decided(spark, d).where("status = 'confirmed'").select("u", "v"))
+    groups = components(pairs, "u", "v")
+    r = table(spark, d, "match_review").select(F.least("townland_id_a", "townland_id_b").alias("u"), F.greatest("townland_id_a", "townland_id_b").alias("v"), F.col("score").cast("decimal(12,6)").alias("score"))
+    scored = r.join(pairs, ["u", "v"], "left_semi")
+    met = lookup_join(scored.withColumnRenamed("u", "vertex"), groups, ["vertex"])
+    mean = F.sum("score").cast("double") / F.count("score")
+    return met.groupBy("component").agg(F.count("score").alias("reviews"), (F.floor(mean * 10000 + 0.5) / 10000).alias("mean_score"))
+
+
+def e_pick_canonical(spark, d):
+    """The row that stands for each confirmed cluster: source kg before json before others, then the most filled, then the least id."""
+    groups = components(_decided(spark, d).where("status = 'confirmed'"), "u", "v").select(F.col("vertex").alias("id"), "component")
+    fields = ["name_gaelic", "barony", "civil_parish", "electoral_division", "logainm_id", "area_sqm", "wkt_geometry", "county"]
+    p = views.places(spark, d).select("id", F.when(F.col("source") == "kg", 0).when(F.col("source") == "json", 1).otherwise(2).alias("o"), sum((F.col(c).isNotNull().cast("int") for c in fields), F.lit(0)).alias("filled"))
+    met = lookup_join(groups, p, ["id"])
+    return met.groupBy("component").agg(F.min(F.struct("o", (-F.col("filled")).alias("f"), "id")).alias("m"), F.count(F.lit(1)).alias("members")).select("component", F.col("m.id").alias("canonical_id"), (-F.col("m.f")).alias("filled"), "members")
+
+
+def e_reference_score(spark, d):
+    """The full ladder: token-sort ratio, metaphone, and the gender of the estate record."""
     g = _gold(spark, d)
-    kept = F.coalesce((er.skeleton(F.col("surname_a")) == er.skeleton(F.col("surname_b"))) | (F.col("place_a") == F.col("place_b")), F.lit(False))
-    return g.agg(F.count(F.when(F.col("truth"), 1)).alias("true_pairs"), F.count(F.when(F.col("truth") & kept, 1)).alias("kept_true"), F.count(F.when(~kept, 1)).alias("spared"), F.count(F.lit(1)).alias("pairs"))
+    link = table(spark, d, "er_gold").where("gold_label is not null").select("gold_id", F.col("u_record_id").alias("record_id")).dropDuplicates(["gold_id"])
+    sex = views.records(spark, d).where("record_id is not null").groupBy("record_id").agg(F.min(C.clean_gender(F.col("gender"))).alias("gender_b"))
+    g = lookup_join(lookup_join(g.drop("gender_b"), link, ["gold_id"]), sex, ["record_id"], "left")
+    s = er.match_score(lambda f: F.col(f"{f}_a"), lambda f: F.col(f"{f}_b"), token_sort_col, metaphone_col)
+    return g.withColumn("s", s).select("gold_id", F.round("s.score", 4).alias("score"), F.col("s.impossible").cast("int").alias("impossible"), er.band(F.col("s.score")).alias("band"))
 
 
 def e_jaro_winkler(spark, d):
@@ -117,22 +222,42 @@ def e_metaphone_block(spark, d):
 
 
 def e_connected_components(spark, d):
-    pairs = table(spark, d, "match_review").where("status = 'confirmed'").select("townland_id_a", "townland_id_b")
-    return components(pairs, "townland_id_a", "townland_id_b").select(F.col("vertex").alias("townland_id"), F.col("component").alias("component"))
+    """Clusters of the pairs whose latest decision confirmed them."""
+    return components(_decided(spark, d).where("status = 'confirmed'"), "u", "v").select(F.col("vertex").alias("townland_id"), F.col("component").alias("component"))
 
 
-def e_townland_pairs(spark, d):
-    """Rows of one written name and parish, scored pairwise; decided by score and corroboration."""
-    p = views.places(spark, d).where("name is not null").withColumn("k", F.concat_ws("|", F.substring(C.compact_key(F.col("name")), 1, 6), "county", "source"))
-    q = p.withColumn("k", F.concat_ws("|", F.substring(C.compact_key(F.col("name")), 1, 6), "county", F.lit("json")))
-    side = lambda df, s: df.select("k", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "name", "name_gaelic", "civil_parish", "barony", "area_sqm", "osm_id", "osi_id", "vrti_id", "kg_uri", "logainm_id")])
-    pairs = side(p.where("source = 'json'"), "a").join(side(q.where("source = 'kg'"), "b"), "k")
-    score = er.pair_score(lambda f: F.col(f"{f}_a"), lambda f: F.col(f"{f}_b"), lambda a, b: levenshtein_ratio(F.lower(a), F.lower(b)) / 100)
+_PLACE_FIELDS = ("id", "name", "name_gaelic", "civil_parish", "barony", "area_sqm", "osm_id", "osi_id", "vrti_id", "kg_uri", "logainm_id")
+
+
+def _place_pairs(spark, d, more=()):
+    """Rows of one county and first three letters of the name, every source against every other and itself."""
+    k = F.concat_ws("|", F.substring(C.compact_key(F.col("name")), 1, 3), F.upper(F.trim(F.coalesce("county", F.lit("")))))
+    p = cut(views.places(spark, d).where("name is not null").withColumn("k", k).select("k", *_PLACE_FIELDS, *more))
+    side = lambda s: p.select("k", *[F.col(c).alias(f"{c}_{s}") for c in (*_PLACE_FIELDS, *more)])
+    return hot_join(side("a"), side("b"), ["k"], least=500).where("id_a < id_b")
+
+
+def _decision(pairs, score):
     out = pairs.withColumn("score", F.floor(score * 10000 + 0.5) / 10000)
     corroborated = F.coalesce(F.lower("civil_parish_a") == F.lower("civil_parish_b"), F.lit(False))
     return out.select("id_a", "id_b", "score", F.when((F.col("score") >= 0.9) | ((F.col("score") >= 0.6) & corroborated), "merge").when(F.col("score") >= 0.35, "review").otherwise("reject").alias("decision"))
 
 
+def e_townland_pairs(spark, d):
+    """Place rows of one block scored pairwise by names, parish, barony and area; decided by score and corroboration; those worth a review."""
+    score = er.pair_score(lambda f: F.col(f"{f}_a"), lambda f: F.col(f"{f}_b"), lambda a, b: levenshtein_ratio(F.lower(a), F.lower(b)) / 100)
+    return _decision(_place_pairs(spark, d), score).where("decision <> 'reject'")
+
+
+def e_townland_pairs_full(spark, d):
+    """The same with Jaro-Winkler likeness and the overlap of the outlines, for rows whose names are alike."""
+    p = _place_pairs(spark, d, ("wkt_geometry",))
+    near = p.where(F.levenshtein(F.lower("name_a"), F.lower("name_b")) <= F.greatest(F.length("name_a"), F.length("name_b")) * 0.4)
+    alike = lambda a, b: jaro_winkler_col(F.lower(a), F.lower(b))
+    score = er.pair_score(lambda f: F.col(f"{f}_a"), lambda f: F.col(f"{f}_b"), alike, F.when(F.col("wkt_geometry_a").ilike("%polygon%") & F.col("wkt_geometry_b").ilike("%polygon%"), iou_col("wkt_geometry_a", "wkt_geometry_b")))
+    return _decision(near, score)
+
+
 QUERIES = {n: f for n, f in list(globals().items()) if n.startswith("e_") and callable(f)}
 
 _SK = lambda c: f"(substr(regexp_replace(upper({c}), '[^A-Z]', '', 'g'), 1, 1) || regexp_replace(substr(regexp_replace(upper({c}), '[^A-Z]', '', 'g'), 2), '[AEIOUYHW]', '', 'g'))"
@@ -167,6 +292,20 @@ s AS (SELECT *, CASE WHEN {_RATIO('name_a', 'name_b')} >= 90 THEN 10.0 WHEN {_RA
    ELSE CASE WHEN abs(year_a - year_b) <= 2 THEN 5 WHEN abs(year_a - year_b) <= 10 THEN 2.5 ELSE 0 END END AS points,
  coalesce(abs(birth_a - birth_b) > 20, false) OR coalesce(CASE WHEN age_a IS NOT NULL AND age_b IS NOT NULL THEN abs(age_a + (year_b - year_a) - age_b) > 30 ELSE abs(year_a - year_b) > 40 END, false) AS impossible FROM g),
 t AS (SELECT *, CASE WHEN impossible THEN least(points::DOUBLE / 60, 0.39::DOUBLE) ELSE points::DOUBLE / 60 END AS sc FROM s)"""
+_DECIDED = """d AS (SELECT u, v, arg_max(st, {'t': coalesce(reviewed_at, TIMESTAMP '0001-01-01'), 'i': id}) AS status, count(*) AS reviews FROM (
+ SELECT least(townland_id_a, townland_id_b) AS u, greatest(townland_id_a, townland_id_b) AS v, id, reviewed_at, regexp_replace(lower(status), '^\\s+|\\s+$', '', 'g') AS st FROM match_review
+ WHERE townland_id_a IS NOT NULL AND townland_id_b IS NOT NULL AND townland_id_a <> townland_id_b) WHERE st IN ('confirmed', 'rejected') GROUP BY 1, 2)"""
+_COMPONENTS = "e AS (SELECT u, v FROM d WHERE status = 'confirmed' UNION SELECT v, u FROM d WHERE status = 'confirmed'), r(x, y) AS (SELECT u, u FROM e UNION SELECT r.x, e.v FROM r JOIN e ON e.u = r.y), c AS (SELECT x AS vertex, min(y) AS component FROM r GROUP BY 1)"
+_B = lambda c: f"coalesce(upper(trim({c})), '')"
+_CK = lambda c: f"coalesce(regexp_replace(upper({c}), '[^A-Z0-9]', '', 'g'), '')"
+_STRATEGIES = f"""WITH m0 AS (SELECT id, max({{'t': coalesce(updated_at, TIMESTAMP '0001-01-01'), 'f': forename, 's': surname, 'p': raw_place, 'y': event_year}}) AS r FROM source_mentions WHERE id IS NOT NULL GROUP BY 1),
+m AS (SELECT id, {_B('r.f')} AS forename, {_B('r.s')} AS surname, {_CK('r.p')} AS place, r.y AS year FROM m0),
+p AS (SELECT record_id, min({_B('forename')}) AS forename, min({_B('surname')}) AS surname, min({_CK('townland_norm')}) AS place, min(year) AS year FROM unified_record WHERE record_id IS NOT NULL GROUP BY 1),
+mk AS (SELECT *, regexp_replace(trim(forename || ' ' || surname), '[^A-Z ]', '', 'g') AS name, {_SK('surname')} AS ph FROM m), pk AS (SELECT *, regexp_replace(trim(forename || ' ' || surname), '[^A-Z ]', '', 'g') AS name, {_SK('surname')} AS ph FROM p),
+b AS (SELECT a.id, b.record_id FROM mk a JOIN pk b ON a.ph = b.ph AND substr(a.forename, 1, 1) = substr(b.forename, 1, 1) WHERE a.ph <> '' AND a.forename <> '' UNION SELECT a.id, b.record_id FROM mk a JOIN pk b ON a.place = b.place AND substr(a.surname, 1, 1) = substr(b.surname, 1, 1) WHERE a.place <> '' AND a.surname <> ''),
+x AS (SELECT b.id, b.record_id, a.name AS na, c.name AS nb, a.place AS place_a, c.place AS place_b, [CASE WHEN a.name <> '' AND a.name = c.name THEN 'exact_name' END, CASE WHEN a.surname <> '' AND a.surname = c.surname AND a.forename <> '' AND c.forename <> '' AND substr(a.forename, 1, 1) = substr(c.forename, 1, 1) THEN 'surname_initial' END, CASE WHEN a.ph <> '' AND a.ph = c.ph THEN 'phonetic_surname' END,
+ CASE WHEN a.name <> '' AND c.name <> '' AND {_RATIO('a.name', 'c.name')} >= 82 THEN 'fuzzy_name' END, CASE WHEN a.place <> '' AND a.place = c.place THEN 'same_place' WHEN a.place <> '' AND c.place <> '' AND (contains(a.place, c.place) OR contains(c.place, a.place)) THEN 'variant_place' END, CASE WHEN abs(a.year - c.year) <= 10 THEN 'year' END] AS met FROM b JOIN mk a USING (id) JOIN pk c USING (record_id)),
+y AS (SELECT *, len(list_filter(met, lambda s: s IS NOT NULL)) AS n FROM x)"""
 _TG = "list_transform(range(1, length(n) + 3), lambda i: substr('  ' || n || '  ', i, 3))"
 SQL = {
     "e_block_pairs": f"{_BLOCKED} SELECT id, count(*) AS candidates, count(CASE WHEN strategies = 2 THEN 1 END) AS both_keys FROM b GROUP BY 1",
@@ -175,8 +314,15 @@ SQL = {
     "e_trigram_cosine_topk": f"WITH q AS (SELECT DISTINCT lower(name) AS n FROM townland WHERE source <> 'json' AND name IS NOT NULL), c AS (SELECT DISTINCT lower(name) AS n FROM townland WHERE source = 'json' AND name IS NOT NULL), qv AS (SELECT n, g, count(*) AS tf FROM (SELECT n, unnest({_TG}) AS g FROM q) GROUP BY 1, 2), cv AS (SELECT n, g, count(*) AS tf FROM (SELECT n, unnest({_TG}) AS g FROM c) GROUP BY 1, 2), qn AS (SELECT n, sqrt(sum(tf * tf)) AS l FROM qv GROUP BY 1), cn AS (SELECT n, sqrt(sum(tf * tf)) AS l FROM cv GROUP BY 1), s AS (SELECT qv.n AS query, cv.n AS name, sum(qv.tf * cv.tf) / (any_value(qn.l) * any_value(cn.l)) AS cosine FROM qv JOIN cv USING (g) JOIN qn ON qn.n = qv.n JOIN cn ON cn.n = cv.n GROUP BY 1, 2) SELECT query, name, floor(cosine * 10000 + 0.5) / 10000 AS cosine FROM s WHERE cosine >= 0.5 QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(cosine, 9) DESC, name) <= 3",
     "e_score_band": f"WITH {_SCORE} SELECT gold_id, CAST(impossible AS INTEGER) AS impossible, CASE WHEN sc >= 0.75 THEN 'CONFIRMED_MATCH' WHEN sc >= 0.6 THEN 'POSSIBLE_MATCH' WHEN sc >= 0.4 THEN 'WEAK_MATCH' ELSE 'NO_MATCH' END AS band, round(sc, 4) AS score FROM t",
     "e_prf1": f"WITH {_SCORE}, c AS (SELECT count(CASE WHEN sc >= 0.6 AND truth THEN 1 END) AS tp, count(CASE WHEN sc >= 0.6 AND NOT truth THEN 1 END) AS fp, count(CASE WHEN sc < 0.6 AND truth THEN 1 END) AS fn FROM t) SELECT tp, fp, fn, round(tp::DOUBLE / nullif(tp + fp, 0), 6) AS precision, round(tp::DOUBLE / nullif(tp + fn, 0), 6) AS recall, round(2 * tp::DOUBLE / nullif(2 * tp + fp + fn, 0), 6) AS f1 FROM c",
-    "e_pair_completeness_rr": f"WITH {_gold_sql()}, k AS (SELECT truth, coalesce({_SK('surname_a')} = {_SK('surname_b')} OR place_a = place_b, false) AS kept FROM g) SELECT count(CASE WHEN truth THEN 1 END) AS true_pairs, count(CASE WHEN truth AND kept THEN 1 END) AS kept_true, count(CASE WHEN NOT kept THEN 1 END) AS spared, count(*) AS pairs FROM k",
+    "e_pair_completeness_rr": f"WITH {_gold_sql()}, x AS (SELECT a.gold_id AS a, b.gold_id AS b, any_value(a.truth) AS truth FROM g a JOIN g b ON (a.surname_a <> '' AND {_SK('a.surname_a')} <> '' AND {_SK('a.surname_a')} = {_SK('b.surname_b')}) OR (a.place_a <> '' AND a.place_a = b.place_b) GROUP BY 1, 2) SELECT (SELECT count(*) FROM g WHERE truth) AS true_pairs, count(CASE WHEN a = b AND truth THEN 1 END) AS kept_true, count(*) AS candidates, floor((1 - count(*)::DOUBLE / (SELECT count(*) * count(*) FROM g)) * 1e6 + 0.5) / 1e6 AS reduction_ratio FROM x",
+    "e_strategy_candidates": f"{_STRATEGIES}, z AS (SELECT id, record_id, n, floor(levenshtein(na, nb)::DOUBLE / greatest(length(na), length(nb), 1) * 10000 + 0.5) / 10000 AS apart, place_a <> '' AND place_a = place_b AS same FROM y WHERE n > 0) SELECT id, record_id, CAST(n AS INTEGER) AS n, apart, CAST(row_number() OVER (PARTITION BY id ORDER BY n DESC, apart, same DESC, record_id) AS INTEGER) AS rank FROM z QUALIFY rank <= 25",
+    "e_strategy_counts": f"{_STRATEGIES} SELECT s AS strategy, count(*) AS pairs FROM (SELECT unnest(met) AS s FROM y) WHERE s IS NOT NULL GROUP BY 1",
+    "e_link_summary": f"{_STRATEGIES}, p2 AS (SELECT id, max(n) AS best, count(CASE WHEN n >= 4 THEN 1 END) AS strong FROM y GROUP BY 1), e AS (SELECT m.id, best, strong FROM m LEFT JOIN p2 USING (id)) SELECT CASE WHEN coalesce(best, 0) = 0 THEN 'unresolved' WHEN best >= 4 THEN 'strong' ELSE 'weak' END AS label, count(*) AS mentions, count(CASE WHEN strong > 1 THEN 1 END) AS ambiguous, CAST(coalesce(sum(strong), 0) AS BIGINT) AS strong_pairs FROM e GROUP BY 1",
+    "e_evidence": f"WITH {_gold_sql()}, h AS (SELECT *, {_RATIO('name_a', 'name_b')} AS nr, {_RATIO('forename_a', 'forename_b')} AS fr, abs(birth_a - birth_b) AS gap, abs(year_a - year_b) AS years, age_a IS NOT NULL AND age_b IS NOT NULL AND year_a IS NOT NULL AND year_b IS NOT NULL AS aged, abs(age_a + (year_b - year_a) - age_b) AS drift, coalesce(trim(surname_a) <> '' AND trim(surname_b) <> '', false) AS bs, coalesce(trim(forename_a) <> '' AND trim(forename_b) <> '', false) AS bf, coalesce(trim(place_a) <> '' AND trim(place_b) <> '', false) AS bp, {_SK('surname_a')} AS ka, {_SK('surname_b')} AS kb, contains(place_a, place_b) OR contains(place_b, place_a) AS holds FROM g) SELECT gold_id, concat_ws(',', CASE WHEN nr >= 90 THEN 'name strong' WHEN nr >= 75 THEN 'name good' WHEN nr >= 60 THEN 'name partial' END, CASE WHEN bs AND surname_a = surname_b THEN 'surname exact' WHEN bs AND ka = kb THEN 'surname phonetic' END, CASE WHEN bf AND fr >= 90 THEN 'forename exact' WHEN bf AND fr >= 80 THEN 'forename close' WHEN bf AND fr >= 60 THEN 'forename partial' END, CASE WHEN bp AND place_a = place_b THEN 'place same' WHEN bp AND holds THEN 'place variant' END, CASE WHEN gap <= 3 THEN 'birth close' WHEN gap <= 8 THEN 'birth compatible' END, CASE WHEN aged THEN CASE WHEN drift <= 2 THEN 'age consistent' WHEN drift <= 5 THEN 'age compatible' END WHEN years <= 2 THEN 'time close' WHEN years <= 10 THEN 'time compatible' END) AS evidence, concat_ws(',', CASE WHEN bf AND fr < 60 THEN 'forename differs' END, CASE WHEN gap > 20 THEN 'birth impossible' END, CASE WHEN CASE WHEN aged THEN drift > 30 ELSE years > 40 END THEN 'time impossible' END) AS conflicts, concat_ws(',', CASE WHEN coalesce(nr < 60, true) THEN 'name' END, CASE WHEN NOT bs OR (surname_a <> surname_b AND ka <> kb) THEN 'surname' END, CASE WHEN NOT bf THEN 'forename' END, CASE WHEN NOT bp THEN 'place' WHEN NOT holds THEN 'place differs' END, CASE WHEN birth_a IS NULL OR birth_b IS NULL THEN 'birth' END, 'gender', CASE WHEN year_a IS NULL OR year_b IS NULL THEN 'time' END) AS missing FROM h",
+    "e_decisions_applied": f"WITH {_DECIDED} SELECT u, v, status, reviews FROM d",
+    "e_cluster_means": f"WITH RECURSIVE {_DECIDED}, {_COMPONENTS}, s AS (SELECT least(townland_id_a, townland_id_b) AS u, greatest(townland_id_a, townland_id_b) AS v, CAST(score AS DECIMAL(12, 6)) AS score FROM match_review) SELECT c.component, count(score) AS reviews, floor(sum(score)::DOUBLE / count(score) * 10000 + 0.5) / 10000 AS mean_score FROM s JOIN d ON d.u = s.u AND d.v = s.v AND d.status = 'confirmed' JOIN c ON c.vertex = s.u GROUP BY 1",
+    "e_pick_canonical": f"WITH RECURSIVE {_DECIDED}, {_COMPONENTS}, p AS (SELECT id, CASE source WHEN 'kg' THEN 0 WHEN 'json' THEN 1 ELSE 2 END AS o, (name_gaelic IS NOT NULL)::INT + (barony IS NOT NULL)::INT + (civil_parish IS NOT NULL)::INT + (electoral_division IS NOT NULL)::INT + (logainm_id IS NOT NULL)::INT + (area_sqm IS NOT NULL)::INT + (wkt_geometry IS NOT NULL)::INT + (county IS NOT NULL)::INT AS filled FROM townland) SELECT component, id AS canonical_id, filled, count(*) OVER (PARTITION BY component) AS members FROM c JOIN p ON p.id = c.vertex QUALIFY row_number() OVER (PARTITION BY component ORDER BY o, filled DESC, id) = 1",
     "e_jaro_winkler": "SELECT DISTINCT gold_id, floor(jaro_winkler_similarity(regexp_replace(lower(wh_raw_name), '[^a-z ]', '', 'g'), regexp_replace(lower(u_canonical_name), '[^a-z ]', '', 'g')) * 10000 + 0.5) / 10000 AS similarity FROM er_gold WHERE gold_label IS NOT NULL",
-    "e_connected_components": "WITH RECURSIVE e AS (SELECT townland_id_a AS u, townland_id_b AS v FROM match_review WHERE status = 'confirmed' AND townland_id_a <> townland_id_b UNION SELECT townland_id_b, townland_id_a FROM match_review WHERE status = 'confirmed' AND townland_id_a <> townland_id_b), r(x, y) AS (SELECT u, u FROM e UNION SELECT r.x, e.v FROM r JOIN e ON e.u = r.y) SELECT x AS townland_id, min(y) AS component FROM r GROUP BY 1",
-    "e_townland_pairs": "WITH p AS (SELECT *, substr(regexp_replace(upper(name), '[^A-Z0-9]', '', 'g'), 1, 6) AS k FROM townland WHERE name IS NOT NULL), x AS (SELECT a.id AS id_a, b.id AS id_b, coalesce(lower(a.civil_parish) = lower(b.civil_parish), false) AS cp, CASE WHEN coalesce(a.osm_id = b.osm_id, false) OR coalesce(a.osi_id = b.osi_id, false) OR coalesce(a.vrti_id = b.vrti_id, false) OR coalesce(a.kg_uri = b.kg_uri, false) OR coalesce(a.logainm_id = b.logainm_id, false) THEN 0.99::DOUBLE ELSE 0.35::DOUBLE * coalesce(1 - levenshtein(lower(a.name), lower(b.name))::DOUBLE / greatest(length(a.name), length(b.name), 1), 0) + 0.1::DOUBLE * coalesce(1 - levenshtein(lower(a.name_gaelic), lower(b.name_gaelic))::DOUBLE / greatest(length(a.name_gaelic), length(b.name_gaelic), 1), 0) + 0.15::DOUBLE * coalesce((lower(a.civil_parish) = lower(b.civil_parish))::INT, 0) + 0.1::DOUBLE * coalesce((lower(a.barony) = lower(b.barony))::INT, 0) + 0.1::DOUBLE * coalesce(least(a.area_sqm, b.area_sqm) / greatest(a.area_sqm, b.area_sqm), 0) END AS sc FROM p a JOIN p b ON a.k = b.k AND a.county IS NOT DISTINCT FROM b.county WHERE a.source = 'json' AND b.source = 'kg'), y AS (SELECT *, floor(sc * 10000 + 0.5) / 10000 AS score FROM x) SELECT id_a, id_b, score, CASE WHEN score >= 0.9 OR (score >= 0.6 AND cp) THEN 'merge' WHEN score >= 0.35 THEN 'review' ELSE 'reject' END AS decision FROM y",
+    "e_connected_components": f"WITH RECURSIVE {_DECIDED}, {_COMPONENTS} SELECT vertex AS townland_id, component FROM c",
+    "e_townland_pairs": "WITH p AS (SELECT *, substr(regexp_replace(upper(name), '[^A-Z0-9]', '', 'g'), 1, 3) || '|' || upper(trim(coalesce(county, ''))) AS k FROM townland WHERE name IS NOT NULL), x AS (SELECT a.id AS id_a, b.id AS id_b, coalesce(lower(a.civil_parish) = lower(b.civil_parish), false) AS cp, CASE WHEN coalesce(a.osm_id = b.osm_id, false) OR coalesce(a.osi_id = b.osi_id, false) OR coalesce(a.vrti_id = b.vrti_id, false) OR coalesce(a.kg_uri = b.kg_uri, false) OR coalesce(a.logainm_id = b.logainm_id, false) THEN 0.99::DOUBLE ELSE 0.35::DOUBLE * coalesce(1 - levenshtein(lower(a.name), lower(b.name))::DOUBLE / greatest(length(a.name), length(b.name), 1), 0) + 0.1::DOUBLE * coalesce(1 - levenshtein(lower(a.name_gaelic), lower(b.name_gaelic))::DOUBLE / greatest(length(a.name_gaelic), length(b.name_gaelic), 1), 0) + 0.15::DOUBLE * coalesce((lower(a.civil_parish) = lower(b.civil_parish))::INT, 0) + 0.1::DOUBLE * coalesce((lower(a.barony) = lower(b.barony))::INT, 0) + 0.1::DOUBLE * coalesce(least(a.area_sqm, b.area_sqm) / greatest(a.area_sqm, b.area_sqm), 0) END AS sc FROM p a JOIN p b ON a.k = b.k AND a.id < b.id), y AS (SELECT *, floor(sc * 10000 + 0.5) / 10000 AS score FROM x), z AS (SELECT id_a, id_b, score, CASE WHEN score >= 0.9 OR (score >= 0.6 AND cp) THEN 'merge' WHEN score >= 0.35 THEN 'review' ELSE 'reject' END AS decision FROM y) SELECT * FROM z WHERE decision <> 'reject'",
 }
