@@ -245,7 +245,7 @@ def _decision(pairs, score):
 
 def e_townland_pairs(spark, d):
     """Place rows of one block scored pairwise by names, parish, barony and area; decided by score and corroboration; those worth a review."""
-    score = er.pair_score(lambda f: F.col(f"{f}_a"), lambda f: F.col(f"{f}_b"), lambda a, b: levenshtein_ratio(F.lower(a), F.lower(b)) / 100)
+    score = er.pair_score(lambda f: F.col(f"{f}_a"), lambda f: F.col(f"{f}_b"), lambda a, b: levenshtein_ratio(C.fold_accents(F.lower(a)), C.fold_accents(F.lower(b))) / 100)
     return _decision(_place_pairs(spark, d), score).where("decision <> 'reject'")
 
 
@@ -324,5 +324,5 @@ SQL = {
     "e_pick_canonical": f"WITH RECURSIVE {_DECIDED}, {_COMPONENTS}, p AS (SELECT id, CASE source WHEN 'kg' THEN 0 WHEN 'json' THEN 1 ELSE 2 END AS o, (name_gaelic IS NOT NULL)::INT + (barony IS NOT NULL)::INT + (civil_parish IS NOT NULL)::INT + (electoral_division IS NOT NULL)::INT + (logainm_id IS NOT NULL)::INT + (area_sqm IS NOT NULL)::INT + (wkt_geometry IS NOT NULL)::INT + (county IS NOT NULL)::INT AS filled FROM townland) SELECT component, id AS canonical_id, filled, count(*) OVER (PARTITION BY component) AS members FROM c JOIN p ON p.id = c.vertex QUALIFY row_number() OVER (PARTITION BY component ORDER BY o, filled DESC, id) = 1",
     "e_jaro_winkler": "SELECT DISTINCT gold_id, floor(jaro_winkler_similarity(regexp_replace(lower(wh_raw_name), '[^a-z ]', '', 'g'), regexp_replace(lower(u_canonical_name), '[^a-z ]', '', 'g')) * 10000 + 0.5) / 10000 AS similarity FROM er_gold WHERE gold_label IS NOT NULL",
     "e_connected_components": f"WITH RECURSIVE {_DECIDED}, {_COMPONENTS} SELECT vertex AS townland_id, component FROM c",
-    "e_townland_pairs": "WITH p AS (SELECT *, substr(regexp_replace(upper(name), '[^A-Z0-9]', '', 'g'), 1, 3) || '|' || upper(trim(coalesce(county, ''))) AS k FROM townland WHERE name IS NOT NULL), x AS (SELECT a.id AS id_a, b.id AS id_b, coalesce(lower(a.civil_parish) = lower(b.civil_parish), false) AS cp, CASE WHEN coalesce(a.osm_id = b.osm_id, false) OR coalesce(a.osi_id = b.osi_id, false) OR coalesce(a.vrti_id = b.vrti_id, false) OR coalesce(a.kg_uri = b.kg_uri, false) OR coalesce(a.logainm_id = b.logainm_id, false) THEN 0.99::DOUBLE ELSE 0.35::DOUBLE * coalesce(1 - levenshtein(lower(a.name), lower(b.name))::DOUBLE / greatest(length(a.name), length(b.name), 1), 0) + 0.1::DOUBLE * coalesce(1 - levenshtein(lower(a.name_gaelic), lower(b.name_gaelic))::DOUBLE / greatest(length(a.name_gaelic), length(b.name_gaelic), 1), 0) + 0.15::DOUBLE * coalesce((lower(a.civil_parish) = lower(b.civil_parish))::INT, 0) + 0.1::DOUBLE * coalesce((lower(a.barony) = lower(b.barony))::INT, 0) + 0.1::DOUBLE * coalesce(least(a.area_sqm, b.area_sqm) / greatest(a.area_sqm, b.area_sqm), 0) END AS sc FROM p a JOIN p b ON a.k = b.k AND a.id < b.id), y AS (SELECT *, floor(sc * 10000 + 0.5) / 10000 AS score FROM x), z AS (SELECT id_a, id_b, score, CASE WHEN score >= 0.9 OR (score >= 0.6 AND cp) THEN 'merge' WHEN score >= 0.35 THEN 'review' ELSE 'reject' END AS decision FROM y) SELECT * FROM z WHERE decision <> 'reject'",
+    "e_townland_pairs": "WITH p AS (SELECT *, substr(regexp_replace(upper(name), '[^A-Z0-9]', '', 'g'), 1, 3) || '|' || upper(trim(coalesce(county, ''))) AS k FROM townland WHERE name IS NOT NULL), x AS (SELECT a.id AS id_a, b.id AS id_b, coalesce(lower(a.civil_parish) = lower(b.civil_parish), false) AS cp, CASE WHEN coalesce(a.osm_id = b.osm_id, false) OR coalesce(a.osi_id = b.osi_id, false) OR coalesce(a.vrti_id = b.vrti_id, false) OR coalesce(a.kg_uri = b.kg_uri, false) OR coalesce(a.logainm_id = b.logainm_id, false) THEN 0.99::DOUBLE ELSE 0.35::DOUBLE * coalesce(1 - levenshtein(strip_accents(lower(a.name)), strip_accents(lower(b.name)))::DOUBLE / greatest(length(a.name), length(b.name), 1), 0) + 0.1::DOUBLE * coalesce(1 - levenshtein(strip_accents(lower(a.name_gaelic)), strip_accents(lower(b.name_gaelic)))::DOUBLE / greatest(length(a.name_gaelic), length(b.name_gaelic), 1), 0) + 0.15::DOUBLE * coalesce((lower(a.civil_parish) = lower(b.civil_parish))::INT, 0) + 0.1::DOUBLE * coalesce((lower(a.barony) = lower(b.barony))::INT, 0) + 0.1::DOUBLE * coalesce(least(a.area_sqm, b.area_sqm) / greatest(a.area_sqm, b.area_sqm), 0) END AS sc FROM p a JOIN p b ON a.k = b.k AND a.id < b.id), y AS (SELECT *, floor(sc * 10000 + 0.5) / 10000 AS score FROM x), z AS (SELECT id_a, id_b, score, CASE WHEN score >= 0.9 OR (score >= 0.6 AND cp) THEN 'merge' WHEN score >= 0.35 THEN 'review' ELSE 'reject' END AS decision FROM y) SELECT * FROM z WHERE decision <> 'reject'",
 }

@@ -96,10 +96,12 @@ def x_family_groups(spark, d):
 
 
 def x_feedback_memory(spark, d):
-    """Approved users of the event log: more purchases than errors, with their last event."""
-    e = table(spark, d, "events")
-    m = e.groupBy("user_id").agg(F.count(F.when(F.col("event_type") == "purchase", 1)).alias("approved"), F.count(F.when(F.col("event_type") == "error", 1)).alias("rejected"), F.max_by("event_id", F.struct("ts", "event_id")).alias("last_event"))
-    return m.where("approved > rejected")
+    """Memory of decisions: per unordered pair how often it was approved and rejected, the verdict by majority, and how often it was asked again."""
+    r = table(spark, d, "match_review").where("townland_id_a is not null and townland_id_b is not null")
+    status = F.lower(F.trim("status"))
+    m = r.groupBy(F.least("townland_id_a", "townland_id_b").alias("u"), F.greatest("townland_id_a", "townland_id_b").alias("v")).agg(F.count(F.when(status == "confirmed", 1)).alias("approved"), F.count(F.when(status == "rejected", 1)).alias("rejected"), (F.count(F.lit(1)) - 1).alias("reused"))
+    verdict = F.when(F.col("approved") > F.col("rejected"), "approved").when(F.col("rejected") > F.col("approved"), "rejected").otherwise("open")
+    return m.withColumn("verdict", verdict)
 
 
 def x_area_ratio(spark, d):
@@ -120,6 +122,6 @@ SQL = {
     "x_longest_place_in_text": "WITH c AS (SELECT DISTINCT upper(name) AS name FROM townland WHERE source = 'json'), w AS (SELECT item_id, upper(text) AS t, regexp_extract_all(upper(text), '[A-Z]+') AS ws FROM eval_items), h AS (SELECT item_id, name FROM w JOIN c ON contains(t, name) AND list_contains(ws, string_split(name, ' ')[1])) SELECT item_id, arg_max(name, lpad(length(name)::VARCHAR, 4, '0') || name) AS name, count(DISTINCT name) AS names FROM h GROUP BY 1",
     "x_place_lookup": "WITH p AS (SELECT regexp_replace(upper(name), '[^A-Z0-9]', '', 'g') AS c, min(id) AS place_id, count(DISTINCT array_to_string(regexp_extract_all(upper(name), '[A-Z0-9]+'), ' ')) AS spellings FROM townland WHERE name IS NOT NULL GROUP BY 1) SELECT DISTINCT raw_place, place_id, spellings FROM source_mentions JOIN p ON p.c = regexp_replace(upper(raw_place), '[^A-Z0-9]', '', 'g') WHERE p.c <> ''",
     "x_family_groups": "SELECT family_key, count(DISTINCT record_id) AS records, min(year) AS first_year, max(year) AS last_year, CAST(max(len(list_filter(string_split_regex(coalesce(household_list, ''), '[,;]'), lambda x: trim(x) <> ''))) AS INTEGER) AS listed FROM unified_record WHERE instr(family_key, '|') > 0 GROUP BY 1",
-    "x_feedback_memory": "SELECT user_id, count(CASE WHEN event_type = 'purchase' THEN 1 END) AS approved, count(CASE WHEN event_type = 'error' THEN 1 END) AS rejected, (list(event_id ORDER BY ts DESC, event_id DESC))[1] AS last_event FROM events GROUP BY 1 HAVING count(CASE WHEN event_type = 'purchase' THEN 1 END) > count(CASE WHEN event_type = 'error' THEN 1 END)",
+    "x_feedback_memory": "WITH m AS (SELECT least(townland_id_a, townland_id_b) AS u, greatest(townland_id_a, townland_id_b) AS v, count(CASE WHEN lower(trim(status)) = 'confirmed' THEN 1 END) AS approved, count(CASE WHEN lower(trim(status)) = 'rejected' THEN 1 END) AS rejected, count(*) - 1 AS reused FROM match_review WHERE townland_id_a IS NOT NULL AND townland_id_b IS NOT NULL GROUP BY 1, 2) SELECT *, CASE WHEN approved > rejected THEN 'approved' WHEN rejected > approved THEN 'rejected' ELSE 'open' END AS verdict FROM m",
     "x_area_ratio": "SELECT name, floor(min(area_sqm) / max(area_sqm) * 10000 + 0.5) / 10000 AS ratio FROM townland WHERE area_sqm > 0 AND name IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
 }

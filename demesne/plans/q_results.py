@@ -26,9 +26,9 @@ def q_read_questions(spark, d):
 
 
 def q_numeric_gate(spark, d):
-    """Numbers that stand in a document's text but not in its record of year and length."""
+    """Numbers that stand in a document's text but not in what is recorded of it: year, length, place and chunk."""
     docs = table(spark, d, "documents").where("text is not null")
-    evidence = F.concat_ws(" ", F.col("doc_year").cast("string"), F.col("n_chars").cast("string"), F.substring("text", 1, 200))
+    evidence = F.concat_ws(" ", F.col("doc_year").cast("string"), F.col("n_chars").cast("string"), "townland_norm", "chunk_id")
     return docs.select("doc_id", F.array_join(F.array_sort(router.unsupported(F.col("text"), evidence)), " ").alias("unsupported")).where("unsupported <> ''")
 
 
@@ -104,7 +104,7 @@ _NUM = lambda c: f"regexp_extract_all(regexp_replace(regexp_replace({c}, '(\\d),
 _NULLS = ["surname", "forename", "parish", "age", "acres", "ship_name", "comments", "rent_owed"]
 SQL = {
     "q_guard_verdicts": f"WITH s AS (SELECT CAST(n AS BIGINT) AS n, statement FROM (VALUES {_VALUES}) AS v(n, statement)), t AS (SELECT n, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(statement, '--[^\\n]*', ' ', 'g'), '''[^'']*''', ' x ', 'g'), '\\s+', ' ', 'g'), ';\\s*$', '')) AS t FROM s) SELECT n, CASE WHEN t = '' THEN 'empty' WHEN contains(t, ';') THEN 'several statements' WHEN NOT regexp_matches(lower(t), '^\\(*\\s*(select|with)\\b') THEN 'not a query' WHEN regexp_matches(lower(t), '\\b({'|'.join(router.BLOCKED)})\\b') THEN 'blocked word' ELSE 'ok' END AS verdict FROM t",
-    "q_numeric_gate": f"WITH d AS (SELECT doc_id, {_NUM('text')} AS n, array_to_string({_NUM('concat_ws(chr(32), doc_year, n_chars, substr(text, 1, 200))')}, ' ') AS k FROM documents WHERE text IS NOT NULL) SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(n, lambda x: length(regexp_replace(x, '\\D', '', 'g')) >= 3 AND NOT contains(k, x)))), ' ') AS unsupported FROM d WHERE unsupported <> ''",
+    "q_numeric_gate": f"WITH d AS (SELECT doc_id, {_NUM('text')} AS n, array_to_string({_NUM('concat_ws(chr(32), doc_year, n_chars, townland_norm, chunk_id)')}, ' ') AS k FROM documents WHERE text IS NOT NULL) SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(n, lambda x: length(regexp_replace(x, '\\D', '', 'g')) >= 3 AND NOT contains(k, x)))), ' ') AS unsupported FROM d WHERE unsupported <> ''",
     "q_null_rates": "WITH c AS (" + " UNION ALL ".join(f"SELECT '{c}' AS column, count(*) AS rows, count(*) - count({c}) AS nulls FROM unified_record" for c in _NULLS) + ") SELECT *, floor(nulls * 10000.0::DOUBLE / nullif(rows, 0) + 0.5) / 10000 AS rate, CAST(rows >= 5 AND floor(nulls * 10000.0::DOUBLE / nullif(rows, 0) + 0.5) / 10000 >= 0.6 AS INTEGER) AS warn FROM c",
     "q_value_profile": " UNION ALL ".join(f"(SELECT '{c}' AS column, {c} AS value, count(*) AS n FROM unified_record GROUP BY 2 ORDER BY n DESC, value NULLS LAST LIMIT 5)" for c in ("gender", "estate", "role")),
     "q_zero_diag": "SELECT count(*) AS rows, count(CASE WHEN surname = 'Nosuchname' THEN 1 END) AS surname_only, count(CASE WHEN year = 1848 THEN 1 END) AS year_only, count(CASE WHEN surname = 'Nosuchname' AND year = 1848 THEN 1 END) AS both, min(year) AS first_year, max(year) AS last_year FROM unified_record".replace(" AS both", ' AS "both"'),

@@ -75,7 +75,7 @@ def r_cosine_topk(spark, d):
 
 
 def r_label_centroids(spark, d):
-    """Mean vector of every label and how many members are nearest to it."""
+    """Sum of the vectors of every label, by dimension, and the number of its members."""
     e = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
     return e.groupBy("label", "i").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("x").cast("decimal(20,10)")).cast("double"), 4).alias("total"))
 
@@ -87,6 +87,27 @@ def r_chunk_build(spark, d):
     return r.select(F.concat(F.lit("place:"), "townland_norm").alias("chunk_id"), text.alias("text"), F.sha2(text, 256).alias("content_hash"))
 
 
+def r_chunk_kinds(spark, d):
+    """The corpus of chunks by kind: records, person passports, places, census, clearances, workhouse entries and documents, with the letters of their texts."""
+    r = views.records(spark, d)
+    line = lambda *parts: F.concat_ws(" ", *[F.col(p).cast("string") if isinstance(p, str) else p for p in parts])
+    people = r.where("record_id is not null").groupBy("record_id").agg(F.min("surname").alias("surname"), F.min("forename").alias("forename"), F.min("year").alias("a"), F.max("year").alias("b"), F.count(F.lit(1)).alias("n"))
+    parts = {
+        "record": r.select(line("surname", "forename", "year", "townland_norm", "role", "comments").alias("t")),
+        "passport": people.select(line("forename", "surname", "a", "b", "n").alias("t")),
+        "place": views.catalogue(spark, d).select(line("name", "parish", "barony", "county").alias("t")),
+        "census": views.census(spark, d).select(line("townland_norm", "year", "total", "male", "female").alias("t")),
+        "clearance": views.clearances(spark, d).select(line("townland_norm", "year", "evictions").alias("t")),
+        "workhouse": table(spark, d, "source_mentions").where("id is not null").groupBy("id").agg(F.max(line("raw_name", "raw_place", "event_year", "age")).alias("t")).select("t"),
+        "document": _docs(spark, d).select(F.col("text").alias("t")),
+    }
+    out = None
+    for kind, df in parts.items():
+        part = df.where("t <> ''").agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("chunks"), F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("letters"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def r_signature(spark, d):
     return table(spark, d, "eval_items").select("item_id", R.signature(F.col("text")).alias("signature"))
 
@@ -128,5 +149,6 @@ SQL = {
     "r_cosine_topk": "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL), s AS (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(q.e, v.e) AS score FROM v q, v WHERE q.vec_id % 100 = 0) SELECT query_id, vec_id, floor(score * 1e5 + 0.5) / 1e5 AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) <= 10",
     "r_label_centroids": "WITH x AS (SELECT label, unnest(embedding) AS x, unnest(range(0, len(embedding))) AS i FROM embeddings) SELECT label, CAST(i AS INTEGER) AS i, count(*) AS n, round(CAST(sum(CAST(x AS DECIMAL(20, 10))) AS DOUBLE), 4) AS total FROM x GROUP BY 1, 2",
     "r_chunk_build": "WITH r AS (SELECT townland_norm, count(DISTINCT record_id) AS n, min(year) AS a, max(year) AS b, array_to_string(list_sort(list(DISTINCT parish))[1:3], ', ') AS p FROM unified_record WHERE townland_norm IS NOT NULL GROUP BY 1), t AS (SELECT townland_norm, concat_ws(' ', 'Place', townland_norm, 'has', n, 'records from', a, 'to', b, 'in', coalesce(p, '')) AS text FROM r) SELECT 'place:' || townland_norm AS chunk_id, text, sha256(text) AS content_hash FROM t",
+    "r_chunk_kinds": f"WITH {views.CATALOGUE}, {views.CENSUS}, {views.CLEARANCES}, t AS (SELECT 'record' AS kind, concat_ws(' ', surname, forename, year, townland_norm, role, comments) AS t FROM unified_record UNION ALL SELECT 'passport', concat_ws(' ', min(forename), min(surname), min(year), max(year), count(*)) FROM unified_record WHERE record_id IS NOT NULL GROUP BY record_id UNION ALL SELECT 'place', concat_ws(' ', name, parish, barony, county) FROM catalogue UNION ALL SELECT 'census', concat_ws(' ', townland_norm, year, total, male, female) FROM census UNION ALL SELECT 'clearance', concat_ws(' ', townland_norm, year, evictions) FROM clearances UNION ALL SELECT 'workhouse', max(concat_ws(' ', raw_name, raw_place, event_year, age)) FROM source_mentions WHERE id IS NOT NULL GROUP BY id UNION ALL SELECT 'document', text FROM documents WHERE text IS NOT NULL) SELECT kind, count(*) AS chunks, CAST(coalesce(sum(length(t)), 0) AS BIGINT) AS letters FROM t WHERE t <> '' GROUP BY 1",
     "r_signature": "SELECT item_id, array_to_string(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: w NOT IN (" + ", ".join(f"'{w}'" for w in R.STOP_WORDS) + "))[1:18], ' ') AS signature FROM eval_items",
 }
