@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,9 +64,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and drop its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` in the shared checkpoint folder and drop its lineage.
+
+    A checkpoint keeps the planner's estimate of its size.  In a loop of joins
+    the estimate is squared every round, and after some thirty rounds its digits
+    alone fill the memory; so the rows are taken over without it.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    done = df.checkpoint(eager=True)
+    try:
+        rows = done._jdf.queryExecution().toRdd()
+        return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, done._jdf.schema(), False), spark)
+    except (AttributeError, Py4JError, TypeError):
+        return done
 
 
 def spread(df: DataFrame, *cols: str | Column) -> DataFrame:
