@@ -4,8 +4,9 @@ Each round gives every vertex a fresh pseudo-random order, hooks it to the
 neighbour (or itself) that comes first in that order, relabels both ends of
 every edge by the hook, and drops loops and repeats.  Rounds go on until no edge
 is left; the expected number is logarithmic in the vertices, whatever the length
-of the chains.  The rounds' hook tables are then composed, newest last, into one
-mapping, and every group is named by its smallest member.
+of the chains.  The rounds' hook tables, each a fraction of the one before, are
+then composed from the last to the first into one mapping, without being written
+in between, and every group is named by its smallest member.
 
 Every step is a grouped aggregate or a salted lookup join, so a hub or a giant
 component that holds a third of all pairs is spread over many tasks; nothing is
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 from demesne.runtime import cut, lookup_join, table, ws_trim
 
 MAX_ROUNDS = 200
+#: hook tables composed in one plan
+COMPOSED = 8
 
 
 def connected_groups(pairs: DataFrame, a: str, b: str, vertex: str = "vertex", group: str = "group_id", seed: int = 7) -> DataFrame:
@@ -54,9 +57,12 @@ def connected_groups(pairs: DataFrame, a: str, b: str, vertex: str = "vertex", g
     if not hooks:
         return edges.select(F.col("u").alias(vertex), F.col("v").alias(group))
     mapping = hooks[-1]
-    for hook in reversed(hooks[:-1]):
+    for k, hook in enumerate(reversed(hooks[:-1]), 1):
         later = mapping.select(F.col("u").alias("w"), F.col("w").alias("w2"))
-        mapping = cut(lookup_join(hook, later, ["w"], "left").select("u", F.coalesce("w2", "w").alias("w")))
+        mapping = lookup_join(hook, later, ["w"], "left").select("u", F.coalesce("w2", "w").alias("w"))
+        if k % COMPOSED == 0:
+            mapping = cut(mapping)
+    mapping = cut(mapping)
     least = mapping.groupBy("w").agg(F.min("u").alias("least"))
     return lookup_join(mapping, least, ["w"]).select(F.col("u").alias(vertex), F.col("least").alias(group))
 
