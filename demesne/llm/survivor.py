@@ -2,28 +2,30 @@
 
 Rows are judged on three criteria: completeness (a real, whole value beats an
 incomplete one, which beats a hollow one), trust (rank of source and rule) and
-recency.  Trust ranks are few (``MAX_RANKS``, checked), so every group is first
-reduced, map-side, to one cell per completeness and rank; dominance is then
-worked out among at most ``3 * (MAX_RANKS + 1)`` cells.  No group, however large,
-is held in one task.
-
-Incomplete values are found by exact equi-joins: each group's set of value
-lengths is small, every longer value offers its beginnings of just those
-lengths, and a value met by such a beginning is incomplete.
+recency.  Every group is first reduced, map-side, to one cell per completeness
+and rank; dominance is then worked out among at most three cells a listed rank.
+No group, however large, is held in one task.
+
+Incomplete values are found exactly.  In the order of the alphabet a value that
+begins others is followed at once by one of them, so a value of at least ``HEAD``
+letters is held against the next one of its group and first ``HEAD`` letters;
+shorter values (of fewer than ``HEAD`` different lengths) are met by equi-join
+with the beginnings of those lengths that longer values offer.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from demesne.runtime import lookup_join, table, ws_trim
 
 #: Spellings that stand for a missing value (compared in lower case).
 HOLLOW = ["unknown", "not known", "n/a", "na", "n.a.", "n.a", "nan", "none", "null", "nil", "tbc", "tbd", "to be confirmed", "not recorded", "unrecorded", "not given", "not stated", "not available", "missing", "illegible", "[illegible]", "(illegible)", "[blank]", "blank", "undefined", "empty", "no data", "[unknown]", "(unknown)", "<na>", "#n/a"]
+#: rows of the trust list that are broadcast; a longer list is joined
 MAX_RANKS = 1000
+HEAD = 16
 NO_TIME = "0001-01-01"
-TOWNLAND_FIELDS = ["name_gaelic", "barony", "civil_parish", "electoral_division", "logainm_id", "area_sqm", "description"]
 
 
 def plain(c: Column) -> Column:
@@ -45,21 +47,26 @@ def incomplete_values(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Distinct (keys, __stem) whose stem begins another, longer real stem of the group."""
     vals = df.where(is_real(F.col(value))).select(*keys, stem(F.col(value)).alias("__stem")).where(F.col("__stem") != "").distinct()
     vals = vals.withColumn("__n", F.length("__stem"))
-    lengths = vals.groupBy(*keys).agg(F.collect_set("__n").alias("__ns")).where(F.size("__ns") > 1)
+    # a lookup of at most HEAD - 1 lengths a group, and as many beginnings a value
+    lengths = vals.where(F.col("__n") < HEAD).groupBy(*keys).agg(F.collect_set("__n").alias("__ns"))
     heads = lookup_join(vals, lengths, keys).select(*keys, F.explode(F.filter("__ns", lambda n: n < F.col("__n"))).alias("__k"), "__stem")
     heads = heads.select(*keys, F.substring("__stem", F.lit(1), F.col("__k")).alias("__stem")).distinct()
-    return vals.drop("__n").join(heads, [*keys, "__stem"], "left_semi")
+    short = vals.where(F.col("__n") < HEAD).drop("__n").join(heads, [*keys, "__stem"], "left_semi")
+    # values alike in their first letters only; sorted, not held
+    following = F.lead("__stem").over(Window.partitionBy(*keys, F.substring("__stem", 1, HEAD)).orderBy("__stem"))
+    long_ = vals.where(F.col("__n") >= HEAD).withColumn("__next", following).where(F.startswith(F.col("__next"), F.col("__stem"))).select(*keys, "__stem")
+    return short.unionByName(long_)
 
 
 def with_rank(df: DataFrame, trust: DataFrame) -> DataFrame:
     """Adds ``__rank``: trust_rank of (source, rule), case and outer blanks aside; unlisted pairs come last."""
     ranks = trust.groupBy(plain(F.col("source")).alias("__s"), plain(F.col("rule")).alias("__r")).agg(F.min("trust_rank").alias("__rank"))
-    n = ranks.count()
-    if n > MAX_RANKS:
-        raise ValueError(f"{n} trust ranks; at most {MAX_RANKS} are meant")
     keyed = df.withColumn("__s", plain(F.col("source"))).withColumn("__r", plain(F.col("rule")))
-    # bounded: at most MAX_RANKS rows, counted above
-    out = keyed.join(F.broadcast(ranks), ["__s", "__r"], "left")
+    if ranks.count() <= MAX_RANKS:
+        # bounded: at most MAX_RANKS rows, counted
+        out = keyed.join(F.broadcast(ranks), ["__s", "__r"], "left")
+    else:
+        out = lookup_join(keyed, ranks, ["__s", "__r"], "left")
     return out.withColumn("__rank", F.coalesce("__rank", F.lit(2147483647))).drop("__s", "__r")
 
 
@@ -104,34 +111,38 @@ def survivors(df: DataFrame, keys: list[str], value: str, trust: DataFrame) -> D
     return groups.select(*keys, "n", top["id"].alias("id"), top["v"].alias("field_value"), top["b"].alias("trust_rank"), F.size("sky").alias("skyline"))
 
 
-def golden_records(df: DataFrame, entity: str, field: str, value: str, trust: DataFrame, fields: list[str]) -> DataFrame:
-    """One built record an entity, its fields filled layer by layer.
+def golden_records(df: DataFrame, entity: str, field: str, value: str, trust: DataFrame) -> DataFrame:
+    """One built record an entity (as JSON, fields in order), filled layer by layer.
 
-    Candidate records of an entity are its values by trust rank (one record a
-    rank, at most ``MAX_RANKS`` + 1).  They are peeled into dominance layers over
-    completeness (filled fields), recency and trust; the base is the first of the
-    first layer by trust, recency and completeness, and each field still null is
-    filled from the next record of the same layer, then from later layers.
+    Candidate records of an entity are its values by trust rank, that is by
+    source and rule (a source's own record numbers name single values).  They
+    are peeled into dominance layers over completeness (filled fields), recency
+    and trust; the base is the first of the first layer by trust, recency and
+    completeness, and each field still missing is filled from the next record of
+    the same layer, then from later layers.  Every field that occurs is kept.
     """
     g = graded(df.select(entity, field, value, "source", "rule", "created_at", "id"), [entity, field], value, trust).where("__full = 2 and " + f"`{field}` is not null and `{entity}` is not null")
     pick = F.max(F.struct(F.col("__t").alias("t"), (-F.col("id")).alias("nid"), F.col(value).alias("v")))
     cells = g.groupBy(entity, "__rank", field).agg(pick.alias("b"))
-    fill = [F.max(F.when(F.col(field) == f, F.col("b.v"))).alias(f) for f in fields]
-    recs = cells.groupBy(entity, "__rank").agg(F.max("b.t").alias("t"), *fill)
-    full = sum((F.col(f).isNotNull().cast("int") for f in fields), F.lit(0))
-    rec = F.struct((-full).alias("miss"), (-F.unix_micros(F.col("t").cast("timestamp"))).alias("age"), F.col("__rank").alias("rank"), full.alias("full"), F.col("t").alias("t"), *[F.col(f).alias(f) for f in fields])
-    out = recs.groupBy(entity).agg(F.array_sort(F.collect_list(rec)).alias("recs"))
+    # one cell a field and rank
+    recs = cells.groupBy(entity, "__rank").agg(F.max("b.t").alias("t"), F.map_from_entries(F.collect_list(F.struct(F.col(field), F.col("b.v")))).alias("m"))
+    full = F.size("m")
+    rec = F.struct((-full).alias("miss"), (-F.unix_micros(F.col("t").cast("timestamp"))).alias("age"), F.col("__rank").alias("rank"), full.alias("full"), F.col("t").alias("t"))
+    listed = F.array_sort(F.collect_list(F.struct(rec.alias("r"), F.map_entries("m").alias("m"))))
+    out = recs.groupBy(entity).agg(listed.alias("recs"))
     # sorted by (completeness, recency, trust) a record can only be dominated by earlier ones
     layer = F.aggregate(
         F.sequence(F.lit(1), F.size("recs")),
         F.array().cast("array<int>"),
-        lambda acc, i: F.array_append(acc, F.lit(1) + F.coalesce(F.array_max(F.transform(acc, lambda l, j: F.when(dominates(F.get("recs", j), F.get("recs", i - 1)), l))), F.lit(0))),
+        lambda acc, i: F.array_append(acc, F.lit(1) + F.coalesce(F.array_max(F.transform(acc, lambda l, j: F.when(dominates(F.get("recs", j)["r"], F.get("recs", i - 1)["r"]), l))), F.lit(0))),
     )
     out = out.withColumn("layer", layer)
-    ranked = F.array_sort(F.zip_with("layer", "recs", lambda l, r: F.struct(l.alias("layer"), r["rank"].alias("rank"), r["age"].alias("age"), r["miss"].alias("miss"), r.alias("rec"))))
-    out = out.withColumn("ranked", ranked)
-    first = lambda f: F.get(F.transform(F.filter("ranked", lambda x: x["rec"][f].isNotNull()), lambda x: x["rec"][f]), 0)
-    return out.select(entity, F.size("recs").alias("n_records"), F.array_max("layer").alias("n_layers"), F.get("ranked", 0)["rank"].alias("base_rank"), *[first(f).alias(f) for f in fields])
+    ranked = F.array_sort(F.zip_with("layer", "recs", lambda l, r: F.struct(l.alias("layer"), r["r"]["rank"].alias("rank"), r["r"]["age"].alias("age"), r["r"]["miss"].alias("miss"), r["m"].alias("m"))))
+    # of a field's values in this order the first
+    every = F.flatten(F.transform(ranked, lambda x: x["m"]))
+    kept = F.filter(every, lambda x, i: F.array_position(F.transform(every, lambda y: y["key"]), x["key"]) == i + 1)
+    filled = F.to_json(F.map_from_entries(F.array_sort(kept)))
+    return out.select(entity, F.size("recs").alias("n_records"), F.array_max("layer").alias("n_layers"), F.get(ranked, F.lit(0))["rank"].alias("base_rank"), filled.alias("record"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,7 +151,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return golden_records(table(spark, sf_dir, "field_provenance"), "entity_id", "field_name", "field_value", table(spark, sf_dir, "trust_order"), TOWNLAND_FIELDS)
+    return golden_records(table(spark, sf_dir, "field_provenance"), "entity_id", "field_name", "field_value", table(spark, sf_dir, "trust_order"))
 
 
 QUERIES = {"p5_found": p5_found, "p5_golden": p5_golden}
