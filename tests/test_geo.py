@@ -79,3 +79,36 @@ def test_no_rows(spark):
 def test_date_line(spark, lon):
     p = spark.createDataFrame([(1, 10.0, lon), (2, 10.0, -lon), (3, 10.0, 0.0)], "id long, lat double, lon double")
     assert [tuple(r)[:2] for r in geo.near_pairs(p, 1.0).collect()] == [(1, 2)]
+
+
+def test_any_ring_and_even_odd_against_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    square = lambda x, y, w: f"({x} {y}, {x + w} {y}, {x + w} {y + w}, {x} {y + w}, {x} {y})"
+    rows = []
+    for i in range(8):
+        x, y = -7 + rng.random(), 52 + rng.random()
+        rows.append((i, None, None, f"POLYGON ({square(x, y, 0.4)}, {square(x + 0.1, y + 0.1, 0.2)})", "r"))
+    points = [(100 + i, 52 + 1.4 * rng.random(), -7 + 1.4 * rng.random(), None, "p") for i in range(300)]
+    df = spark.createDataFrame(rows + points, COLUMNS)
+    at = geo.true_locations(df)
+    for any_ring in (False, True):
+        got = {(r["id"], r["region"]) for r in geo.points_in_regions(at, geo.region_slabs(df, any_ring=any_ring)).collect()}
+        want = set()
+        for i, lat, lon, _, _ in points:
+            for k, _, _, wkt, _ in rows:
+                hits = [in_ring(lat, lon, [tuple(c) for c in ring]) for ring in polygon_parts(wkt)[0]]
+                if any(hits) if any_ring else sum(hits) % 2 == 1:
+                    want.add((i, k))
+        assert got == want and want
+
+
+def test_outline_centres_read_every_dialect(spark):
+    from demesne.functions.geometry import outline_centres
+
+    texts = ["POLYGON ((-6 52, -5.8 52, -5.8 52.2, -6 52.2, -6 52))", "srid=4326;multipolygon z (((52 -6 1, 52 -5.8 1, 52.2 -5.8 1, 52.2 -6 1, 52 -6 1)), ((53 -6 1, 53 -5 1, 54 -5 1, 53 -6 1)))", "POINT (-6 52)", "POLYGON EMPTY", "POLYGON ((-6 52, x y))", None]
+    got = [r["c"] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, w string").orderBy("i").select(outline_centres("w").alias("c")).collect()]
+    for c in got[:2]:
+        assert abs(c["x"] + 5.9) < 1e-9 and abs(c["y"] - 52.1) < 1e-9 and abs(c["mean_x"] + 5.9) < 1e-9 and abs(c["mean_y"] - 52.1) < 1e-9
+    assert all(c["x"] is None for c in got[2:])

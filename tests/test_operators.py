@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from demesne.operators import graph, measures, quality, upsert
 from demesne.operators import retrieval as R
-from demesne.runtime import lookup_join
+from demesne.runtime import cut, hot_join, lookup_join, spread
 from demesne.streaming import events as S
 
 AREA = "id long, acres double, acres_irish double, acres_english double, holding_acres double, comments string, holding_on_estate string, statute_acres double"
@@ -107,3 +107,85 @@ def test_stream_drops_late_rows(spark, tmp_path):
     stream = S.event_stream(spark, str(tmp_path))
     assert S.drain(S.deduplicated(stream)).count() == 2
     assert [r["n"] for r in S.drain(S.tumbling(stream, "1 hour"), "complete").collect()] == [3]
+
+
+def test_hot_join_cuts_hot_keys_and_loses_nothing(spark):
+    left = spark.createDataFrame([(1 if i % 3 else i % 40, i) for i in range(900)] + [(None, -1)], "k long, x long")
+    right = spark.createDataFrame([(1 if i % 2 else i % 50, i) for i in range(500)] + [(None, -2)], "k long, y long")
+    want = sorted(map(tuple, left.join(right, "k").select("k", "x", "y").collect()))
+    for least in (10, 100, 10_000):
+        assert sorted(map(tuple, hot_join(left, right, ["k"], least).select("k", "x", "y").collect())) == want
+    assert hot_join(left.limit(0), right, ["k"], 10).count() == 0 and hot_join(left, right.limit(0), ["k"], 10).count() == 0
+
+
+def test_spread_is_not_planned_away(spark):
+    df = spark.range(4000).selectExpr("id % 1000 as k").distinct()
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def size(batches):
+        import pandas as pd
+
+        yield pd.DataFrame({"n": [sum(len(b) for b in batches)]})
+
+    sizes = spread(df, "k").mapInPandas(size, "n long").collect()
+    filled = [r["n"] for r in sizes if r["n"]]
+    assert len(filled) >= min(n, spark.sparkContext.defaultParallelism) and sum(filled) == 1000 and max(filled) < 500
+
+
+def test_a_long_loop_of_joins_and_cuts_stays_quick(spark):
+    import time
+
+    df = cut(spark.range(20).withColumnRenamed("id", "a"))
+    took = []
+    for _ in range(34):
+        began = time.time()
+        df = cut(df.join(df.withColumnRenamed("a", "b"), F.col("a") == F.col("b")).select("a").distinct())
+        took.append(time.time() - began)
+    assert df.count() == 20 and max(took[-5:]) < 5 * max(1.0, sorted(took)[len(took) // 2])
+
+
+def test_components_raise_rather_than_stop(spark, monkeypatch):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    assert {r["component"] for r in graph.components(chain, "a", "b").collect()} == {0}
+    monkeypatch.setattr(graph, "MAX_STEPS", 1)
+    with pytest.raises(RuntimeError):
+        graph.components(chain, "a", "b")
+
+
+def test_optional_and_filtered_patterns(spark):
+    t = spark.createDataFrame([("x", "in", "A"), ("y", "in", "B"), ("A", "of", "P"), ("x", "year", "1840"), ("y", "year", "1860")], "s string, p string, o string")
+    found = graph.match_pattern(t, ("?w", "in", "?p"), ("?w", "year", "?y"), optional=(("?p", "of", "?q"),)).collect()
+    assert {(r["w"], r["q"]) for r in found} == {("x", "P"), ("y", None)}
+    assert [r["w"] for r in graph.match_pattern(t, ("?w", "in", "?p"), ("?w", "year", "?y"), where=F.col("y").cast("int") < 1850).collect()] == ["x"]
+
+
+def test_prune_nodes(spark):
+    nodes = spark.createDataFrame([("a",), ("b",), ("c",)], "node string")
+    edges = spark.createDataFrame([("a", "b", "r"), ("b", "c", "r")], "src string, dst string, rel string")
+    kept, between = graph.prune_nodes(nodes, edges, F.when(F.col("node") == "c", 5).otherwise(1), 2)
+    assert {r["node"] for r in kept.collect()} == {"a", "c"} and between.count() == 0
+
+
+def test_random_projection_index_recalls_nine_tenths(spark):
+    from demesne.plans import q_retrieval
+
+    assert q_retrieval.r_lsh_recall(spark, "/root/testdata/sf0.001").first()["recall"] >= 0.9
+
+
+def test_ladder_with_gender_and_sounds(spark):
+    from demesne.functions.similarity import metaphone_col, token_sort_col
+    from demesne.operators import er
+
+    f = ["name", "surname", "forename", "place", "birth", "gender", "year", "age"]
+    rows = [
+        ("JOHN BYRNE", "BYRNE", "JOHN", "KILROE", 1800, "M", 1840, 40, "BYRNE JOHN", "BYRNE", "JOHN", "KILROE", 1801, "M", 1841, 41),
+        ("JOHN BYRNE", "BYRNE", "JOHN", "KILROE", 1800, "M", 1840, 40, "MARY BIRNE", "BIRNE", "MARY", "KILROE UPPER", 1830, "F", 1841, 11),
+        ("JOHN BYRNE", "BYRNE", "JOHN", None, None, None, None, None, "X", "X", None, None, None, None, None, None),
+    ]
+    schema = ", ".join(f"{c}_{s} {'int' if c in ('birth', 'year', 'age') else 'string'}" for s in "ab" for c in f)
+    a, b = (lambda c: F.col(f"{c}_a")), (lambda c: F.col(f"{c}_b"))
+    df = spark.createDataFrame(rows, schema)
+    got = df.select(er.match_score(a, b, token_sort_col, metaphone_col).alias("s"), er.evidence(a, b, token_sort_col, metaphone_col).alias("e")).collect()
+    # 10 + 10 + 10 + 10 + 5 + 10 + 5; then an impossible one, capped; then one of which little is known
+    assert got[0]["s"]["score"] == 1.0 and got[1]["s"]["impossible"] and got[1]["s"]["score"] <= 0.39 and abs(got[2]["s"]["score"] - 10 / 60) < 1e-9
+    assert "gender same" in got[0]["e"]["evidence"] and {"birth impossible", "gender differs", "forename differs"} <= set(got[1]["e"]["conflicts"]) and {"birth", "gender", "time", "place"} <= set(got[2]["e"]["missing"])
