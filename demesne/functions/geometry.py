@@ -125,15 +125,20 @@ def slabs(rings: list[np.ndarray]) -> list[tuple[float, float, list[float], list
     a, b = a[keep], b[keep]
     xs = np.unique(np.concatenate([a[:, 0], b[:, 0]]))
     slope = (b[:, 1] - a[:, 1]) / (b[:, 0] - a[:, 0])
-    out = []
+    # a sweep: the edges over a slab are those over the last one, less those that ended, and those that start here
+    order = np.argsort(a[:, 0], kind="stable")
+    starts = a[order, 0]
+    out, on, at = [], np.zeros(0, dtype=np.int64), 0
     for x0, x1 in zip(xs[:-1], xs[1:]):
-        on = (a[:, 0] <= x0) & (b[:, 0] >= x1)
-        if not on.any():
+        upto = int(np.searchsorted(starts, x0, "right"))
+        on = np.concatenate([on[b[on, 0] > x0], order[at:upto]])
+        at = upto
+        if not len(on):
             continue
         lo = a[on, 1] + (x0 - a[on, 0]) * slope[on]
         hi = a[on, 1] + (x1 - a[on, 0]) * slope[on]
-        order = np.argsort(lo + hi, kind="stable")
-        out.append((float(x0), float(x1), lo[order].tolist(), hi[order].tolist()))
+        by = np.argsort(lo + hi, kind="stable")
+        out.append((float(x0), float(x1), lo[by].tolist(), hi[by].tolist()))
     return out
 
 
