@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from demesne.operators import quality
-from demesne.plans import router, views
+from demesne.plans import questions, router, views
 from demesne.runtime import table
 
 _STATEMENTS = ["SELECT 1", "select count(*) from orders;", "WITH a AS (SELECT 1) SELECT * FROM a", "DROP TABLE orders", "SELECT 1; DELETE FROM orders", "SELECT 'drop table x' AS t", "", "EXPLAIN SELECT 1", "SELECT * FROM a -- update later", "UPDATE orders SET o = 1", "(SELECT 1) UNION (SELECT 2)", "SELECT replace(name, 'a', 'b') FROM nation"]
-_QUESTIONS = ["How many people emigrated in 1848?", "Show evictions per year", "Which townlands have the largest population?", "How many widows are recorded?", "What was the weather like in 1847?", "Average holding of male and female tenants", "How many people emigrated to Canada between 1847 and 1851, by ship?", "How many parishes are there?", "Tell me a story"]
 
 
 def q_guard_verdicts(spark, d):
@@ -17,12 +16,39 @@ def q_guard_verdicts(spark, d):
     return s.select("n", router.guard_verdict(F.col("statement")).alias("verdict"))
 
 
+def _items(spark, d):
+    return table(spark, d, "eval_items").where("text is not null")
+
+
+def q_lanes(spark, d):
+    """The lane of every test item."""
+    return _items(spark, d).select("item_id", questions.lane(F.col("text")).alias("lane"))
+
+
+def q_template_match(spark, d):
+    """The template that fits every test item best, where one does."""
+    return _items(spark, d).select("item_id", questions.best_template(F.col("text")).alias("b")).where("b is not null").select("item_id", "b.template", "b.score")
+
+
+def q_places_named(spark, d):
+    """The canonical names every test item holds, word by word."""
+    return questions.places_named(_items(spark, d), views.places(spark, d).where("source = 'json' and name is not null"), "item_id", "text")
+
+
 def q_read_questions(spark, d):
-    rows = []
-    for i, q in enumerate(_QUESTIONS):
-        r = router.read_question(q)
-        rows.append((i, r.slots.metric if r.slots else None, ",".join(r.slots.group_by) if r.slots else None, ",".join(sorted(r.slots.filters)) if r.slots else None, r.slots.limit if r.slots else None))
-    return spark.createDataFrame(rows, "n long, metric string, dims string, filters string, row_limit int")
+    """Slots read from every test item by the rules."""
+
+    def read(batches):
+        import pandas as pd
+
+        for batch in batches:
+            got = [router.read_question(t) for t in batch["text"]]
+            yield pd.DataFrame({
+                "item_id": batch["item_id"], "metric": [r.slots.metric if r.slots else None for r in got], "dims": [",".join(r.slots.group_by) if r.slots else None for r in got],
+                "filters": [",".join(sorted(r.slots.filters)) if r.slots else None for r in got], "confidence": [r.confidence for r in got], "reason": [r.reason for r in got],
+            })
+
+    return _items(spark, d).select("item_id", "text").mapInPandas(read, "item_id long, metric string, dims string, filters string, confidence double, reason string")
 
 
 def q_numeric_gate(spark, d):
@@ -102,7 +128,12 @@ QUERIES = {n: f for n, f in list(globals().items()) if (n.startswith("q_") or n.
 _VALUES = ", ".join(f"({i}, '{t.replace(chr(39), chr(39) * 2)}')" for i, t in enumerate(_STATEMENTS))
 _NUM = lambda c: f"regexp_extract_all(regexp_replace(regexp_replace({c}, '(\\d),(\\d{{3}})\\b', '\\1\\2', 'g'), '(\\d),(\\d{{3}})\\b', '\\1\\2', 'g'), '\\d+(?:\\.\\d+)?')"
 _NULLS = ["surname", "forename", "parish", "age", "acres", "ship_name", "comments", "rent_owed"]
+_QC = lambda words: "(" + " OR ".join(f"contains(q, '{w}')" for w in words) + ")"
+_TEMPLATES = " UNION ALL ".join(f"SELECT item_id, '{n}' AS template, {2 * len(r)} + " + " + ".join([f"contains(q, '{w}')::INT" for w in o] or ["0"]) + f" AS score, {i} AS o FROM e WHERE " + " AND ".join(f"contains(q, '{w}')" for w in r) for i, (n, r, o) in enumerate(questions.templates()))
 SQL = {
+    "q_lanes": "WITH e AS (SELECT item_id, lower(text) AS q FROM eval_items WHERE text IS NOT NULL) SELECT item_id, CASE " + " ".join(f"WHEN {_QC(w)} THEN '{n}'" for n, w in questions.LANES.items()) + " ELSE 'other' END AS lane FROM e",
+    "q_template_match": f"WITH e AS (SELECT item_id, lower(text) AS q FROM eval_items WHERE text IS NOT NULL), t AS ({_TEMPLATES}) SELECT item_id, template, score FROM t WHERE score >= {questions.LEAST_SCORE} QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, o) = 1",
+    "q_places_named": "WITH w AS (SELECT item_id, regexp_extract_all(upper(text), '[A-Z'']+') AS w FROM eval_items WHERE text IS NOT NULL), r AS (SELECT DISTINCT item_id, words, array_to_string(w[i:i + words - 1], ' ') AS name FROM (SELECT item_id, w, words, unnest(range(1, len(w) - words + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS words))) SELECT item_id, name, CAST(words AS INTEGER) AS words FROM r WHERE name IN (SELECT upper(name) FROM townland WHERE source = 'json' AND name IS NOT NULL)",
     "q_guard_verdicts": f"WITH s AS (SELECT CAST(n AS BIGINT) AS n, statement FROM (VALUES {_VALUES}) AS v(n, statement)), t AS (SELECT n, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(statement, '--[^\\n]*', ' ', 'g'), '''[^'']*''', ' x ', 'g'), '\\s+', ' ', 'g'), ';\\s*$', '')) AS t FROM s) SELECT n, CASE WHEN t = '' THEN 'empty' WHEN contains(t, ';') THEN 'several statements' WHEN NOT regexp_matches(lower(t), '^\\(*\\s*(select|with)\\b') THEN 'not a query' WHEN regexp_matches(lower(t), '\\b({'|'.join(router.BLOCKED)})\\b') THEN 'blocked word' ELSE 'ok' END AS verdict FROM t",
     "q_numeric_gate": f"WITH d AS (SELECT doc_id, {_NUM('text')} AS n, array_to_string({_NUM('concat_ws(chr(32), doc_year, n_chars, townland_norm, chunk_id)')}, ' ') AS k FROM documents WHERE text IS NOT NULL) SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(n, lambda x: length(regexp_replace(x, '\\D', '', 'g')) >= 3 AND NOT contains(k, x)))), ' ') AS unsupported FROM d WHERE unsupported <> ''",
     "q_null_rates": "WITH c AS (" + " UNION ALL ".join(f"SELECT '{c}' AS column, count(*) AS rows, count(*) - count({c}) AS nulls FROM unified_record" for c in _NULLS) + ") SELECT *, floor(nulls * 10000.0::DOUBLE / nullif(rows, 0) + 0.5) / 10000 AS rate, CAST(rows >= 5 AND floor(nulls * 10000.0::DOUBLE / nullif(rows, 0) + 0.5) / 10000 >= 0.6 AS INTEGER) AS warn FROM c",

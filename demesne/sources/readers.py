@@ -79,6 +79,31 @@ def read_aliases(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(sorted(json.loads(text).items()), "alias string, canonical_name string")
 
 
+#: Fields of a reference snapshot and their kinds.
+SNAPSHOT = {"name": "text", "barony": "text", "civil_parish": "text", "electoral_division": "text", "gaelic_name": "text", "area_ha": "float", "url": "text"}
+
+
+def read_snapshot(spark: SparkSession, path: str, kinds: dict[str, str] = SNAPSHOT) -> DataFrame:
+    """Rows of a snapshot: a JSON array or one object a line; absent fields are null, an absent file gives no rows."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    names = list(kinds)
+    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        raw = spark.createDataFrame([], ", ".join(f"`{n}` string" for n in names))
+    else:
+        raw = spark.read.option("multiLine", True).schema(", ".join(f"`{n}` string" for n in names)).json(path)
+    return raw.select(*[KINDS[k](F.col(f"`{n}`")).alias(n) for n, k in kinds.items()])
+
+
+def fingerprint(spark: SparkSession, path: str, version: str) -> str:
+    """``version:time:size`` of a file or folder as its file system reports them; changes when the data do."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(hadoop):
+        return f"{version}:absent"
+    summary = system.getContentSummary(hadoop)
+    return f"{version}:{system.getFileStatus(hadoop).getModificationTime()}:{summary.getLength()}"
+
+
 def read_turtle(spark: SparkSession, path: str) -> DataFrame:
     """(s, p, o) of one-triple-a-line Turtle or N-Triples text."""
     t = spark.read.text(path)

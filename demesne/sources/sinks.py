@@ -21,6 +21,11 @@ def export_turtle(triples: DataFrame, path: str, base: str = "urn:demesne:") ->
     triples.select(F.concat(name(F.col("s")), F.lit(" "), name(F.col("p")), F.lit(' "'), text, F.lit('" .'))).write.mode("overwrite").text(path)
 
 
+def export_snapshot(df: DataFrame, path: str) -> None:
+    """One JSON object a line, nulls left out, for ``readers.read_snapshot`` without ``multiLine``."""
+    df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.mode("overwrite").text(path)
+
+
 def append_new(df: DataFrame, path: str, keys: list[str]) -> int:
     """Appends the rows whose keys the stored table lacks; returns how many."""
     spark = df.sparkSession

@@ -51,3 +51,17 @@ def test_exports_and_append(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "p")).count() == 3
     sinks.export_features(spark.createDataFrame([("a", -6.0, 52.0)], "name string, lon double, lat double"), str(tmp_path / "g"), "lon", "lat", ["name"])
     assert json.loads(spark.read.text(str(tmp_path / "g")).first()[0])["geometry"]["coordinates"] == [-6.0, 52.0]
+
+
+def test_snapshot_and_fingerprint(spark, tmp_path):
+    f = tmp_path / "s.json"
+    assert readers.read_snapshot(spark, str(f)).count() == 0 and readers.fingerprint(spark, str(f), "1") == "1:absent"
+    f.write_text(json.dumps([{"name": " A ", "area_ha": "12.5", "other": 1}, {"name": "nan", "barony": "B", "area_ha": None}]), encoding="utf-8")
+    rows = readers.read_snapshot(spark, str(f)).collect()
+    assert [(r["name"], r["barony"], r["area_ha"]) for r in rows] == [("A", None, 12.5), (None, "B", None)]
+    before = readers.fingerprint(spark, str(f), "1")
+    assert before == readers.fingerprint(spark, str(f), "1") != readers.fingerprint(spark, str(f), "2")
+    f.write_text("[]", encoding="utf-8")
+    assert readers.fingerprint(spark, str(f), "1") != before and readers.read_snapshot(spark, str(f)).count() == 0
+    sinks.export_snapshot(spark.createDataFrame([("A", 1.0), ("B", None)], "name string, area_ha double"), str(tmp_path / "o"))
+    assert sorted(json.loads(r[0]).get("area_ha") or 0 for r in spark.read.text(str(tmp_path / "o")).collect()) == [0, 1.0]
