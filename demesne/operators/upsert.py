@@ -37,6 +37,12 @@ def last_wins(df: DataFrame, keys: list[str], order: list[Column], keep: int = 1
     return df.withColumn("__rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("__rn") <= keep).drop("__rn")
 
 
+def insert_or_ignore(stored: DataFrame, fresh: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """Stored rows stay; of fresh rows with a new key the first in the given order is added."""
+    new = fresh.join(stored.select(*keys).distinct(), keys, "left_anti")
+    return stored.unionByName(last_wins(new, keys, order).select(*stored.columns))
+
+
 def by_precedence(sources: list[DataFrame], keys: list[str]) -> DataFrame:
     """Union of sources of which an earlier one hides a later one's rows of the same key."""
     out = None

@@ -107,6 +107,23 @@ def u_latest_delivery(spark, d):
     return upsert.last_wins(m, ["id"], [F.col("updated_at").desc_nulls_last(), F.col("raw_place").asc_nulls_last()]).select("id", "source_record_id", "raw_place")
 
 
+def u_insert_or_ignore(spark, d):
+    """Graph edges of parishes: those of the dictionary stay, other sources add the places they lack."""
+    p = views.places(spark, d).where("name is not null and civil_parish is not null").select(F.upper("name").alias("name"), F.col("civil_parish").alias("parish"), "id", "source")
+    stored = upsert.last_wins(p.where("source = 'json'"), ["name"], [F.col("id")]).select("name", "parish", "id")
+    return upsert.insert_or_ignore(stored, p.where("source <> 'json'").select("name", "parish", "id"), ["name"], [F.col("id")])
+
+
+def u_clearance_upsert(spark, d):
+    """Clearances by place and year: a later delivery's count replaces the earlier, unless it is empty."""
+    c = views.clearances(spark, d)
+    old = c.select("townland_norm", "year", "evictions")
+    new = views.records(spark, d).where("townland_norm is not null and year is not null and year >= 1850").groupBy("townland_norm", "year").agg(F.nullif(F.count(F.when(F.col("has_eviction_record") == 1, 1)), F.lit(0)).alias("evictions"))
+    key = F.concat_ws("|", "townland_norm", "year")
+    out = upsert.merge_survivor(old.select(key.alias("key"), "evictions"), new.select(key.alias("key"), "evictions"), "key", {"evictions": "new"})
+    return out.where("evictions is not null")
+
+
 def u_census_upsert(spark, d):
     """Male and female summed into a missing total; null, not 0, where both are missing."""
     c = views.census(spark, d)
@@ -178,6 +195,8 @@ SQL = {
     "u_hash_diff_sync": "WITH f AS (SELECT doc_id, trim(text, ' ') AS h FROM documents WHERE text IS NOT NULL AND (doc_year IS NULL OR doc_year <> 1850)), s AS (SELECT doc_id, text AS h FROM documents WHERE text IS NOT NULL AND (doc_year IS NULL OR doc_year <> 1840)) SELECT coalesce(f.doc_id, s.doc_id) AS doc_id, CASE WHEN s.doc_id IS NULL THEN 'insert' WHEN f.doc_id IS NULL THEN 'delete' ELSE 'update' END AS action FROM f FULL OUTER JOIN s ON f.doc_id = s.doc_id WHERE f.doc_id IS NULL OR s.doc_id IS NULL OR f.h <> s.h",
     "u_field_provenance": "WITH l AS (" + " UNION ALL ".join(f"SELECT '{f}' AS field_name, CAST({f} AS VARCHAR) AS v, lower(source) AS source FROM townland WHERE {f} IS NOT NULL" for f in ("name", "barony", "civil_parish", "area_sqm", "logainm_id")) + ") SELECT field_name, source, 'first_non_null' AS rule, count(*) AS n, count(DISTINCT v) AS values FROM l GROUP BY 1, 2",
     "u_latest_delivery": "SELECT id, source_record_id, raw_place FROM source_mentions QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST, raw_place NULLS LAST) = 1",
+    "u_insert_or_ignore": "WITH p AS (SELECT upper(name) AS name, civil_parish AS parish, id, source FROM townland WHERE name IS NOT NULL AND civil_parish IS NOT NULL) SELECT name, parish, id FROM p QUALIFY row_number() OVER (PARTITION BY name ORDER BY source <> 'json', id) = 1",
+    "u_clearance_upsert": "WITH r AS (SELECT townland_norm || '|' || year AS key, count(DISTINCT CASE WHEN has_eviction_record = 1 THEN record_id END) AS a, nullif(count(CASE WHEN has_eviction_record = 1 THEN 1 END), 0) AS b, max(year) AS y, count(CASE WHEN has_eviction_record = 1 THEN 1 END) AS n FROM unified_record WHERE townland_norm IS NOT NULL AND year IS NOT NULL GROUP BY 1) SELECT key, CASE WHEN y >= 1850 THEN coalesce(b, CASE WHEN n > 0 THEN a END) ELSE a END AS evictions FROM r WHERE n > 0",
     "u_census_upsert": f"WITH {views.CENSUS}, o AS (SELECT * FROM census WHERE year < 1851), n AS (SELECT * FROM census WHERE year >= 1841) SELECT coalesce(n.townland_norm, o.townland_norm) AS townland_norm, coalesce(n.year, o.year) AS year, o.male, coalesce(n.female, o.female) AS female, coalesce(n.total, coalesce(o.male, 0) + coalesce(n.female, o.female, 0)) AS total FROM o FULL OUTER JOIN n ON o.townland_norm = n.townland_norm AND o.year = n.year",
     "u_quality_report": "SELECT " + ", ".join(f"count(*) - count({c}) AS null_{c}" for c in ("name", "barony", "civil_parish", "county", "wkt_geometry", "centroid_lat")) + ", count(*) AS rows, count(DISTINCT entity_id) AS entities, count(name) - count(DISTINCT name) AS repeated_names FROM townland",
     "u_review_queue": f"SELECT id, townland_id_a, townland_id_b, score FROM match_review WHERE lower({_TRIM('status')}) = 'pending' ORDER BY score DESC NULLS LAST, id LIMIT 100",

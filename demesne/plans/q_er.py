@@ -158,6 +158,14 @@ def e_evidence(spark, d):
     return _gold(spark, d).withColumn("e", e).select("gold_id", text("e.evidence").alias("evidence"), text("e.conflicts").alias("conflicts"), text("e.missing").alias("missing"))
 
 
+def e_mention_builder(spark, d):
+    """Mentions read from the written name, surname first: normalised name, surname, forename, initial, sound, and birth where year and age are both filled."""
+    m = table(spark, d, "source_mentions").where("id is not null and raw_name is not null").select("id", "raw_name", "event_year", "age").distinct()
+    p = C.split_person(F.regexp_replace("raw_name", r"[\[(].*?[\])]", " "), True)
+    both = (F.coalesce(F.col("event_year"), F.lit(0)) != 0) & (F.coalesce(F.col("age"), F.lit(0)) != 0)
+    return m.select("id", C.normalise_text(F.col("raw_name")).alias("name"), p["surname"].alias("surname"), p["forename"].alias("forename"), F.substring(p["forename"], 1, 1).alias("initial"), er.skeleton(p["surname"]).alias("sound"), F.when(both, F.col("event_year") - F.col("age")).alias("birth"))
+
+
 def e_decisions_applied(spark, d):
     """The review queue with its decisions applied: per unordered pair the latest confirming or rejecting review, and how many there were."""
     return _decided(spark, d).select("u", "v", "status", "reviews")
@@ -281,6 +289,16 @@ g AS (SELECT gold_id, gold_label = 'TRUE_MATCH' AS truth, {_NORM('wh_raw_name')}
  {comp('wh_place_ed')} AS place_a, {comp('u_townland')} AS place_b, wh_birth_year AS birth_a, u_birth_year AS birth_b, wh_year AS year_a, u_year AS year_b, wh_age AS age_a, u_age AS age_b FROM g0)"""
 
 
+def _mention_sql() -> str:
+    from demesne.plans.q_data import _NORM, _expand_sql
+
+    tok = lambda c: f"list_filter(string_split({_NORM(c)}, ' '), lambda t: t <> '' AND NOT regexp_full_match(t, '[-.]+'))"
+    sur = lambda k: f"regexp_replace(regexp_replace(regexp_replace({k}, '\\b(MC|MAC) ', '\\1', 'g'), '^MAC', 'MC'), '\\bO[''\\s]', 'O', 'g')"
+    clean = "regexp_replace(raw_name, '[\\[(].*?[\\])]', ' ', 'g')"
+    return f"""WITH k AS (SELECT DISTINCT id, raw_name, event_year, age, {tok(clean)} AS k FROM source_mentions WHERE id IS NOT NULL AND raw_name IS NOT NULL),
+n AS (SELECT id, event_year, age, {_NORM('raw_name')} AS name, CASE WHEN len(k) > 0 THEN {sur('k[1]')} END AS surname, CASE WHEN len(k) > 1 THEN {_expand_sql("array_to_string(k[2:], ' ')")} WHEN len(k) = 1 THEN '' END AS forename FROM k)"""
+
+
 _RATIO = lambda a, b: f"(100.0::DOUBLE * (1 - levenshtein({a}, {b})::DOUBLE / greatest(length({a}), length({b}), 1)))"
 _SCORE = f"""{_gold_sql()},
 s AS (SELECT *, CASE WHEN {_RATIO('name_a', 'name_b')} >= 90 THEN 10.0 WHEN {_RATIO('name_a', 'name_b')} >= 75 THEN 7 WHEN {_RATIO('name_a', 'name_b')} >= 60 THEN 4 ELSE 0 END
@@ -319,6 +337,7 @@ SQL = {
     "e_strategy_counts": f"{_STRATEGIES} SELECT s AS strategy, count(*) AS pairs FROM (SELECT unnest(met) AS s FROM y) WHERE s IS NOT NULL GROUP BY 1",
     "e_link_summary": f"{_STRATEGIES}, p2 AS (SELECT id, max(n) AS best, count(CASE WHEN n >= 4 THEN 1 END) AS strong FROM y GROUP BY 1), e AS (SELECT m.id, best, strong FROM m LEFT JOIN p2 USING (id)) SELECT CASE WHEN coalesce(best, 0) = 0 THEN 'unresolved' WHEN best >= 4 THEN 'strong' ELSE 'weak' END AS label, count(*) AS mentions, count(CASE WHEN strong > 1 THEN 1 END) AS ambiguous, CAST(coalesce(sum(strong), 0) AS BIGINT) AS strong_pairs FROM e GROUP BY 1",
     "e_evidence": f"WITH {_gold_sql()}, h AS (SELECT *, {_RATIO('name_a', 'name_b')} AS nr, {_RATIO('forename_a', 'forename_b')} AS fr, abs(birth_a - birth_b) AS gap, abs(year_a - year_b) AS years, age_a IS NOT NULL AND age_b IS NOT NULL AND year_a IS NOT NULL AND year_b IS NOT NULL AS aged, abs(age_a + (year_b - year_a) - age_b) AS drift, coalesce(trim(surname_a) <> '' AND trim(surname_b) <> '', false) AS bs, coalesce(trim(forename_a) <> '' AND trim(forename_b) <> '', false) AS bf, coalesce(trim(place_a) <> '' AND trim(place_b) <> '', false) AS bp, {_SK('surname_a')} AS ka, {_SK('surname_b')} AS kb, contains(place_a, place_b) OR contains(place_b, place_a) AS holds FROM g) SELECT gold_id, concat_ws(',', CASE WHEN nr >= 90 THEN 'name strong' WHEN nr >= 75 THEN 'name good' WHEN nr >= 60 THEN 'name partial' END, CASE WHEN bs AND surname_a = surname_b THEN 'surname exact' WHEN bs AND ka = kb THEN 'surname phonetic' END, CASE WHEN bf AND fr >= 90 THEN 'forename exact' WHEN bf AND fr >= 80 THEN 'forename close' WHEN bf AND fr >= 60 THEN 'forename partial' END, CASE WHEN bp AND place_a = place_b THEN 'place same' WHEN bp AND holds THEN 'place variant' END, CASE WHEN gap <= 3 THEN 'birth close' WHEN gap <= 8 THEN 'birth compatible' END, CASE WHEN aged THEN CASE WHEN drift <= 2 THEN 'age consistent' WHEN drift <= 5 THEN 'age compatible' END WHEN years <= 2 THEN 'time close' WHEN years <= 10 THEN 'time compatible' END) AS evidence, concat_ws(',', CASE WHEN bf AND fr < 60 THEN 'forename differs' END, CASE WHEN gap > 20 THEN 'birth impossible' END, CASE WHEN CASE WHEN aged THEN drift > 30 ELSE years > 40 END THEN 'time impossible' END) AS conflicts, concat_ws(',', CASE WHEN coalesce(nr < 60, true) THEN 'name' END, CASE WHEN NOT bs OR (surname_a <> surname_b AND ka <> kb) THEN 'surname' END, CASE WHEN NOT bf THEN 'forename' END, CASE WHEN NOT bp THEN 'place' WHEN NOT holds THEN 'place differs' END, CASE WHEN birth_a IS NULL OR birth_b IS NULL THEN 'birth' END, 'gender', CASE WHEN year_a IS NULL OR year_b IS NULL THEN 'time' END) AS missing FROM h",
+    "e_mention_builder": f"{_mention_sql()} SELECT id, name, surname, forename, substr(forename, 1, 1) AS initial, {_SK('surname')} AS sound, CASE WHEN coalesce(event_year, 0) <> 0 AND coalesce(age, 0) <> 0 THEN event_year - age END AS birth FROM n",
     "e_decisions_applied": f"WITH {_DECIDED} SELECT u, v, status, reviews FROM d",
     "e_cluster_means": f"WITH RECURSIVE {_DECIDED}, {_COMPONENTS}, s AS (SELECT least(townland_id_a, townland_id_b) AS u, greatest(townland_id_a, townland_id_b) AS v, CAST(score AS DECIMAL(12, 6)) AS score FROM match_review) SELECT c.component, count(score) AS reviews, floor(sum(score)::DOUBLE / count(score) * 10000 + 0.5) / 10000 AS mean_score FROM s JOIN d ON d.u = s.u AND d.v = s.v AND d.status = 'confirmed' JOIN c ON c.vertex = s.u GROUP BY 1",
     "e_pick_canonical": f"WITH RECURSIVE {_DECIDED}, {_COMPONENTS}, p AS (SELECT id, CASE source WHEN 'kg' THEN 0 WHEN 'json' THEN 1 ELSE 2 END AS o, (name_gaelic IS NOT NULL)::INT + (barony IS NOT NULL)::INT + (civil_parish IS NOT NULL)::INT + (electoral_division IS NOT NULL)::INT + (logainm_id IS NOT NULL)::INT + (area_sqm IS NOT NULL)::INT + (wkt_geometry IS NOT NULL)::INT + (county IS NOT NULL)::INT AS filled FROM townland) SELECT component, id AS canonical_id, filled, count(*) OVER (PARTITION BY component) AS members FROM c JOIN p ON p.id = c.vertex QUALIFY row_number() OVER (PARTITION BY component ORDER BY o, filled DESC, id) = 1",

@@ -265,6 +265,12 @@ def gr_communities_lpa(spark, d):
     return graph.label_propagation(e, 3).groupBy("community").agg(F.count(F.lit(1)).alias("members"))
 
 
+def gr_communities_louvain(spark, d):
+    """Communities of places, records and events by modularity, with their sizes."""
+    e = edges(spark, d).where("rel in ('LOCATED_IN', 'HAS_EVENT', 'WITHIN')").select("src", "dst")
+    return graph.louvain(e).groupBy("community").agg(F.count(F.lit(1)).alias("members"))
+
+
 def gr_place_context(spark, d):
     """What is known about every place, in one row."""
     r = views.records(spark, d).groupBy(F.col("townland_norm").alias("name")).agg(F.countDistinct("record_id").alias("records"), F.countDistinct("surname").alias("surnames"), F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.count(F.when(F.col("is_widow") == 1, 1)).alias("widow_entries"))

@@ -189,3 +189,18 @@ def test_ladder_with_gender_and_sounds(spark):
     # 10 + 10 + 10 + 10 + 5 + 10 + 5; then an impossible one, capped; then one of which little is known
     assert got[0]["s"]["score"] == 1.0 and got[1]["s"]["impossible"] and got[1]["s"]["score"] <= 0.39 and abs(got[2]["s"]["score"] - 10 / 60) < 1e-9
     assert "gender same" in got[0]["e"]["evidence"] and {"birth impossible", "gender differs", "forename differs"} <= set(got[1]["e"]["conflicts"]) and {"birth", "gender", "time", "place"} <= set(got[2]["e"]["missing"])
+
+
+def test_louvain_finds_cliques(spark):
+    import itertools
+
+    cliques = [list(itertools.combinations(range(10 * c, 10 * c + 6), 2)) for c in range(5)]
+    bridges = [(10 * c, 10 * ((c + 1) % 5) + 1) for c in range(5)]
+    e = spark.createDataFrame([(f"n{a:02d}", f"n{b:02d}") for a, b in [*itertools.chain(*cliques), *bridges]], "src string, dst string")
+    got = graph.louvain(e)
+    groups = {}
+    for r in got.collect():
+        groups.setdefault(r["community"], set()).add(r["node"])
+    assert sorted(map(sorted, groups.values())) == [[f"n{10 * c + i:02d}" for i in range(6)] for c in range(5)]
+    assert all(k == min(g) for k, g in groups.items()) and graph.modularity(e, got) > 0.7
+    assert graph.louvain(e.limit(0)).count() == 0
