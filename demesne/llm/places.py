@@ -4,7 +4,7 @@ The reference list is worked off in blocks of at most about ``MAX_NAMES``
 entries (names and aliases).  A block is a symmetric-delete dictionary: every
 canonical name is stored under the hashes of all strings left by dropping up to
 ``EDITS`` letters of its letters, skeleton and sound, as sorted arrays of 12
-bytes a key, and a written name meets all names within that distance by looking
+bytes a key (and a mark a key), and a written name meets all names within that distance by looking
 up its own deletions.  A block is built once, on the driver, and broadcast; its
 size in bytes is bounded by ``MAX_NAMES`` times the deletions of the longest
 names, and checked.  What all blocks found for a spelling is decided together:
@@ -173,7 +173,11 @@ class Dictionary:
         keys = np.concatenate(hashes) if hashes else np.zeros(0, dtype=np.uint64)
         order = np.argsort(keys, kind="stable")
         self.keys, self.numbers = keys[order], (np.concatenate(numbers) if numbers else np.zeros(0, dtype=np.int32))[order]
-        if self.keys.nbytes + self.numbers.nbytes > MAX_BYTES:
+        # most deletions of a query are none of these: a mark a key's last bits spares looking for them
+        self.mask = np.uint64((1 << max(10, int(8 * len(self.keys)).bit_length())) - 1)
+        self.marks = np.zeros(int(self.mask) + 1, dtype=bool)
+        self.marks[self.keys & self.mask] = True
+        if self.keys.nbytes + self.numbers.nbytes + self.marks.nbytes > MAX_BYTES:
             raise ValueError("a block of names is larger than MAX_BYTES")
 
     def _stubs(self, body: str) -> np.ndarray:
@@ -184,6 +188,7 @@ class Dictionary:
 
     def _near(self, body: str) -> set[int]:
         stubs = self._stubs(body)
+        stubs = stubs[self.marks[stubs & self.mask]]
         lo, hi = np.searchsorted(self.keys, stubs, "left"), np.searchsorted(self.keys, stubs, "right")
         return {int(k) for a, b in zip(lo[hi > lo], hi[hi > lo]) for k in self.numbers[a:b]}
 
