@@ -20,9 +20,11 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,49 +74,61 @@ def trusted(passage: str, seeds: tuple[str, ...] = SEEDS) -> bool:
     return any(x in low for x in seeds)
 
 
+@lru_cache(maxsize=1 << 18)
 def _hash(feature: str) -> int:
     return xxhash.xxh32_intdigest(feature) & (2**HASH_BITS - 1)
 
 
+@lru_cache(maxsize=1 << 17)
+def _token(w: str) -> tuple[str, str, str, bool, bool]:
+    """(kind at the start of a passage, kind elsewhere, lower case, letters or digits, a capital first)."""
+    first, low = w[0], w.lower()
+    if first.isdigit():
+        kind = other = "<9>"
+    elif len(w) > 2 and first != "_" and len(set(low)) == 1:
+        kind = other = "<run>"
+    elif any(map(str.isdigit, w)):
+        kind = other = "<id>"
+    else:
+        kind = low
+        other = "<n>" if first.isupper() and len(w) > 1 and w[1:].islower() else low
+    return kind, other, low, first.isalnum(), first.isupper()
+
+
 def features(passage: str) -> list[int]:
     """Buckets of the words, word pairs, capitalised pairs and words glued to marks of a passage; most names and numbers by kind."""
     if passage.isupper():
         passage = passage.lower()
     out: set[str] = set()
+    add = out.add
     before, title = "<s>", ""
+    end = len(passage)
     for i, m in enumerate(_TOKEN.finditer(passage)):
-        w, a, b = m[0], m.start(), m.end()
-        first = w[0]
-        if first.isdigit():
-            kind = "<9>"
-            if len(w) == 3:
-                out.add(f"9 {w}")
-        elif len(w) > 2 and first != "_" and len(set(w.lower())) == 1:
-            kind = "<run>"
-        elif any(map(str.isdigit, w)):
-            kind = "<id>"
-        elif i and first.isupper() and len(w) > 1 and w[1:].islower():
-            kind = "<n>"
-        else:
-            kind = w.lower()
-        out.add(f"1 {kind}")
-        out.add(f"2 {before} {kind}")
+        w = m[0]
+        start, other, low, written, capital = _token(w)
+        kind = other if i else start
+        add("1 " + kind)
+        add(f"2 {before} {kind}")
         before = kind
-        if first.isalnum():
-            low = w.lower()
-            left, right = a > 0 and passage[a - 1] in _MARKS, b < len(passage) and passage[b] in _MARKS
+        if written:
+            if kind == "<9>" and len(w) == 3:
+                add("9 " + w)
+            a, b = m.span()
+            left, right = a > 0 and passage[a - 1] in _MARKS, b < end and passage[b] in _MARKS
             if left:
-                out.add(f"l {low}")
+                add("l " + low)
             if right:
-                out.add(f"r {low}")
+                add("r " + low)
             if left and right:
-                out.add("b")
-            if first.isupper():
-                out.add(f"n {low}")
+                add("b")
+            if capital:
+                add("n " + low)
                 if title:
-                    out.add(f"t {title} {low}")
-            title = low if first.isupper() else ""
-    out.add(f"2 {before} </s>")
+                    add(f"t {title} {low}")
+                title = low
+            else:
+                title = ""
+    add(f"2 {before} </s>")
     return sorted({_hash(f) for f in out})
 
 
@@ -149,18 +163,28 @@ class Bayes:
 def split_documents(documents: DataFrame, seeds: tuple[str, ...] = SEEDS) -> DataFrame:
     """(doc_id, trusted, features) of every passage of every document."""
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 2000):
-                part = batch.iloc[at : at + 2000]
-                rows = [(d, trusted(p, seeds), features(p)) for d, t in zip(part["doc_id"], part["text"]) for p in passages(t)]
-                yield pd.DataFrame(rows, columns=["doc_id", "trusted", "features"])
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for at in range(0, len(ids), 2000):
+                docs: list[int] = []
+                marked: list[bool] = []
+                flat: list[int] = []
+                ends = [0]
+                for d, t in zip(ids[at : at + 2000], texts[at : at + 2000]):
+                    for p in passages(t):
+                        docs.append(d)
+                        marked.append(trusted(p, seeds))
+                        flat += features(p)
+                        ends.append(len(flat))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(marked, pa.bool_()), lists], names=["doc_id", "trusted", "features"])
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and length(trim(text)) > 0")
     wanted = 3 * documents.sparkSession.sparkContext.defaultParallelism
     if docs.rdd.getNumPartitions() < wanted:
         docs = docs.repartition(wanted, "doc_id")
-    return docs.mapInPandas(split, _PASSAGE)
+    return docs.mapInArrow(split, _PASSAGE)
 
 
 def learned(split: DataFrame, rounds: int = ROUNDS) -> Bayes | None:
