@@ -185,11 +185,11 @@ def sides(er: DataFrame, townland: DataFrame, aliases: DataFrame) -> tuple[DataF
     written = F.when(~F.lower("raw").rlike(NO_PLACE), F.regexp_replace(F.lower("raw"), "[^a-z]", ""))
     both = both.withColumn("written", F.when(F.length(written) >= 5, written)).withColumn("place", F.coalesce("canonical", "written")).drop("raw")
     both = cut(both.where("surname <> ''"))
-    # spellings are compared within a place, and within a forename and age
+    # spellings are compared within a place; those of rows without a place within a forename and age
     slot = F.coalesce(F.floor(F.col("birth") / (BIRTH_GAP + 1)).cast("string"), F.lit("?"))
     slots = F.when((F.col("side") == "w") & F.col("birth").isNotNull(), F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: (slot.cast("int") + k).cast("string"))).otherwise(F.array(slot))
     scopes = F.flatten(F.transform("forenames", lambda f: F.transform(slots, lambda t: F.concat_ws("|", F.lit("f"), f, t))))
-    scopes = F.concat(F.when(F.col("place").isNotNull(), F.array(F.concat(F.lit("p|"), F.col("place")))).otherwise(F.array().cast("array<string>")), scopes)
+    scopes = F.when(F.col("place").isNotNull(), F.array(F.concat(F.lit("p|"), F.col("place")))).otherwise(scopes)
     words, direct = names.spellings(both.select("surname", F.explode_outer(scopes).alias("scope")), ["scope"])
     both = lookup_join(both, words.select(F.col("word").alias("surname"), "rep"), ["surname"])
     near = direct.select(F.col("word").alias("rep"), F.col("anchor").alias("near")).unionByName(direct.select(F.col("anchor").alias("rep"), F.col("word").alias("near")))
