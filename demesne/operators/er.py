@@ -132,7 +132,7 @@ def trigram_cosine(queries: DataFrame, catalogue: DataFrame, query: str, name: s
 
     q = vectors(queries, query).select(query, "g", F.col("tf").alias("tq"), F.col("norm").alias("nq"))
     n = vectors(catalogue, name).select(name, "g", F.col("tf").alias("tn"), F.col("norm").alias("nn"))
-    s = q.join(n, "g").groupBy(query, name, "nq", "nn").agg(F.sum(F.col("tq") * F.col("tn")).alias("dot"))
+    s = hot_join(cut(q), cut(n), ["g"]).groupBy(query, name, "nq", "nn").agg(F.sum(F.col("tq") * F.col("tn")).alias("dot"))
     s = s.select(query, name, (F.col("dot") / (F.col("nq") * F.col("nn"))).alias("cosine")).where(F.col("cosine") >= least)
     return top_candidates(s, query, [F.round("cosine", 9).desc(), F.col(name)], k)
 
