@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from demesne.functions.similarity import levenshtein_ratio, trigrams
-from demesne.runtime import cut, hot_join
+from demesne.runtime import cut, hot_join, spread
 
 MAX_CANDIDATES = 25
 BANDS = ((0.75, "CONFIRMED_MATCH"), (0.60, "POSSIBLE_MATCH"), (0.40, "WEAK_MATCH"))
 IMPOSSIBLE_CAP = 0.39
+#: What counts as a like name, and as years near each other, among the candidate strategies.
+FUZZY, YEARS = 82.0, 10
+#: Names of one group that ``near_names`` compares at a time.
+NAMES = 1_000
 Ratio = Callable[[Column, Column], Column]
 
 
@@ -102,7 +108,7 @@ def evidence(a: Callable[[str], Column], b: Callable[[str], Column], ratio: Rati
     return F.struct(*[F.array_compact(F.array(*[F.coalesce(x, F.lit(None).cast("string")) for x in xs])).alias(n) for n, xs in (("evidence", yes), ("conflicts", no), ("missing", unknown))])
 
 
-def strategies(a: Callable[[str], Column], b: Callable[[str], Column], ratio: Ratio = levenshtein_ratio, fuzzy: float = 82.0, years: int = 10) -> Column:
+def strategies(a: Callable[[str], Column], b: Callable[[str], Column], ratio: Ratio = levenshtein_ratio, fuzzy: float = FUZZY, years: int = YEARS) -> Column:
     """Array of the candidate strategies a pair meets: exact name, surname and initial, sound of the surname, like name, same or variant place, year."""
     filled = lambda f: (a(f) != "") & (b(f) != "")
     first = lambda c: F.substring(c, 1, 1)
@@ -117,6 +123,46 @@ def strategies(a: Callable[[str], Column], b: Callable[[str], Column], ratio: Ra
     return F.array_compact(F.array(*found))
 
 
+def _letters(names: list[str], alphabet: dict[str, int], most: int) -> np.ndarray:
+    """Letter counts written in unary, so that the product of two names' rows is the number of letters they share."""
+    counts = np.zeros((len(names), len(alphabet)), dtype=np.int32)
+    for i, n in enumerate(names):
+        for c in n:
+            counts[i, alphabet[c]] += 1
+    return (counts[:, :, None] > np.arange(most)).reshape(len(names), -1).astype(np.float32)
+
+
+def near_names(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """Distinct (name_a, name_b) of one group whose ``levenshtein_ratio`` is at least ``least``; both sides are (group, name).
+
+    Names are compared block by block in order of length.  Letters that two
+    names don't share are a lower bound of their distance; only pairs that it
+    leaves are measured.
+    """
+    apart = 1 - least / 100
+
+    def blocks(df: DataFrame, s: str) -> DataFrame:
+        at = F.floor((F.row_number().over(W.partitionBy("group").orderBy(F.length("name"), "name")) - 1) / NAMES)
+        df = df.where(F.length("name") > 0).select("group", "name").distinct().withColumn("block", at)
+        # bounded: NAMES names a row
+        return df.groupBy("group", "block").agg(F.collect_list("name").alias(f"names_{s}"), F.min(F.length("name")).alias(f"lo_{s}"), F.max(F.length("name")).alias(f"hi_{s}")).withColumnRenamed("block", f"block_{s}")
+
+    def alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            for xs, ys in zip(df["names_a"], df["names_b"]):
+                xs, ys = list(xs), list(ys)
+                alphabet = {c: i for i, c in enumerate(sorted(set("".join(xs)) | set("".join(ys))))}
+                most = max(n.count(c) for n in (*xs, *ys) for c in set(n))
+                size = np.maximum.outer(np.array([len(n) for n in xs], dtype=np.float32), np.array([len(n) for n in ys], dtype=np.float32))
+                i, j = np.nonzero(size - _letters(xs, alphabet, most) @ _letters(ys, alphabet, most).T <= size * apart + 0.01)
+                yield pd.DataFrame({"name_a": [xs[k] for k in i], "name_b": [ys[k] for k in j]}, dtype=object)
+
+    reach = 1 - apart - 1e-6
+    met = blocks(left, "a").join(blocks(right, "b"), "group").where((F.col("hi_b") >= F.col("lo_a") * reach) & (F.col("hi_a") >= F.col("lo_b") * reach))
+    met = spread(met, "group", "block_a", "block_b").select("names_a", "names_b").mapInPandas(alike, "name_a string, name_b string")
+    return met.where(levenshtein_ratio(F.col("name_a"), F.col("name_b")) >= least).distinct()
+
+
 def band(score: Column) -> Column:
     out = F.when(F.lit(False), "")
     for bound, label in BANDS:

@@ -10,7 +10,7 @@ from demesne.functions.similarity import jaro_winkler_col, levenshtein_ratio, ma
 from demesne.operators import er
 from demesne.operators.graph import components
 from demesne.plans import views
-from demesne.runtime import cut, hot_join, lookup_join, table, ws_trim
+from demesne.runtime import cut, hot_join, lookup_join, release, table, ws_trim
 
 
 def _mentions(spark, d):
@@ -107,11 +107,17 @@ def e_pair_completeness_rr(spark, d):
     return both.select("true_pairs", "kept_true", "candidates", spared.alias("reduction_ratio"))
 
 
-def _phonetic_sides(spark, d):
+def _sides(spark, d):
+    """(id, forename, surname, place, year) of the mentions as last delivered, and the same of the records."""
     m = table(spark, d, "source_mentions").where("id is not null").groupBy("id").agg(F.max(F.struct(F.coalesce("updated_at", F.lit("0001-01-01").cast("timestamp_ntz")).alias("t"), "forename", "surname", "raw_place", "event_year")).alias("r"))
     blank = lambda c: F.coalesce(F.upper(F.trim(c)), F.lit(""))
     m = m.select("id", blank("r.forename").alias("forename"), blank("r.surname").alias("surname"), F.coalesce(C.compact_key(F.col("r.raw_place")), F.lit("")).alias("place"), F.col("r.event_year").alias("year"))
     r = views.records(spark, d).where("record_id is not null").groupBy("record_id").agg(F.min(blank("forename")).alias("forename"), F.min(blank("surname")).alias("surname"), F.min(F.coalesce(C.compact_key(F.col("townland_norm")), F.lit(""))).alias("place"), F.min("year").alias("year"))
+    return m, r
+
+
+def _phonetic_sides(spark, d):
+    m, r = _sides(spark, d)
     full = lambda df: df.withColumn("name", _ascii(F.trim(F.concat_ws(" ", "forename", "surname")))).withColumn("phonetic", er.skeleton(F.col("surname")))
     return cut(full(m)), cut(full(r))
 
@@ -136,19 +142,121 @@ def e_strategy_candidates(spark, d):
     return er.top_candidates(p, "id", [F.desc("n"), F.col("apart"), F.desc(F.array_contains("met", "same_place")), F.col("record_id")]).select("id", "record_id", "n", "apart", "rank")
 
 
+def _written(spark, d):
+    """What of the two sides decides on the strategies: (id, name, surname, initial, place, year), and the same without an id."""
+    def kept(df, *more):
+        df = cut(df.select(*more, _ascii(F.trim(F.concat_ws(" ", "forename", "surname"))).alias("name"), "surname", F.substring("forename", 1, 1).alias("initial"), "place", "year"))
+        release(spark)
+        return df
+
+    m, r = _sides(spark, d)
+    return kept(m, "id"), kept(r)
+
+
+def _named(df):
+    return df.select("*", er.skeleton(F.col("surname")).alias("phonetic"), F.substring("surname", 1, 1).alias("letter"))
+
+
+def _same(*fields):
+    """Both sides have the fields, filled and equal."""
+    out = F.lit(True)
+    for f in fields:
+        out = out & (F.col(f"{f}_a") != "") & (F.col(f"{f}_a") == F.col(f"{f}_b"))
+    return out
+
+
+def _like():
+    return (F.col("name_a") != "") & (F.col("name_b") != "") & (levenshtein_ratio(F.col("name_a"), F.col("name_b")) >= er.FUZZY)
+
+
+def _near_year():
+    return F.coalesce(F.abs(F.col("year_a") - F.col("year_b")) <= er.YEARS, F.lit(False))
+
+
+def _side(df, s):
+    return df.select(*[F.col(c).alias(f"{c}_{s}") for c in df.columns])
+
+
+def _on(*fields):
+    return [F.col(f"{f}_a") == F.col(f"{f}_b") for f in fields]
+
+
+def _variants(m, r):
+    """(place_a, place_b): different places of which one holds the other, met by the first five letters of the shorter."""
+    a, b = (df.where("place <> ''").select("place").distinct() for df in (m, r))
+
+    def holds(long, short, s):
+        head = short.select(F.col("place").alias("short"), F.substring("place", 1, 5).alias("g"))
+        # at most five numbers
+        sizes = [x["n"] for x in head.select(F.length("g").alias("n")).distinct().collect()]
+        none = F.array().cast("array<string>")
+        grams = lambda n: F.when(F.length("place") >= n, F.transform(F.sequence(F.lit(1), F.length("place") - n + 1), lambda i: F.substring(F.col("place"), i, F.lit(n)))).otherwise(none)
+        parts = F.array_distinct(F.flatten(F.array(none, *[grams(n) for n in sizes])))
+        met = long.select(F.col("place").alias("long"), F.explode(parts).alias("g")).join(head, "g").where(F.col("long").contains(F.col("short")) & (F.col("long") != F.col("short")))
+        return met.select(*([F.col("long").alias("place_a"), F.col("short").alias("place_b")] if s == "a" else [F.col("short").alias("place_a"), F.col("long").alias("place_b")]))
+
+    return cut(holds(a, b, "a").unionByName(holds(b, a, "b")).distinct())
+
+
 def e_strategy_counts(spark, d):
     """How many candidate pairs meet each strategy."""
     return _strategy_pairs(spark, d).select(F.explode("met").alias("strategy")).groupBy("strategy").agg(F.count(F.lit(1)).alias("pairs"))
 
 
 def e_link_summary(spark, d):
-    """The driver's counters: per mention its best candidate's strategies decide strong, weak or unresolved; several strong ones are ambiguous."""
-    m, _ = _phonetic_sides(spark, d)
-    p = _strategy_pairs(spark, d).withColumn("n", F.size("met"))
-    per = p.groupBy("id").agg(F.max("n").alias("best"), F.count(F.when(F.col("n") >= 4, 1)).alias("strong"))
-    every = m.select("id").join(per, "id", "left")
-    label = F.when(F.coalesce(F.col("best"), F.lit(0)) == 0, "unresolved").when(F.col("best") >= 4, "strong").otherwise("weak")
-    return every.groupBy(label.alias("label")).agg(F.count(F.lit(1)).alias("mentions"), F.count(F.when(F.col("strong") > 1, 1)).alias("ambiguous"), F.coalesce(F.sum("strong"), F.lit(0)).alias("strong_pairs"))
+    """The driver's counters: per mention its best candidate's strategies decide strong, weak or unresolved; several strong ones are ambiguous.
+
+    Every candidate meets a strategy, its sound or its place; so only those of four strategies are looked for, by what they
+    must share: of one sound and place, of one name, or of names so alike that the place isn't needed.
+    """
+    m, r = _written(spark, d)
+    a, b = _named(m), _named(r)
+    own = _same("phonetic", "initial")
+    exact, surname = _same("name").cast("int"), _same("surname", "initial").cast("int")
+    like, year = _like().cast("int"), _near_year().cast("int")
+    who = ("name", "surname", "initial")
+
+    # 1. sound and place: of one initial those that only the place makes strong, of others those of one place and first letter
+    spots = a.where("phonetic <> '' and place <> ''").drop("letter").withColumn("variant", F.lit(False))
+    others = spots.drop("variant").join(_variants(m, r).withColumnRenamed("place_a", "place"), "place").drop("place").withColumnRenamed("place_b", "place").withColumn("variant", F.lit(True))
+    met = _side(spots.unionByName(others), "a").join(_side(b.where("phonetic <> '' and place <> ''").drop("letter"), "b"), _on("phonetic", "place"))
+    by_place = F.when(own, 1 + exact + surname + like + year == 3).otherwise(~F.col("variant_a") & (F.substring("surname_a", 1, 1) == F.substring("surname_b", 1, 1)) & (2 + exact + like + year >= 4))
+    parts = [cut(met.where(by_place).groupBy("id_a").agg(F.count(F.lit(1)).alias("strong")))]
+    release(spark)
+
+    # 2. one place and letter, no sound in common: names that are written alike but split otherwise, and surnames without a sound
+    na, nb = (cut(df.select(*who, "phonetic", "letter").distinct()) for df in (a, b))
+    split = _side(na.where("letter <> '' and name <> ''"), "a").join(_side(nb.where("letter <> '' and name <> ''"), "b"), _on("letter", "name")).where(~_same("phonetic")).select(*[f"{c}_{s}" for s in "ab" for c in who], (3 + surname).alias("n"))
+    mute = "phonetic = '' and surname <> '' and initial <> ''"
+    split = cut(split.unionByName(_side(na.where(mute), "a").join(_side(nb.where(mute), "b"), _on("surname", "initial")).where(exact == 0).select(*split.columns[:-1], (2 + like).alias("n"))))
+    if not split.isEmpty():
+        # the records of these names only, as they are few
+        held = _side(b.where("place <> ''").drop("phonetic", "letter"), "b").join(split, [f"{c}_b" for c in who])
+        met = _side(a.where("place <> ''").drop("phonetic", "letter"), "a").join(held.withColumnRenamed("place_b", "place_a"), [*[f"{c}_a" for c in who], "place_a"])
+        parts.append(cut(met.where(F.col("n") + year >= 4).groupBy("id_a").agg(F.count(F.lit(1)).alias("strong"))))
+        release(spark)
+
+    # 3. sound, initial and names that need no place: the names first, then the records of each year
+    own = "phonetic <> '' and initial <> '' and name <> ''"
+    sides = _side(na.where(own), "a"), _side(nb.where(own), "b")
+    pairs = sides[0].join(sides[1], _on("surname", "initial")).unionByName(sides[0].join(sides[1], _on("phonetic", "initial", "name")).where(surname == 0))
+    pairs = pairs.withColumn("n", 1 + exact + surname + like).where("n >= 3").select(*split.columns)
+    years = _side(a.where(own).select(*who, "year").distinct(), "a")
+    held = _side(b.where(own).groupBy(*who, "year").agg(F.count(F.lit(1)).alias("records")), "b")
+    found = pairs.join(years, [f"{c}_a" for c in who]).join(held, [f"{c}_b" for c in who]).where(F.col("n") + year >= 4)
+    found = found.groupBy(*[f"{c}_a" for c in who], "year_a").agg(F.sum("records_b").alias("strong"))
+    parts.append(m.join(found, [*[m[c] == found[f"{c}_a"] for c in who], m["year"].eqNullSafe(found["year_a"])]).select(F.col("id").alias("id_a"), "strong"))
+
+    # which mentions have a candidate at all
+    keys = lambda df, *k: df.where(" and ".join(f"{x} <> ''" for x in k)).select(*k).distinct().withColumn(f"has_{k[0]}", F.lit(True))
+    every = a.join(keys(b, "phonetic", "initial"), ["phonetic", "initial"], "left").join(keys(b, "place", "letter"), ["place", "letter"], "left")
+    every = every.select("id", F.lit(0).cast("long").alias("strong"), (F.col("has_phonetic").isNotNull() | F.col("has_place").isNotNull()).alias("met"))
+    per = every
+    for p in parts:
+        per = per.unionByName(p.select(F.col("id_a").alias("id"), "strong", F.lit(False).alias("met")))
+    per = per.groupBy("id").agg(F.sum("strong").alias("strong"), F.max("met").alias("met"))
+    label = F.when(~F.col("met"), "unresolved").when(F.col("strong") > 0, "strong").otherwise("weak")
+    return per.groupBy(label.alias("label")).agg(F.count(F.lit(1)).alias("mentions"), F.count(F.when(F.col("strong") > 1, 1)).alias("ambiguous"), F.coalesce(F.sum("strong"), F.lit(0)).alias("strong_pairs"))
 
 
 def e_evidence(spark, d):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 
@@ -80,6 +81,15 @@ def cut(df: DataFrame) -> DataFrame:
         return done
 
 
+def release(spark: SparkSession) -> None:
+    """Have the files of shuffles removed that nothing refers to any more; Spark does so only when the driver collects its garbage."""
+    gc.collect()
+    try:
+        spark.sparkContext._jvm.System.gc()
+    except (AttributeError, Py4JError):
+        return
+
+
 def spread(df: DataFrame, *cols: str | Column) -> DataFrame:
     """Hash-distribute rows ahead of heavy per-row work (few input splits, many cores).
 
