@@ -199,8 +199,63 @@ def _variants(m, r):
 
 
 def e_strategy_counts(spark, d):
-    """How many candidate pairs meet each strategy."""
-    return _strategy_pairs(spark, d).select(F.explode("met").alias("strategy")).groupBy("strategy").agg(F.count(F.lit(1)).alias("pairs"))
+    """How many candidate pairs meet each strategy.
+
+    Candidates share the sound and the initial (1), or the place and the surname's first letter (2).  They are counted by
+    what both sides hold of each kind, not one by one: those of 1, and those of 2 less those of both.
+    """
+    m, r = _written(spark, d)
+    a, b = _named(m), _named(r)
+    filled = lambda df, fields: df.where(F.expr(" and ".join(f"{f} <> ''" for f in fields)))
+
+    def tally(df, keys):
+        return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+
+    def met(*fields, a=a, b=b, years=False):
+        keys = [*fields, "year"] if years else fields
+        p = _side(tally(filled(a, fields), keys), "a").join(_side(tally(filled(b, fields), keys), "b"), _on(*fields))
+        return (p.where(_near_year()) if years else p).agg(F.sum(F.col("n_a") * F.col("n_b")).alias("n"))
+
+    def row(strategy, n, sign=1):
+        return n.select(F.lit(strategy).alias("strategy"), (F.coalesce("n", F.lit(0)) * sign).cast("long").alias("pairs"))
+
+    own, place, who = ("phonetic", "initial"), ("place", "letter"), ("name", "surname", "initial")
+    # of one place, letter and sound: few, so they are met one by one
+    sound = lambda df, s: _side(filled(df, (*place, "phonetic")).select("place", "letter", "phonetic", "initial", "year"), s)
+    both = sound(a, "a").join(sound(b, "b"), _on(*place, "phonetic"))
+    second = _same("initial")
+    both = both.agg(F.count(F.lit(1)).alias("sounds"), F.count(F.when(second, 1)).alias("twice"), F.count(F.when(second & _near_year(), 1)).alias("twice_year"))
+    both = cut(both)
+    release(spark)
+    of = lambda c: both.select(F.col(c).alias("n"))
+
+    v = _variants(m, r)
+    spots = lambda df, s: _side(tally(filled(df, (*own, "place")), (*own, "place")), s)
+    variant = spots(a, "a").join(v, "place_a").withColumnRenamed("place_b", "place_v").join(spots(b, "b"), [*_on(*own), F.col("place_v") == F.col("place_b")]).agg(F.sum(F.col("n_a") * F.col("n_b")).alias("n"))
+
+    names = ("surname", "phonetic", "initial", "letter", "name")
+    na, nb = cut(tally(a.where("name <> ''"), names)), cut(tally(b.where("name <> ''"), names))
+    grouped = lambda df: df.select(F.explode(F.array_distinct(F.array("letter", F.substring("phonetic", 1, 1)))).alias("group"), "name").where("group <> ''").distinct()
+    like = er.near_names(grouped(na), grouped(nb), er.FUZZY)
+    like = like.join(_side(na, "a"), "name_a").join(_side(nb, "b"), "name_b").select("*", _same(*own).alias("first"), _same("letter").alias("second")).where(F.col("first") | F.col("second"))
+    like = cut(like.select(*[f"{c}_{s}" for s in "ab" for c in who], "first", (F.col("name_a") == F.col("name_b")).alias("exact"), "n_a", "n_b"))
+    first = like.where("first").select("exact", (F.col("n_a") * F.col("n_b")).alias("n"))
+    at = lambda df, s: _side(tally(filled(df, place), (*who, "place")), s)
+    second = like.where("not first").drop("n_a", "n_b").join(at(a, "a"), [f"{c}_a" for c in who]).join(at(b, "b").withColumnRenamed("place_b", "place_a"), [*[f"{c}_b" for c in who], "place_a"]).select("exact", (F.col("n_a") * F.col("n_b")).alias("n"))
+    like = cut(first.unionByName(second).groupBy("exact").agg(F.sum("n").alias("n")))
+    release(spark)
+
+    rows = [
+        row("exact_name", like.where("exact")), row("fuzzy_name", like),
+        row("surname_initial", met("phonetic", "surname", "initial")), row("surname_initial", met("place", "surname", "initial", a=a.where("phonetic = ''"), b=b.where("phonetic = ''"))),
+        row("phonetic_surname", met(*own)), row("phonetic_surname", of("sounds")), row("phonetic_surname", of("twice"), -1),
+        row("same_place", met(*own, "place")), row("same_place", met(*place)), row("same_place", of("twice"), -1), row("variant_place", variant),
+        row("year", met(*own, years=True)), row("year", met(*place, years=True)), row("year", of("twice_year"), -1),
+    ]
+    out = rows[0]
+    for x in rows[1:]:
+        out = out.unionByName(x)
+    return out.groupBy("strategy").agg(F.sum("pairs").alias("pairs")).where("pairs > 0")
 
 
 def e_link_summary(spark, d):

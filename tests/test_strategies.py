@@ -29,7 +29,7 @@ def odd(spark, tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("name", ["e_link_summary"])
+@pytest.mark.parametrize("name", ["e_link_summary", "e_strategy_counts"])
 def test_strategies_counted_without_listing_pairs(spark, odd, monkeypatch, name):
     def listed(*_):
         raise AssertionError("pairs are listed")
