@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from demesne.functions.geometry import haversine_km, iou_col, outline_centres, shape_flag_col, wkt_point
+from demesne.functions.geometry import apart, bounds_col, haversine_km, iou_col, outline_centres, shape_flag_col, wkt_point
 from demesne.operators import geo, graph
 from demesne.plans import views
 from demesne.plans.q_problems import _FIX, _POINT
-from demesne.runtime import cut, hot_join, lookup_join, table
+from demesne.runtime import cut, hot_join, lookup_join, spread, table
 
 NEAR = 5.0
 
@@ -83,11 +84,20 @@ def g_pip_even_odd(spark, d):
 
 
 def g_polygon_iou(spark, d):
-    """Overlap of the outlines that rows of one name give, each pair once."""
-    p = cut(views.places(spark, d).where(F.col("wkt_geometry").ilike("%polygon%") & F.col("name").isNotNull()).select("id", F.upper("name").alias("name"), "wkt_geometry"))
-    a = p.select("name", F.col("id").alias("id_a"), F.col("wkt_geometry").alias("wa"))
-    b = p.select("name", F.col("id").alias("id_b"), F.col("wkt_geometry").alias("wb"))
-    return hot_join(a, b, ["name"]).where("id_a < id_b").select("id_a", "id_b", F.round(iou_col("wa", "wb"), 6).alias("iou"))
+    """Overlap of the outlines that rows of one name give, each pair once.
+
+    An outline that several rows give is measured once; boxes that are apart need no measuring.
+    """
+    p = views.places(spark, d).where(F.col("wkt_geometry").ilike("%polygon%") & F.col("name").isNotNull()).select("id", F.upper("name").alias("name"), F.col("wkt_geometry").alias("w"))
+    # bounded: 500 rows an outline
+    p = p.withColumn("part", F.floor((F.row_number().over(W.partitionBy("name", "w").orderBy("id")) - 1) / 500)).groupBy("name", "w", "part").agg(F.collect_list("id").alias("ids"))
+    p = cut(spread(p, "name", "w", "part").withColumn("box", bounds_col("w")).select("name", F.monotonically_increasing_id().alias("n"), "ids", "w", "box"))
+    side = lambda s: p.select("name", *[F.col(c).alias(f"{c}_{s}") for c in ("n", "ids", "w", "box")])
+    far = apart(F.col("box_a"), F.col("box_b"))
+    x = hot_join(side("a"), side("b"), ["name"]).where("n_a <= n_b").withColumn("far", far)
+    x = x.withColumn("iou", F.round(F.coalesce(F.when(F.col("far"), 0.0), iou_col(F.when(~F.col("far"), F.col("w_a")), F.when(~F.col("far"), F.col("w_b")))), 6))
+    x = x.select(F.col("n_a") < F.col("n_b"), "iou", "ids_b", F.explode("ids_a").alias("i")).toDF("other", "iou", "ids_b", "i").select("other", "iou", "i", F.explode("ids_b").alias("k"))
+    return x.where(F.col("other") & (F.col("i") != F.col("k")) | (F.col("i") < F.col("k"))).select(F.least("i", "k").alias("id_a"), F.greatest("i", "k").alias("id_b"), "iou")
 
 
 def g_shape_flags(spark, d):

@@ -112,3 +112,21 @@ def test_outline_centres_read_every_dialect(spark):
     for c in got[:2]:
         assert abs(c["x"] + 5.9) < 1e-9 and abs(c["y"] - 52.1) < 1e-9 and abs(c["mean_x"] + 5.9) < 1e-9 and abs(c["mean_y"] - 52.1) < 1e-9
     assert all(c["x"] is None for c in got[2:])
+
+
+def test_iou_measures_shared_outlines_once_and_none_apart(spark, tmp_path):
+    from demesne.functions.geometry import apart, bounds_col, iou
+    from demesne.plans.q_graph import g_polygon_iou
+    from pyspark.sql import functions as F
+
+    box = lambda x, y, w: f"POLYGON (({x} {y}, {x + w} {y}, {x + w} {y + w}, {x} {y + w}, {x} {y}))"
+    texts = [box(-7, 52, 1), box(-6.5, 52.5, 1), box(-5, 54, 0.5), "MULTIPOLYGON (((-7 52, -6 52, -6 53, -7 52)), ((-5 54, -4.5 54, -4.5 54.5, -5 54)))", "POLYGON ((1 2", "POLYGON ((-7 52, -7 53, -7 52.5, -7 52))"]
+    rows = [(3 * i + k, "A" if i < 25 else "b", t) for i, t in enumerate(texts * 5) for k in range(2)]
+    df = spark.createDataFrame(rows, "id long, name string, wkt_geometry string")
+    df.write.parquet(f"{tmp_path}/townland.parquet")
+    got = {(r["id_a"], r["id_b"]): r["iou"] for r in g_polygon_iou(spark, str(tmp_path)).collect()}
+    want = {(i, k): iou(v, w) for i, m, v in rows for k, n, w in rows if i < k and m == n}
+    assert got.keys() == want.keys() and all(got[p] == (None if w is None else pytest.approx(w, abs=1e-6)) for p, w in want.items())
+    boxes = df.select("id", bounds_col("wkt_geometry").alias("a")).where("id in (0, 3, 6)")
+    far = {tuple(r) for r in boxes.crossJoin(boxes.toDF("k", "b")).where("id < k").select("id", "k", apart(F.col("a"), F.col("b"))).collect()}
+    assert far == {(0, 3, False), (0, 6, True), (3, 6, True)}
