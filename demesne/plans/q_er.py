@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from demesne.functions import cleaning as C
-from demesne.functions.geometry import iou_col
 from demesne.functions.similarity import jaro_winkler_col, levenshtein_ratio, matcher_col, metaphone_col, token_sort_col
-from demesne.operators import er
+from demesne.operators import er, place_pairs
 from demesne.operators.graph import components
 from demesne.plans import views
-from demesne.runtime import cut, hot_join, lookup_join, release, table, ws_trim
+from demesne.runtime import cut, lookup_join, release, table, ws_trim
 
 
 def _mentions(spark, d):
@@ -397,36 +396,26 @@ def e_connected_components(spark, d):
     return components(_decided(spark, d).where("status = 'confirmed'"), "u", "v").select(F.col("vertex").alias("townland_id"), F.col("component").alias("component"))
 
 
-_PLACE_FIELDS = ("id", "name", "name_gaelic", "civil_parish", "barony", "area_sqm", "osm_id", "osi_id", "vrti_id", "kg_uri", "logainm_id")
-
-
-def _place_pairs(spark, d, more=()):
-    """Rows of one county and first three letters of the name, every source against every other and itself."""
+def _place_rows(spark, d, alike, *more):
+    """Rows of all sources with their block, the county and first three letters of the name, and their texts as they are compared."""
     k = F.concat_ws("|", F.substring(C.compact_key(F.col("name")), 1, 3), F.upper(F.trim(F.coalesce("county", F.lit("")))))
-    p = cut(views.places(spark, d).where("name is not null").withColumn("k", k).select("k", *_PLACE_FIELDS, *more))
-    side = lambda s: p.select("k", *[F.col(c).alias(f"{c}_{s}") for c in (*_PLACE_FIELDS, *more)])
-    return hot_join(side("a"), side("b"), ["k"], least=500).where("id_a < id_b")
+    texts = [alike(F.lower(c)).alias(c) for c in ("name", "name_gaelic")] + [F.lower(c).alias(c) for c in ("civil_parish", "barony")]
+    return views.places(spark, d).where("name is not null").select(k.alias("k"), "id", F.length("name").alias("size"), "area_sqm", *texts, *place_pairs.IDS, *more)
 
 
-def _decision(pairs, score):
-    out = pairs.withColumn("score", F.floor(score * 10000 + 0.5) / 10000)
-    corroborated = F.coalesce(F.lower("civil_parish_a") == F.lower("civil_parish_b"), F.lit(False))
-    return out.select("id_a", "id_b", "score", F.when((F.col("score") >= 0.9) | ((F.col("score") >= 0.6) & corroborated), "merge").when(F.col("score") >= 0.35, "review").otherwise("reject").alias("decision"))
+def _decision(pairs):
+    return pairs.select("id_a", "id_b", "score", F.when(F.col("merge"), "merge").when(F.col("score") >= 0.35, "review").otherwise("reject").alias("decision"))
 
 
 def e_townland_pairs(spark, d):
     """Place rows of one block scored pairwise by names, parish, barony and area; decided by score and corroboration; those worth a review."""
-    score = er.pair_score(lambda f: F.col(f"{f}_a"), lambda f: F.col(f"{f}_b"), lambda a, b: levenshtein_ratio(C.fold_accents(F.lower(a)), C.fold_accents(F.lower(b))) / 100)
-    return _decision(_place_pairs(spark, d), score).where("decision <> 'reject'")
+    return _decision(place_pairs.scored_pairs(_place_rows(spark, d, C.fold_accents)))
 
 
 def e_townland_pairs_full(spark, d):
     """The same with Jaro-Winkler likeness and the overlap of the outlines, for rows whose names are alike."""
-    p = _place_pairs(spark, d, ("wkt_geometry",))
-    near = p.where(F.levenshtein(F.lower("name_a"), F.lower("name_b")) <= F.greatest(F.length("name_a"), F.length("name_b")) * 0.4)
-    alike = lambda a, b: jaro_winkler_col(F.lower(a), F.lower(b))
-    score = er.pair_score(lambda f: F.col(f"{f}_a"), lambda f: F.col(f"{f}_b"), alike, F.when(F.col("wkt_geometry_a").ilike("%polygon%") & F.col("wkt_geometry_b").ilike("%polygon%"), iou_col("wkt_geometry_a", "wkt_geometry_b")))
-    return _decision(near, score)
+    outline = F.when(F.col("wkt_geometry").ilike("%polygon%"), F.col("wkt_geometry")).alias("w")
+    return _decision(place_pairs.scored_pairs(_place_rows(spark, d, lambda c: c, outline), True))
 
 
 QUERIES = {n: f for n, f in list(globals().items()) if n.startswith("e_") and callable(f)}
