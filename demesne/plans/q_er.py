@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from demesne.functions import cleaning as C
 from demesne.functions.similarity import jaro_winkler_col, levenshtein_ratio, matcher_col, metaphone_col, token_sort_col
-from demesne.operators import er, place_pairs
+from demesne.operators import candidates, er, place_pairs
 from demesne.operators.graph import components
 from demesne.plans import views
 from demesne.runtime import cut, lookup_join, release, table, ws_trim
@@ -115,15 +115,13 @@ def _sides(spark, d):
     return m, r
 
 
-def _phonetic_sides(spark, d):
-    m, r = _sides(spark, d)
-    full = lambda df: df.withColumn("name", _ascii(F.trim(F.concat_ws(" ", "forename", "surname")))).withColumn("phonetic", er.skeleton(F.col("surname")))
-    return cut(full(m)), cut(full(r))
+def _sounded(df):
+    return df.withColumn("name", _ascii(F.trim(F.concat_ws(" ", "forename", "surname")))).withColumn("phonetic", er.skeleton(F.col("surname")))
 
 
 def _strategy_pairs(spark, d):
     """Mentions against records that share the sound of the surname and its first letter's forename, or the place, with the strategies they meet."""
-    m, r = _phonetic_sides(spark, d)
+    m, r = (cut(_sounded(df)) for df in _sides(spark, d))
     # a sound alone names a third of a register: the initial goes with it; so does the surname's first letter with the place
     initial, letter = F.substring("forename", 1, 1), F.substring("surname", 1, 1)
     keyed = lambda df: df.withColumn("k1", F.when((F.col("phonetic") != "") & (initial != ""), F.concat_ws("|", "phonetic", initial))).withColumn("k2", F.when((F.col("place") != "") & (letter != ""), F.concat_ws("|", "place", letter)))
@@ -135,10 +133,8 @@ def _strategy_pairs(spark, d):
 
 def e_strategy_candidates(spark, d):
     """The 25 best records of every mention by strategies met, likeness of name and place."""
-    p = _strategy_pairs(spark, d).where(F.size("met") > 0)
-    likeness = F.levenshtein("name_a", "name_b") * 1.0 / F.greatest(F.length("name_a"), F.length("name_b"), F.lit(1))
-    p = p.withColumn("n", F.size("met")).withColumn("apart", F.floor(likeness * 10000 + 0.5) / 10000)
-    return er.top_candidates(p, "id", [F.desc("n"), F.col("apart"), F.desc(F.array_contains("met", "same_place")), F.col("record_id")]).select("id", "record_id", "n", "apart", "rank")
+    # the pairs of _strategy_pairs, but never listed: there are thousands a mention
+    return candidates.best_candidates(*_sides(spark, d), "id", "record_id", _sounded)
 
 
 def _written(spark, d):
