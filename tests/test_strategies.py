@@ -81,3 +81,11 @@ def test_best_of_records_of_one_content(spark):
     r = spark.createDataFrame([(f"R{i:04d}", "ANN", "BYRNE", "KIL", None) for i in range(1000)] + [("R00005", "ANN", "BYRNE", "KILMORE", None)], "record_id string, forename string, surname string, place string, year int")
     got = sorted(map(tuple, candidates.best_candidates(m, r, "id", "record_id", q_er._sounded).collect()))
     assert got == [(i, f"R{k:04d}", 5, 0.0, k + 1) for i in (1, 2) for k in range(25)]
+
+
+def test_distances_of_many_lists_together(monkeypatch):
+    monkeypatch.setattr(candidates, "STEP", 17)
+    rng = random.Random(4)
+    text = lambda: "".join(rng.choice("ABÉ 😀") for _ in range(rng.randrange(9)))
+    sides = [([text() for _ in range(rng.randrange(1, 7))], [text() for _ in range(rng.randrange(1, 7))]) for _ in range(30)]
+    assert all((got == er.edits(*s)).all() for got, s in zip(candidates._distances(sides), sides))
