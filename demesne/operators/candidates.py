@@ -20,6 +20,8 @@ LEFT, RIGHT = 1_000, 4_000
 CONTENT = ("forename", "surname", "place", "year")
 _TEXTS = ("name", "surname", "initial", "phonetic", "place")
 _STRATEGIES = 6
+#: Pairs of contents from which two blocks are dealt over the tasks.
+SMALL = 100_000
 #: Pairs of distinct names, and of blocks, whose names are measured together; pairs of names measured at a time.
 NAMES, BLOCKS, STEP = 50_000, 500, 20_000
 #: Rank of a pair that doesn't count; ranks are below 2^18, and times RIGHT below it.
@@ -174,7 +176,10 @@ def best_candidates(left: DataFrame, right: DataFrame, left_id: str, right_id: s
     rows = left.where(some).select(left_id, *CONTENT, F.min(left_id).over(W.partitionBy(*CONTENT)).alias("key"))
 
     a, b = blocks(full(rows.where(F.col("key") == F.col(left_id)).drop(left_id)), "key", LEFT, "a"), blocks(full(held), "ids", RIGHT, "b")
-    met = spread(a.join(b, ["sound", "k"]), "k", "block_a", "block_b").drop("k", "block_a", "block_b")
+    met = a.join(b, ["sound", "k"])
+    # only large pairs of blocks are dealt out; the many others stay where their key put them
+    large = F.size("surname_a") * F.size("surname_b") > SMALL
+    met = met.where(~large).unionByName(spread(met.where(large), "k", "block_a", "block_b")).drop("k", "block_a", "block_b")
     kind = left.schema[left_id].dataType
     key = to_arrow_type(kind)
 

@@ -64,6 +64,7 @@ def test_best_candidates_without_listing_pairs(spark, odd, monkeypatch, most, le
     monkeypatch.setattr(q_er, "_strategy_pairs", listed)
     monkeypatch.setattr(candidates, "LEFT", left)
     monkeypatch.setattr(candidates, "RIGHT", right)
+    monkeypatch.setattr(candidates, "SMALL", left * right // 2)
     con = duckdb.connect()
     for t in ("source_mentions", "unified_record"):
         con.execute(f"create view {t} as select * from read_parquet('{odd}/{t}.parquet/*.parquet')")
